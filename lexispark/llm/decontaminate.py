@@ -15,7 +15,7 @@ once). Empty tables give empty or clean results. Extra columns pass through; own
 
 from __future__ import annotations
 
-import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,10 @@ def cut(text: str | None, cuts: list[dict]) -> str | None:
     return " ".join(x for x in (p.strip(" ") for p in parts) if x)
 
 
+def has_word(text: str) -> bool:
+    return re.search(r"\w", text) is not None
+
+
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("cuts", SPAN), T.StructField("items", T.ArrayType(T.StringType()))]
 _ARROW_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -234,7 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
             texts, cuts = batch.column("text"), batch.column("cuts")
             if pa.compute.any(pa.compute.greater(pa.compute.list_value_length(cuts), 0)).as_py():
                 new = [cut(t, c) if c else t for t, c in zip(texts.to_pylist(), cuts.to_pylist(), strict=True)]
-                keep = pa.array([not c or bool(t.strip()) for t, c in zip(new, cuts.to_pylist(), strict=True)])
+                keep = pa.array([not c or has_word(t) for t, c in zip(new, cuts.to_pylist(), strict=True)], pa.bool_())
                 columns = [pa.array(new, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema]
                 if "n_chars" in schema.names:
                     i = schema.names.index("n_chars")
