@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-CAPACITY, END, SALTS = 2048, 1, 64
-#: Pre-tokens that a Python worker remembers at most: about 200 bytes each.
-CACHE = 800_000
+CAPACITY, END, SALTS = 2048, 1, 32
+#: Pre-tokens of one generation of a Python worker's cache; two are kept, at about 200 bytes each.
+CACHE = 450_000
 
 
 class Encoder:
@@ -45,23 +45,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.old = Tokenizer.from_file(path), {}, {}
 
     def __call__(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit numbers."""
         if self.PLAIN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = self.SPLIT.findall(text.lower())
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            new = list(set(words).difference(self.cache))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            self.learn(set(words).difference(self.cache))
             return b"".join(map(self.cache.__getitem__, words))
 
+    def learn(self, new: set[str]) -> None:
+        """Put words into the cache: from the generation before, else from the tokenizer. The caller's other words must be in it already."""
+        known = {w: self.old[w] for w in new if w in self.old}
+        fresh = list(new.difference(known)) if known else list(new)
+        self.cache |= known
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
 
 _encoders: dict[str, Encoder] = {}
 
