@@ -1,0 +1,15 @@
+"""Lineage cuts that survive the loss of executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder that spark.checkpoint.dir names; a folder of the driver's own only where that is unset, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexispark-checkpoint-"))
+    return df.checkpoint()
