@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Han, kana and Hangul code points that are tokens of their own.
 CJK = "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 UNIT = rf"[{CJK}]|[\p{{L}}\p{{N}}_]+"
-#: Separators of query words: white space and CJK or Latin punctuation.
-QUERY_SPLIT = r"[\s,.;:!?，。；：！？、（）()\[\]【】《》\"'“”‘’]+"
+#: Separators of query words, a fixed value: white space (of all scripts) and CJK or Latin punctuation.
+QUERY_SPLIT = r"(?U)[\s，。；：、！？（）「」『』《》〈〉【】〔〕(){}\[\]'\"“”‘’·…—\-~,.;:!?\\|/*+]+"
 SNIPPET = 150
 
 
@@ -74,16 +74,24 @@ def query_tokens(query: Column | str) -> Column:
     return F.filter(F.split(as_column(query), QUERY_SPLIT), lambda x: x != "")
 
 
+def occurrences(text: Column, tok: Column) -> Column:
+    """Places (from 0) of a word in a text, overlapping ones too: the text is split in front of each, so long texts are read once."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(tok, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.transform(F.split(text, quoted), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+    ends = F.aggregate(pieces, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["places"], F.array(s["at"] + n)).alias("places")))["places"]
+    inner = F.filter(ends, lambda i: (i > 0) & (i < F.length(text)))
+    return F.concat(F.when(F.startswith(text, tok), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), inner)
+
+
 def hit_ranges(text: Column | str, words: Column | str) -> Column:
-    """All occurrences (overlapping ones too) of the words in a text: array of (start, end, tok), by start, longer ones first. Case counts."""
+    """All occurrences (overlapping ones too) of the words in a text: array of (start, end, tok), by start, longer ones first. Case counts; a word that is asked twice is found twice."""
     text, words = as_column(text), as_column(words)
 
     def of(tok: Column) -> Column:
-        starts = F.when(F.length(text) >= F.length(tok), F.sequence(F.lit(1), F.length(text) - F.length(tok) + 1)).otherwise(F.array().cast("array<int>"))
-        at = F.filter(starts, lambda i: F.substring(text, i, F.length(tok)) == tok)
-        return F.transform(at, lambda i: F.struct((i - 1).alias("start"), (-(i - 1 + F.length(tok))).alias("back"), tok.alias("tok")))
+        return F.transform(occurrences(text, tok), lambda i: F.struct(i.alias("start"), (-(i + F.length(tok))).alias("back"), tok.alias("tok")))
 
-    found = F.array_sort(F.flatten(F.transform(F.array_distinct(F.filter(words, lambda w: w != "")), of)))
+    found = F.array_sort(F.flatten(F.transform(F.filter(words, lambda w: w != ""), of)))
     return F.transform(found, lambda r: F.struct(r["start"].alias("start"), (-r["back"]).alias("end"), r["tok"].alias("tok")))
 
 

@@ -16,6 +16,7 @@ from ..operators import bm25, chunks as chunking, explain as explaining, views a
 from ..operators.postings import Stats, lexicon, postings, weights
 from ..plans.routing import Route, route_update
 from ..sources import files as sources
+from .cut import cut_lineage
 from .store import Snapshot, Store
 
 CHUNKS = "row long, docid string, file string, line int, text string, dl long"
@@ -28,8 +29,6 @@ CONFIG = {"approx_topk": False, "materialised": False, "persist": "delta", "comp
 
 def numbered(df: DataFrame, order: list[str], base: int, name: str = "row") -> DataFrame:
     """Consecutive numbers from `base` in the order of `order`, without a single-task window: places within range partitions after the partitions' counts."""
-    from ..index.cut import cut_lineage
-
     low = F.lit((1 << 33) - 1)
     parted = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut_lineage(parted.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND(low)))
@@ -48,6 +47,8 @@ class Index:
         if not self.store.log():
             raise FileNotFoundError(f"no index at {path}")
         self.state, self.load_report = self.store.replay(upto)
+        #: Tags of segments whose folders have gone; their rows are left out, and `remount` reports them.
+        self.stale = {s["tag"] for s in self.state.segments if not all(self.store.files.exists(f"{s['dir']}/{x}") for x in ("chunks", "postings"))}
         self._views: dict[str, dict] = {}
         self.settings = dict(CONFIG)
 
@@ -78,7 +79,7 @@ class Index:
     # tables of the snapshot
 
     def _folders(self) -> list[str]:
-        return [*self.state.parts, *(s["dir"] for s in self.state.segments)]
+        return [*self.state.parts, *(s["dir"] for s in self.state.segments if s["tag"] not in self.stale)]
 
     def _read(self, folders: list[str], table: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{f}/{table}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
@@ -173,28 +174,27 @@ class Index:
         return self.spark.read.parquet(self._weights[1])
 
     def explain(self, query: str, docid: str | None = None, k: int = 1, top: int = 6, diagnose: bool = False):
-        """Term rows of the best k hits, or of the best chunk whose file name contains `docid`: contributions first (at most `top`), then terms without one."""
-        k = max(1, k)
+        """Term rows of the hit of rank `k` (of the last hit, if there are fewer), or of the best chunk whose file name contains `docid`: contributions first (at most `top`), then terms without one."""
         scored = self.scores([query]).where("score > 0")
         if docid is not None:
             named = self.chunks().where(F.contains(F.col("file"), F.lit(docid))).select("row")
-            if named.isEmpty():
+            first = named.agg(F.min("row")).first()[0]
+            if first is None:
                 raise KeyError(docid)
-            scored, k = scored.join(named, "row", "left_semi"), 1
-        best = bm25.top_k(scored, k).select("qid", "row", "rank")
-        counts = explaining.term_counts(self.spark.createDataFrame([(0, query)], "qid int, query string"))
-        _, words = self._terms([query])
-        posts = self.postings(words)
-        lex = self.vocabulary().where(F.col("term").isin(words)).join(lexicon(posts), "term", "left").na.fill(0, ["df"])
-        rows = explaining.explain(posts, lex, counts, best, self.numbers()).join(best, ["qid", "row"]).orderBy("rank", F.desc_nulls_last("contribution"), "term").collect()
-        out, shown = [], {}
-        for r in rows:
-            if r["status"] == "ok":
-                shown[r["rank"]] = shown.get(r["rank"], 0) + 1
-                if shown[r["rank"]] > top:
-                    continue
-            out.append({"rank": r["rank"], "row": r["row"], "term": r["term"], "q_count": r["q_count"], "in_vocab": r["status"] != "oov", "status": r["status"], "tf": r["tf"], "df": r["df"], "idf": r["idf"], "contribution": r["contribution"]})
-        return {"rows": out, "diagnosis": self.diagnose(query, k)} if diagnose else out
+            best = bm25.top_k_single(scored.join(named, "row", "left_semi").select("row", "score"), 1).collect() or [{"row": first}]
+        else:
+            best = bm25.top_k_single(scored.select("row", "score"), max(1, k)).collect()
+        out = []
+        if best:
+            counts = explaining.term_counts(self.spark.createDataFrame([(0, query)], "qid int, query string"))
+            _, words = self._terms([query])
+            posts = self.postings(words)
+            lex = self.vocabulary().where(F.col("term").isin(words)).join(lexicon(posts), "term", "left").na.fill(0, ["df"])
+            asked = self.spark.createDataFrame([(0, best[-1]["row"])], "qid int, row long")
+            rows = explaining.explain(posts, lex, counts, asked, self.numbers()).orderBy(F.desc("contribution"), "term").collect()
+            shown = [r for r in rows if r["status"] == "ok"][: max(top, 0)] + [r for r in rows if r["status"] != "ok"]
+            out = [{"row": r["row"], "term": r["term"], "q_count": r["q_count"], "in_vocab": r["status"] != "oov", **{c: r[c] for c in ("status", "tf", "df", "idf", "contribution")}} for r in shown]
+        return {"contributions": out, "diagnosis": self.diagnose(query, k)} if diagnose else out
 
     def diagnose(self, query: str, k: int = 10) -> dict:
         counts = explaining.term_counts(self.spark.createDataFrame([(0, query)], "qid int, query string"))
@@ -279,22 +279,48 @@ class Index:
 
     def publish(self, texts: DataFrame, dead: DataFrame | None = None, tag: str | None = None, kind: str = "publish", **actions) -> dict:
         """Add rows as a read-only segment with terms of its own; visible by one commit."""
+        tag = self._free_tag(tag)
+        return self._mount(self.write_segment(texts), tag, dead, kind, **actions)
+
+    def _free_tag(self, tag: str | None) -> str:
         if self.store.log()[-1] != self.state.seq:
             raise RuntimeError("the index has moved on: open it again")
         tag = tag or f"seg-{self.state.seq + 1:06d}"
         if any(s["tag"] == tag for s in self.state.segments) or tag in self.state.folded:
             raise ValueError(f"segment {tag} exists")
-        folder, n = _write_part(self.store, texts, self.state.n_rows, self.tokenize)
+        return tag
+
+    def _mount(self, folder: str, tag: str | None, dead: DataFrame | None, kind: str, **actions) -> dict:
+        tag = self._free_tag(tag)
+        got = self._read([folder], "chunks", CHUNKS).agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last")).first()
+        if got["n"] and (got["first"] != self.state.n_rows or got["last"] + 1 - got["first"] != got["n"]):
+            raise RuntimeError(f"the segment begins at row {got['first']}, the index ends at {self.state.n_rows}")
         new_terms = self._read([folder], "postings", POSTINGS).select("term").distinct().join(self.vocabulary(), "term", "left_anti").count()
-        info = {"tag": tag, "dir": folder, "row_base": self.state.n_rows, "rows": n, "new_terms": new_terms}
-        self.state = self.store.commit(self.state, kind, self.state.n_rows + n, segment=info, dead=self._write_dead(dead), **actions)
+        info = {"tag": tag, "dir": folder, "row_base": self.state.n_rows, "rows": got["n"], "new_terms": new_terms}
+        self.state = self.store.commit(self.state, kind, self.state.n_rows + got["n"], segment=info, dead=self._write_dead(dead), **actions)
         return info
 
-    mount = publish
+    def write_segment(self, texts: DataFrame) -> str:
+        """A folder of rows that `mount` can take later, in this session or another; no commit is made."""
+        return _write_part(self.store, texts, self.state.n_rows, self.tokenize)[0]
+
+    def mount(self, folder: str, tag: str | None = None) -> dict:
+        """Make the rows of a folder visible as a read-only segment. The folder must have been written for this number of rows."""
+        if not self.store.files.exists(folder):
+            raise FileNotFoundError(folder)
+        return self._mount(folder, tag, None, "mount")
 
     def segments(self) -> list[dict]:
         return [dict(s) for s in self.state.segments]
 
+    def remount(self) -> list[dict]:
+        """A row for each segment that commits name: `mounted`, `folded`, or `stale` with the reason, if its folder has gone."""
+        out = [{"tag": t, "status": "folded", "reason": None} for t in self.state.folded]
+        for s in self.state.segments:
+            stale = s["tag"] in self.stale
+            out.append({"tag": s["tag"], "status": "stale" if stale else "mounted", "reason": f"{s['dir']} is incomplete" if stale else None})
+        return out
+
     def _segment(self, tag: str) -> dict:
         if tag in self.state.folded:
             raise RuntimeError(f"segment {tag} is folded")
@@ -316,11 +342,13 @@ class Index:
     def fold(self, tag: str) -> dict:
         """Make a segment part of the index; no row is rewritten and no score changes."""
         s = dict(self._segment(tag))
+        if tag in self.stale:
+            raise RuntimeError(f"segment {tag} is stale")
         self.state = self.store.commit(self.state, "fold", self.state.n_rows, fold=[tag])
         return s
 
     def fold_all(self) -> list[str]:
-        tags = [s["tag"] for s in self.state.segments]
+        tags = [s["tag"] for s in self.state.segments if s["tag"] not in self.stale]
         if tags:
             self.state = self.store.commit(self.state, "fold", self.state.n_rows, fold=tags)
         return tags

@@ -49,7 +49,7 @@ def top_k(scored: DataFrame, k: int, by: str = "score", tie: str = "row", positi
         scored = scored.withColumn(by, F.round(by, digits))
     if positive:
         scored = scored.where(F.col(by) > 0)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), tie)))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), tie)).cast("long"))
     return ranked.where(F.col("rank") <= max(k, 0))  # Spark keeps k rows of a query in each task before the shuffle
 
 

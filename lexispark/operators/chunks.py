@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_CHARS, MAX_CHARS, CODE_LINES = 20, 1200, 80
-CODE_EXTENSIONS = ("py", "js", "ts", "tsx", "jsx", "java", "c", "h", "cc", "cpp", "hpp", "cs", "go", "rs", "rb", "php", "sh", "ps1", "bat", "sql", "kt", "swift", "scala", "lua", "html", "css", "vue")
+#: Extensions of files that are cut by lines.
+CODE_EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".sh", ".bat", ".ps1", ".yaml", ".yml", ".toml")
 #: Line ends stay with their lines.
 LINES = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85  ])"
 BLANK = r"[\s\x0b\x1c-\x1f\x85   -     　]"
@@ -51,7 +52,7 @@ def code_chunks(files: DataFrame, key: str = "file", text: str = "text") -> Data
 
 
 def is_code(name) -> F.Column:
-    return F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1)).isin(*CODE_EXTENSIONS)
+    return F.lower(F.regexp_extract(name, r"[^./\\][^/\\]*?(\.[^./\\]+)$", 1)).isin(*CODE_EXTENSIONS)
 
 
 def chunk_files(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:

@@ -20,14 +20,14 @@ def term_counts(queries: DataFrame, qid: str = "qid", text: str = "query") -> Da
 def explain(posts: DataFrame, lex: DataFrame, counts: DataFrame, rows: DataFrame, stats: Stats) -> DataFrame:
     """(qid, row, term, q_count, status, tf, df, idf, contribution) for each query term and each asked (qid, row).
 
-    status: `ok`, `no_tf` (known term that the document lacks) or `oov`. tf and contribution are null unless `ok`. The contributions of a document add up to
+    status: `ok`, `no_tf` (known term that the document lacks) or `oov`. tf, idf (`oov` only) and contribution are 0 where there is nothing. The contributions of a document add up to
     its score, as both use live documents only.
     """
     asked = rows.select("qid", "row").join(counts, "qid").join(lex, "term", "left")
     found = posts.join(rows.select("row").distinct(), "row", "left_semi").select("row", "term", "tf", "dl")
     joined = asked.join(found, ["row", "term"], "left")
     status = F.when(F.col("df").isNull(), "oov").when(F.col("tf").isNull(), "no_tf").otherwise("ok")
-    return joined.select("qid", "row", "term", "q_count", status.alias("status"), "tf", F.coalesce("df", F.lit(0)).alias("df"), idf("df", stats).alias("idf"), (idf("df", stats) * saturation("tf", "dl", stats)).alias("contribution"))
+    return joined.select("qid", "row", "term", "q_count", status.alias("status"), F.coalesce("tf", F.lit(0)).alias("tf"), F.coalesce("df", F.lit(0)).alias("df"), F.coalesce(idf("df", stats), F.lit(0.0)).alias("idf"), F.coalesce(idf("df", stats) * saturation("tf", "dl", stats), F.lit(0.0)).alias("contribution"))
 
 
 def explained_scores(explained: DataFrame) -> DataFrame:

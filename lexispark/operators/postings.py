@@ -99,3 +99,9 @@ def closed(posts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def unknown_terms(posts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term): terms that a closed vocabulary lacks."""
     return posts.select("term").distinct().join(vocabulary.select("term"), "term", "left_anti")
+
+
+def reconcile(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(term, stored_df, stored_tf, df, tf): terms whose numbers in stored postings differ from those in fresh ones; null where one side lacks the term."""
+    a, b = (x.groupBy("term").agg(F.count("*").alias(f"{p}df"), F.sum("tf").alias(f"{p}tf")) for x, p in ((stored, "stored_"), (fresh, "")))
+    return a.join(b, "term", "full_outer").where(~(F.col("stored_df").eqNullSafe(F.col("df")) & F.col("stored_tf").eqNullSafe(F.col("tf")))).select("term", "stored_df", "stored_tf", "df", "tf")

@@ -7,20 +7,21 @@ import os
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 2_000_000
-EXCLUDE_DIRS = {".git", ".hg", ".svn", ".idea", ".vscode", "__pycache__", "node_modules", "venv", ".venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".tox"}
+#: Folders, names and extensions that are never indexed (the last folder is this package's own default for an index).
+EXCLUDE_DIRS = {".git", ".workbuddy", "node_modules", "__pycache__", ".venv", "venv", "env", ".env", "dist", "build", ".next", ".pytest_cache", ".mypy_cache", ".idea", ".vscode", ".idx", ".lexispark_index"}
 EXCLUDE_NAMES = {".env", ".env.local"}
-EXCLUDE_EXTENSIONS = {"png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "svg", "mp3", "mp4", "avi", "mov", "wav", "zip", "gz", "tar", "7z", "rar", "exe", "dll", "so", "dylib", "bin", "pyc", "class", "jar", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "npz", "npy", "pt", "onnx", "safetensors", "db", "sqlite", "parquet", "woff", "woff2", "ttf"}
+EXCLUDE_EXTENSIONS = {".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".pdf", ".zip", ".npz", ".npy", ".log", ".out", ".pyc", ".bin", ".woff", ".woff2", ".exe", ".dll"}
 LISTED = "rel string, path string, size long, mtime_ns long"
 LEDGER = "rel string, md5 string, size long, mtime_ns long"
 VERIFY = ("full", "stat", "auto")
 
 
 def list_files(root: str, skip_dirs: Iterable[str] = ()) -> list[tuple[str, str, int, int]]:
-    """(rel, path, size, mtime_ns) of the files under `root`, by rel. Links to directories are not followed; what can't be read is left out."""
+    """(rel, path, size, mtime_ns) of the files under `root`, by rel. Links are not followed; what can't be read is left out."""
     if not os.path.isdir(root):
         raise FileNotFoundError(root)
     skip = {s.replace("\\", "/").strip("/").casefold() for s in skip_dirs}
@@ -36,15 +37,23 @@ def list_files(root: str, skip_dirs: Iterable[str] = ()) -> list[tuple[str, str,
                 if e.is_dir(follow_symlinks=False):
                     if e.name not in EXCLUDE_DIRS and rel.casefold() not in skip:
                         todo.append(e.path)
-                elif e.is_file():
-                    s = e.stat()
-                    if e.name not in EXCLUDE_NAMES and e.name.rpartition(".")[2].lower() not in EXCLUDE_EXTENSIONS and s.st_size <= MAX_BYTES:
+                elif e.is_file(follow_symlinks=False):
+                    s = e.stat(follow_symlinks=False)
+                    if e.name not in EXCLUDE_NAMES and os.path.splitext(e.name)[1].lower() not in EXCLUDE_EXTENSIONS and s.st_size <= MAX_BYTES:
                         out.append((rel, e.path, s.st_size, s.st_mtime_ns))
             except OSError:
                 continue
     return sorted(out)
 
 
+def accepted(rel: Column, size: Column) -> Column:
+    """The rules of `list_files` for a table of names and sizes, such as a listing made elsewhere."""
+    parts = F.split(rel, "/")
+    folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
+    extension = F.lower(F.regexp_extract(name, r"[^.].*?(\.[^.]*)$", 1))
+    return ~F.arrays_overlap(folders, F.array(*(F.lit(d) for d in sorted(EXCLUDE_DIRS)))) & ~name.isin(*sorted(EXCLUDE_NAMES)) & ~extension.isin(*sorted(EXCLUDE_EXTENSIONS)) & (size <= MAX_BYTES)
+
+
 def listing(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> DataFrame:
     return spark.createDataFrame(list_files(root, skip_dirs), LISTED)
 
