@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of an Arrow batch. Spark's own limit is by rows first, and so many long texts would fill a Python worker's memory.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def over_batches(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow over batches of at most about BATCH_BYTES (a longer row is a batch of its own)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def crc_mod3(doc_id) -> F.Column:
     """crc32(doc_id as text) mod 3; rows with 1 are held out of all learning."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def with_text(docs: DataFrame, text) -> DataFrame:
-    """The columns of documents with a new text and its length."""
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with other names for its columns that clash with `names` (an operator's own), and what each column was called."""
+    taken = {c.lower() for c in docs.columns} | {n.lower() for n in names}
+    back = {}
+    for c in docs.columns:
+        new = c
+        if c.lower() in {n.lower() for n in names}:
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+        back[new] = c
+    return docs.toDF(*back), back
+
+
+def named_back(df: DataFrame, back: dict[str, str]) -> DataFrame:
+    """The columns of `aside`, under the names that they had."""
+    return df.select(*(F.col(f"`{n}`").alias(old) for n, old in back.items()))

@@ -10,7 +10,7 @@ documents pass once for each part and the spans found so far travel along, cut b
 
 Defined cases: a null or empty text, or one without words, has no words and no hits. An item with fewer words than the window is one window
 of its own length; an item without words is none. Repeated documents are judged each; repeated items count each (by item_id, equal ids
-once). Empty tables give empty or clean results. Extra columns pass through; own columns replace those of the same name.
+once). Empty tables give empty or clean results. Extra columns pass through `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import aside, durable, named_back, over_batches
 from .fm_index import FMIndex
 from .words import WORD, Words, chunked, layout
 
 WINDOW = 10
 PART_BYTES = 16 << 20
 #: Words of text that one FM-index holds at most (a longer document is a shard of its own).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Benchmark:
@@ -207,7 +207,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
                     found["items"] = [sorted({*(a or []), *b}) for a, b in zip(old["items"], found["items"], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(found[k], t) for k, t in _ARROW.items())], [*kept, *_ARROW])
 
-        df = df.mapInArrow(work, schema)
+        df = over_batches(df, work, schema)
         if parts > 1:
             df = durable(df)
     return df.select(*(c for c in (names if edit else keep)), "n_words", "spans", "items", *(["cuts"] if edit else []))
@@ -229,9 +229,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
     Documents without a hit stay as they are, null texts too.
     """
-    own = [c for c in docs.columns if c != "text"]
-    found = find_windows(docs.drop("n_words", "spans", "items", "cuts"), benchmark, window, tuple(c for c in own if c not in ("n_words", "spans", "items", "cuts")), True, part_bytes)
-    schema = T.StructType([*(f for f in found.schema if f.name in docs.columns)])
+    docs, back = aside(docs, ("n_words", "spans", "items", "cuts"))
+    found = find_windows(docs, benchmark, window, tuple(c for c in docs.columns if c != "text"), True, part_bytes)
+    schema = T.StructType([found.schema[c] for c in docs.columns])
 
     def work(batches):
         for batch in batches:
@@ -247,4 +247,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema], schema.names)
 
-    return found.mapInArrow(work, schema).select(*(c for c in docs.columns if c in schema.names))
+    return named_back(over_batches(found, work, schema), back)

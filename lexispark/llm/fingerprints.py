@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import over_batches
 from .words import Words, chunked, layout, mix, ngrams
 
 BITS, SHINGLE = 256, 3
@@ -131,10 +132,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 [f.split()[0] for f in OUT.split(", ")],
             )
 
-    dealt = docs.mapInArrow(deal, "part int, late boolean, doc_id long, tie long, packed binary")
+    dealt = over_batches(docs, deal, "part int, late boolean, doc_id long, tie long, packed binary")
     parts = max(1, len(ends) // 2)
     ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "late", F.col("doc_id").desc_nulls_last(), "tie")
-    return ordered.drop("tie").mapInArrow(read, OUT)
+    return over_batches(ordered.drop("tie"), read, OUT)
 
 
 def block_tables(prints: DataFrame, radius: int) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, over_batches
 from .url_filter import host_and_path
 
 LEAST_PAGES, CONSTANT, WRAPPER_BYTES = 8, 0.9, 16 << 20
@@ -294,7 +294,7 @@ def skeletons(pages: DataFrame) -> DataFrame:
             types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], ["host", "key", "skeleton", "texts", "sizes", "tags"])
 
-    return pages.select("host", "html").mapInArrow(work, "host string, key long, skeleton string, texts binary, sizes binary, tags string").dropDuplicates(["host", "key"])
+    return over_batches(pages.select("host", "html"), work, "host string, key long, skeleton string, texts binary, sizes binary, tags string").dropDuplicates(["host", "key"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["host", "node", "met", "same", "size"])
 
-    cells = trees.select("host", "skeleton", "texts", "sizes").join(reference.select("host", "ref_skeleton", "ref_texts"), "host").mapInArrow(count, "host string, node int, met long, same long, size long")
+    cells = over_batches(trees.select("host", "skeleton", "texts", "sizes").join(reference.select("host", "ref_skeleton", "ref_texts"), "host"), count, "host string, node int, met long, same long, size long")
     cells = cells.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"), F.sum("size").alias("size"))
     cells = cells.groupBy("host").agg(F.collect_list(F.struct("node", "met", "same", "size")).alias("cells"))  # one for each node of the reference page
 
@@ -345,7 +345,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             types = [pa.string(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["host", "skeleton", "texts", "constant", "slot"])
 
-    return reference.join(cells, "host").mapInArrow(induce, "host string, skeleton string, texts binary, constant array<int>, slot int")
+    return over_batches(reference.join(cells, "host"), induce, "host string, skeleton string, texts binary, constant array<int>, slot int")
 
 
 def main_text(html: str | None, wrapper: tuple | None) -> str:
@@ -387,11 +387,11 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
             for batch in batches:
                 yield out(batch, [main_text(h, shared.value.get(k)) for h, k in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)])
 
-        return rows.mapInArrow(work, schema)
+        return over_batches(rows, work, schema)
 
     def joined(batches):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("html", "skeleton", "texts", "constant", "slot")]
             yield out(batch, [main_text(h, (s, t, c, k) if s is not None else None) for h, s, t, c, k in zip(*columns, strict=True)])
 
-    return rows.join(known, "host", "left").mapInArrow(joined, schema)
+    return over_batches(rows.join(known, "host", "left"), joined, schema)

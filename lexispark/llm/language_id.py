@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod3
+from .common import crc_mod3, over_batches
 from .words import WORD, Words, chunked, layout
 
 SAMPLE, WORDS, TABLE, CHAIN = 4_000, 150, 16, 512
@@ -102,7 +102,7 @@ class Model:
         self.langs = langs
         n = len(langs)
         self.weights = np.zeros((ROWS, n), dtype=np.float32)
-        self.start, self.moves = np.full(n, 1 / n), np.full((n, n), 1 / max(n, 1))
+        self.start, self.moves = np.full(n, 1 / max(n, 1)), np.full((n, n), 1 / max(n, 1))
 
     def fit(self, texts: list[str], langs: list[str], seed: int = 0) -> None:
         """AdaGrad on the likelihood of sequences that join stretches of words of different languages."""
@@ -228,5 +228,5 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             names, scores = shared.value.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.compute.cast(batch.column("doc_id"), pa.int64()), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
+    out = over_batches(docs.select("doc_id", "text"), work, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(crc_mod3(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

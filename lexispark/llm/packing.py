@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, over_batches
 
 CAPACITY, END, SALTS = 2048, 1, 32
 #: Pre-tokens of one generation of a Python worker's cache; two are kept, at about 200 bytes each.
-CACHE = 450_000
+CACHE = 200_000
 
 
 class Encoder:
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             columns = zip(*rows, strict=True) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, PIECE_IDS if with_ids else PIECE)
+    return over_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, PIECE_IDS if with_ids else PIECE)
 
 
 class OpenWindows:
@@ -200,4 +200,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = PIECE.replace("length int", "length long") + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(work, schema)
+    return over_batches(ranked, work, schema)

@@ -9,8 +9,8 @@ fewer rows than members, never all pairs.
 Components are found by alternating large-star and small-star steps over those edges, checkpointed in the shared folder.
 
 Defined cases: null or empty text and text of white space have fingerprint zero, which links like any other. Fewer than three words: the whole sequence is
-the one shingle. Repeated rows (also of doc_id) stay, each with its component. Null doc_id: kept, counts as larger than all.
-Empty tables give no rows. Extra columns are ignored by `near_duplicates` and kept by `deduplicate`.
+the one shingle. Repeated rows (also of doc_id) stay in `near_duplicates`, each with its component. A null doc_id counts as larger than all; a component without any other has a null id.
+Empty tables give no rows. Extra columns are ignored by `near_duplicates` and kept by `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import aside, durable, named_back, over_batches
 
 SHINGLE, RADIUS, BITS = 3, 2, 64
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -62,7 +62,7 @@ def with_fingerprint(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -
             fp = fingerprints(batch.column("text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(work, schema)
+    return over_batches(docs.select(*dict.fromkeys([*keep, "text"])), work, schema)
 
 
 def block_masks(radius: int, agree: int = 4) -> list[int]:
@@ -130,7 +130,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             e = np.unique(np.sort(e, axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-    return buckets.mapInArrow(work, "a long, b long").distinct()
+    return over_batches(buckets, work, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -157,14 +157,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def component_table(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for every distinct `fp` of `prints` (doc_id, fp): the smallest doc_id that its component holds."""
+    """(fp, root, component_id) for every distinct `fp` of `prints` (doc_id, fp): a fingerprint that stands for its component, and the smallest doc_id that the component holds."""
     firsts = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), radius))
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     tied = firsts.join(nodes, F.col("fp") == F.col("node")).select("fp", "first", "root")
     smallest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = tied.join(smallest, "root").select("fp", "component_id")
-    return firsts.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    known = tied.join(smallest, "root").select("fp", "root", "component_id")
+    return firsts.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -175,11 +175,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns of `docs`. Of rows with that same doc_id one stays."""
-    prints = durable(with_fingerprint(docs, ["doc_id"], shingle))
-    kept = component_table(prints, radius).select(F.col("component_id").alias("doc_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    if prints.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    order = Window.partitionBy("doc_id").orderBy(*(F.xxhash64(c) for c in docs.columns if c != "doc_id"))
-    return left.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    """One document of each component, the one with the smallest doc_id, with all columns of `docs`.
+
+    Where several rows of a component have that doc_id, or none has a doc_id, one of them stays.
+    """
+    own, back = aside(docs, ("fp", "root", "component_id", "_row"))
+    prints = durable(with_fingerprint(own, ["doc_id"], shingle))
+    table = durable(component_table(prints, radius))
+    # rows whose doc_id says which document they are need no text beside their fingerprint
+    left = own.join(table.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shared = durable(prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("root")))
+    if not shared.isEmpty():
+        left = left.join(shared, F.col("doc_id") == F.col("root"), "left_anti")
+        rest = with_fingerprint(own.join(shared, F.col("doc_id").eqNullSafe(F.col("root")), "left_semi"), own.columns, shingle).join(table, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        order = Window.partitionBy("root").orderBy(F.xxhash64("text"), *(F.xxhash64(f"`{c}`") for c in own.columns if c not in ("doc_id", "text")))
+        left = left.select(*own.columns).unionByName(rest.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*own.columns))
+    return named_back(left, back)

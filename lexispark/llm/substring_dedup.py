@@ -13,7 +13,7 @@ passes more than needed when it fills, never fewer.
 
 Defined cases: null texts and texts of fewer than `min_words` words have no passage. A null doc_id is never linked and its row stays as it is. Rows of one
 doc_id count as one document for the search (no passage repeats between them) and are aligned each on its own. Repeats inside a single document
-are left alone. Empty tables give empty or unchanged results. Extra columns pass through `remove_repeats`; internal columns have names that begin with `_`.
+are left alone. Empty tables give empty or unchanged results. Extra columns pass through `remove_repeats`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import aside, durable, named_back, over_batches
+from .decontaminate import cut, has_word
 from .words import Words, chunked, layout, mix, ngrams
 
 K, WINDOW, MIN_WORDS, SIMILARITY = 5, 10, 45, 0.8
-#: Words beyond a chain's ends that the alignment looks at; words that one diagonal fragment may skip; cost of a skipped word in a chain.
-REACH, SKIP, GAP = 32, 40, 0.125
+#: Words beyond a chain's ends that the alignment looks at; the furthest that seeds of an unbroken match can be apart, so that a fragment holds no edit; cost of a skipped word in a chain.
+REACH, SKIP, GAP = 32, WINDOW, 0.125
 SIEVE = 25
 _POS = 28
 
@@ -57,7 +58,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                 at = np.unique(at[row[:n] == row[k + window - 2 :]])
                 yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[lo + row[at]]), pa.array((at - w.first[row[at]]).astype(np.int32))], ["hash", "doc_id", "pos"])
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "hash long, doc_id long, pos int")
+    return over_batches(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "hash long, doc_id long, pos int")
 
 
 def matches(found: DataFrame, packed: bool) -> DataFrame:
@@ -182,7 +183,7 @@ def chains(found: DataFrame, min_words: int, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "d").sortWithinPartitions("d").mapInArrow(work, "d long, r long, y_lo int, y_hi int, frags array<int>")
+    return over_batches(found.repartition(n, "d").sortWithinPartitions("d"), work, "d long, r long, y_lo int, y_hi int, frags array<int>")
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -197,30 +198,36 @@ def sieve(ids: DataFrame, column: str) -> np.ndarray:
             bit = np.unique(_bit(batch.column(0).to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array((bit >> 6).astype(np.int32)), pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-    rows = ids.select(column).mapInArrow(work, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = over_batches(ids.select(column), work, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(1 << (SIEVE - 6), dtype=np.int64)
     out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
     return out.view(np.uint64)
 
 
+def _in_table(ids, table) -> pa.Array:
+    """Whether each id is in the bit table; null ids are not."""
+    bit = _bit(pa.compute.cast(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+    hit = ((table.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False))
+
+
 def sifted(docs: DataFrame, table, inside: bool) -> DataFrame:
     """The rows of `docs` whose doc_id is in the bit table (a broadcast), or those that are not; null ids are not."""
 
     def work(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            bit = _bit(pa.compute.cast(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
-            hit = ((table.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit if inside else ~hit))
+            hit = _in_table(batch.column("doc_id"), table)
+            yield batch.filter(hit if inside else pa.compute.invert(hit))
 
-    return docs.mapInArrow(work, docs.schema)
+    return over_batches(docs, work, docs.schema)
 
 
-def word_hashes(docs: DataFrame) -> DataFrame:
-    """(r, words): 32-bit hashes of all words of a document."""
+def word_hashes(docs: DataFrame, table) -> DataFrame:
+    """(r, words): 32-bit hashes of all words of the documents in the bit table."""
 
     def work(batches):
         for batch in batches:
+            batch = batch.filter(_in_table(batch.column("doc_id"), table))
             data, offs = layout(batch.column("text"))
             out = []
             for lo, hi in chunked(offs):
@@ -229,7 +236,7 @@ def word_hashes(docs: DataFrame) -> DataFrame:
                 out += [h[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.n)]
             yield pa.RecordBatch.from_arrays([pa.compute.cast(batch.column("doc_id"), pa.int64()), pa.array(out, pa.binary())], ["r", "words"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "r long, words binary")
+    return over_batches(docs.select("doc_id", "text"), work, "r long, words binary")
 
 
 def columns_of(a: np.ndarray, b: np.ndarray, frags: list[int], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,7 +329,7 @@ def _with_hits(docs: DataFrame, min_words: int):
     found = durable(chains(matches(seeds(docs), packed), min_words))
     late, early = (spark.sparkContext.broadcast(sieve(found, c)) for c in ("d", "r"))
     base = F.greatest(F.lit(0), F.col("y_lo") - REACH)
-    words = word_hashes(sifted(docs.select("doc_id", "text"), early, True))
+    words = word_hashes(docs, early)
     slices = found.join(words, "r").select("d", "r", base.alias("base"), "frags", F.substring("words", 4 * base + 1, 4 * (F.col("y_hi") + REACH - base)).alias("slice"))
     hits = slices.groupBy("d").agg(F.collect_list(F.struct("r", "base", "frags", "slice")).alias("_hits"))
     return sifted(docs, late, True).join(hits, F.col("doc_id") == F.col("d"), "left").drop("d"), late
@@ -362,13 +369,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             flat = pa.array([p for x in found for p in x], arrow)
             yield pa.RecordBatch.from_arrays([pa.compute.cast(ids, pa.int64()), *flat.flatten()], ["doc_id", *PASSAGE.names])
 
-    return named.mapInArrow(work, T.StructType([T.StructField("doc_id", T.LongType()), *PASSAGE]))
+    return over_batches(named, work, T.StructType([T.StructField("doc_id", T.LongType()), *PASSAGE]))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` without the passages that an earlier document holds; a document of which nothing is left goes. n_chars, where there is one, follows the text."""
-    from .decontaminate import cut, has_word
-
+    docs, back = aside(docs, ("d", "_hits"))
     named, late = _with_hits(docs, min_words)
     schema = docs.schema
 
@@ -383,4 +389,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
             keep = pa.array([not c or has_word(t) for t, c in zip(texts, cuts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(keep)
 
-    return sifted(docs, late, False).unionByName(named.mapInArrow(work, schema))
+    return named_back(sifted(docs, late, False).unionByName(over_batches(named, work, schema)), back)

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod3
+from .common import aside, crc_mod3, named_back, over_batches
 from .words import LOWER, WORD, Words, chunked, layout, mix, ngrams, powers
 
 SAMPLE, THRESHOLD = 20_000, 0.7
 LEXICON, LEAST_DOCS, LEAST_ODDS = 4_000, 5, 3.0
 TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 32, 10
+#: Bytes of text whose features are worked out at once; about 100 bytes of memory for each.
+FEATURE_BYTES = 1 << 19
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer sie ihnen usted ustedes ti tuyo tuya vosotros vosotras os".split()
 
 _PLAIN = LOWER.copy()
@@ -101,7 +103,7 @@ FEATURES = ["lexicon", "hits", "weight", "heaviest", "you_near", "you", "capital
 def features(column, lexicon: Lexicon) -> np.ndarray:
     data, offs = layout(column)
     out = np.zeros((len(offs) - 1, len(FEATURES)))
-    for lo, hi in chunked(offs):
+    for lo, hi in chunked(offs, FEATURE_BYTES):
         w = Loose(data, offs, lo, hi)
         n, row = hi - lo, w.row()
         weight = lexicon.of(w)
@@ -271,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             keys = [_least_shingle(batch.column("text"), s).view(np.int64) for s in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.compute.cast(batch.column("doc_id"), pa.int64()), batch.column("toxic"), *(pa.array(k) for k in keys)], ["doc_id", "toxic", "a", "b"])
 
-    keys = rows.mapInArrow(thin, "doc_id long, toxic int, a long, b long").toPandas().sort_values(["doc_id", "toxic"])  # `sample` rows
+    keys = over_batches(rows, thin, "doc_id long, toxic int, a long, b long").toPandas().sort_values(["doc_id", "toxic"])  # `sample` rows
     keys = keys.drop_duplicates("doc_id").drop_duplicates(["a", "toxic"]).drop_duplicates(["b", "toxic"])
     if not len(keys):
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), 0.0)
@@ -297,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     bad, n = float((keys["toxic"] == 1).sum()), float(len(keys))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
-    terms = rows.mapInArrow(count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= LEAST_DOCS)
+    terms = over_batches(rows, count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= LEAST_DOCS)
     best = terms.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("bad"), "term").limit(LEXICON).toPandas()
     model = Model(Lexicon(best["term"].to_numpy(np.int64).view(np.uint64), best["odds"].to_numpy(float)), bad / n)
     shared = spark.sparkContext.broadcast(model)
@@ -307,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = features(batch.column("text"), shared.value.lexicon)
             yield pa.RecordBatch.from_arrays([pa.compute.cast(batch.column("doc_id"), pa.int64()), batch.column("toxic"), *(pa.array(c) for c in x.T)], ["doc_id", "toxic", *FEATURES])
 
-    seen = rows.mapInArrow(measure, "doc_id long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
+    seen = over_batches(rows, measure, "doc_id long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
     order = np.random.default_rng(0).random(len(seen))
     model.fit(seen[FEATURES].to_numpy(float), seen["toxic"].to_numpy(float), order < 0.25)
     return model
@@ -322,7 +324,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema if f.name != name), pa.array(shared.value.score(batch.column("text")), pa.float64())], schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return over_batches(docs, work, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -333,4 +335,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows whose text scores at `threshold` or above."""
-    return scored(docs, train(docs, labels, sample), "_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
+    own, back = aside(docs, ("_toxicity",))
+    return named_back(scored(own, train(docs, labels, sample), "_toxicity").where(F.col("_toxicity") < threshold), back)
