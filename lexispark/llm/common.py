@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,39 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def over_batches(df: DataFrame, work, schema) -> DataFrame:
-    """mapInArrow over batches of at most about BATCH_BYTES (a longer row is a batch of its own)."""
+#: What this Python worker keeps for later tasks of one operator: a name and an object.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """The object of that name, made once for as long as the worker runs tasks that keep it."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def over_batches(df: DataFrame, work, schema, keeps: str | None = None) -> DataFrame:
+    """mapInArrow over batches of at most about BATCH_BYTES (a longer row is a batch of its own). `keeps`: name of what `work` keeps in its worker for later tasks."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(work, schema)
+
+    def lean(batches):
+        if keeps not in _kept:
+            _kept.clear()
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, more of them than run at a time."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def crc_mod3(doc_id) -> F.Column:

@@ -16,7 +16,6 @@ Repeated pages are extracted each and count once for the wrapper. Empty tables g
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -30,12 +29,16 @@ from .common import durable, over_batches
 from .url_filter import host_and_path
 
 LEAST_PAGES, CONSTANT, WRAPPER_BYTES = 8, 0.9, 16 << 20
+#: Alignments that a Python worker keeps.
+CACHE_BYTES = 16 << 20
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "xmp", "noembed", "noframes"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "td", "th"}
+#: Elements without text of the page that stand in a line and so end no block, whatever they hold.
+SILENT = {"script", "style", "noscript", "template", "textarea", "iframe", "noembed", "noframes", "xmp", "button", "select", "option", "input", "svg", "canvas", "object", "audio", "video", "map", "embed", "source", "track", "param"}
 JUNK = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "svg", "canvas", "object", "audio", "video", "map", "dialog", "menu", "frameset", *RAW}
 JUNK_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search searchform form pagination pager toolbar widget widgets skip hidden".split())
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
@@ -77,17 +80,17 @@ class Page:
     def close(self, stack, tag: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
-                if any(t not in INLINE for t, _ in stack[i:]):
+                if any(t not in INLINE and t not in SILENT for t, _ in stack[i:]) and not any(t in SILENT for t, _ in stack[:i]):
                     self.events.append((stack[i][1], None))
                 elif tag in ("td", "th"):
                     self.events.append((stack[i][1], " "))
                 del stack[i:]
                 return
-            if tag in INLINE and stack[i][0] not in INLINE:
+            if tag in INLINE and stack[i][0] not in INLINE:  # a stray end of a phrase doesn't end blocks
                 return
 
     def open(self, stack, tag: str, attributes: str, html: str, at: int) -> int:
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[i][0] == "p":
                     del stack[i:]
@@ -120,7 +123,7 @@ class Page:
             self.depth.append(self.depth[parent] + 1)
             self.parent.append(parent)
             self.junk.append(junk or self.junk[parent])
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in SILENT and not any(t in SILENT for t, _ in stack):
                 self.events.append((node, None))
         if tag in ("br", "td", "th"):
             self.events.append((node, "\n"))
@@ -172,87 +175,132 @@ def _children(skeleton: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
-@lru_cache(maxsize=20_000)
-def align(a: str, b: str) -> tuple[int, ...]:
-    """Simple tree matching of two skeletons: for each node of `a` its partner in `b`, or -1.
+class _Matcher:
+    """Simple tree matching of two skeletons. Subtrees of one shape are compared once, and without recursion, so that depth doesn't matter."""
 
-    Equal labels match, children match in order with the largest total; subtrees of one shape are compared once. Very long lists of children (over 250,000
-    pairs after their equal ends are taken off) are matched greedily in order.
-    """
-    la, ca = _children(a)
-    lb, cb = _children(b)
-    out = [-1] * len(la)
-    shapes: dict[tuple, int] = {}
+    def __init__(self, a: str, b: str):
+        (self.la, self.ca), (self.lb, self.cb) = _children(a), _children(b)
+        shapes: dict[tuple, int] = {}
+        self.size: dict[int, int] = {}
+        self.sa, self.sb = self._shapes(self.la, self.ca, shapes), self._shapes(self.lb, self.cb, shapes)
+        self.known: dict[tuple[int, int], int] = {}
 
-    def shape(labels, children):
+    def _shapes(self, labels, children, shapes) -> list[int]:
         own = [0] * len(labels)
         for i in range(len(labels) - 1, -1, -1):
             own[i] = shapes.setdefault((labels[i], *(own[c] for c in children[i])), len(shapes))
+            self.size[own[i]] = 1 + sum(self.size[own[c]] for c in children[i])
         return own
 
-    sa, sb = shape(la, ca), shape(lb, cb)
-    size: dict[int, int] = {}
-    for labels, children, own in ((la, ca, sa), (lb, cb, sb)):
-        for i in range(len(labels) - 1, -1, -1):
-            size[own[i]] = 1 + sum(size[own[c]] for c in children[i])
-    known: dict[tuple[int, int], int] = {}
-
-    def weight(i: int, j: int) -> int:
-        if la[i] != lb[j]:
+    def trimmed(self, x: list[int], y: list[int]):
+        """Equal subtrees at both ends of two lists of children match each other: how many at each end."""
+        most, head, tail = min(len(x), len(y)), 0, 0
+        while head < most and self.sa[x[head]] == self.sb[y[head]]:
+            head += 1
+        while tail < most - head and self.sa[x[-1 - tail]] == self.sb[y[-1 - tail]]:
+            tail += 1
+        return head, tail
+
+    def weight(self, i: int, j: int) -> int:
+        """Size of the largest matching of two subtrees; 0 for different labels."""
+        if self.la[i] != self.lb[j]:
             return 0
-        if sa[i] == sb[j]:
-            return size[sa[i]]
-        key = (sa[i], sb[j])
-        if key not in known:
-            known[key] = 1 + pairs(ca[i], cb[j])[0]
-        return known[key]
-
-    def pairs(x: list[int], y: list[int]) -> tuple[int, list[tuple[int, int]]]:
-        head, tail, total = [], [], 0
-        lo = 0
-        while lo < min(len(x), len(y)) and sa[x[lo]] == sb[y[lo]]:
-            head.append((x[lo], y[lo]))
-            total += size[sa[x[lo]]]
-            lo += 1
-        x, y = x[lo:], y[lo:]
-        while x and y and sa[x[-1]] == sb[y[-1]]:
-            tail.append((x[-1], y[-1]))
-            total += size[sa[x[-1]]]
-            x, y = x[:-1], y[:-1]
-        if not x or not y:
-            return total, head + tail[::-1]
-        if len(x) * len(y) > 250_000:
-            middle, j = [], 0
-            for i in x:
-                k = next((k for k in range(j, min(len(y), j + 50)) if la[i] == lb[y[k]]), -1)
-                if k >= 0:
-                    middle.append((i, y[k]))
-                    j = k + 1
-            return total + sum(weight(i, j) for i, j in middle), head + middle + tail[::-1]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p in range(len(x) - 1, -1, -1):
-            for q in range(len(y) - 1, -1, -1):
-                w = weight(x[p], y[q])
-                best[p][q] = max(best[p + 1][q], best[p][q + 1], best[p + 1][q + 1] + w if w else 0)
-        p = q = 0
-        middle = []
-        while p < len(x) and q < len(y):
-            w = weight(x[p], y[q])
-            if w and best[p][q] == best[p + 1][q + 1] + w:
-                middle.append((x[p], y[q]))
-                p, q = p + 1, q + 1
-            elif best[p][q] == best[p + 1][q]:
-                p += 1
+        if self.sa[i] == self.sb[j]:
+            return self.size[self.sa[i]]
+        todo = [(i, j)]
+        while todo:
+            p, q = todo[-1]
+            key = self.sa[p], self.sb[q]
+            if key in self.known:
+                todo.pop()
+                continue
+            x, y = self.ca[p], self.cb[q]
+            head, tail = self.trimmed(x, y)
+            mx, my = ({s[c]: c for c in z[head : len(z) - tail]} for z, s in ((x, self.sa), (y, self.sb)))
+            open_ = [(c, e) for u, c in mx.items() for v, e in my.items() if u != v and self.la[c] == self.lb[e] and (u, v) not in self.known]
+            if open_:
+                todo += open_
             else:
-                q += 1
-        return total + best[0][0], head + middle + tail[::-1]
-
-    todo = [(0, 0)] if la[0] == lb[0] else []
-    while todo:
-        i, j = todo.pop()
-        out[i] = j
-        todo += pairs(ca[i], cb[j])[1]
-    return tuple(out)
+                self.known[key] = 1 + self.pairs(x, y, False)[0]
+                todo.pop()
+        return self.known[self.sa[i], self.sb[j]]
+
+    def pairs(self, x: list[int], y: list[int], trace: bool = True) -> tuple[int, list[tuple[int, int]]]:
+        """Total of the best matching of two lists of children in order, and with `trace` its pairs. Of the table of totals only every so many rows are kept; the rest are worked out again."""
+        head, tail = self.trimmed(x, y)
+        ends = [*zip(x[:head], y[:head]), *zip(x[len(x) - tail :], y[len(y) - tail :])]
+        total = sum(self.size[self.sa[i]] for i, _ in ends)
+        x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+        if not x or not y:
+            return total, ends
+        kinds_x, kinds_y = ({s[c]: c for c in z} for z, s in ((x, self.sa), (y, self.sb)))
+        column = {v: k for k, v in enumerate(kinds_y)}
+        of_y = np.array([column[self.sb[c]] for c in y])
+        table = {u: np.array([self.weight(c, e) for e in kinds_y.values()], dtype=np.int32) for u, c in kinds_x.items()}
+
+        def above(below: np.ndarray, p: int) -> np.ndarray:
+            w = table[self.sa[x[p]]][of_y]
+            row = np.zeros(len(y) + 1, dtype=np.int32)
+            best = np.maximum(below[:-1], np.where(w > 0, below[1:] + w, 0))
+            row[:-1] = np.maximum.accumulate(best[::-1])[::-1]
+            return row
+
+        step = max(1, int(len(x) ** 0.5))
+        row, kept = np.zeros(len(y) + 1, dtype=np.int32), {}
+        for p in range(len(x), 0, -1):
+            if p % step == 0 or p == len(x):
+                kept[p] = row
+            row = above(row, p - 1)
+        total += int(row[0])
+        if not trace:
+            return total, []
+        found, q = [], 0
+        for lo in range(0, len(x), step):
+            hi = min(lo + step, len(x))
+            rows = {hi: kept[hi]}
+            for p in range(hi, lo, -1):
+                rows[p - 1] = above(rows[p], p - 1)
+            p = lo
+            while p < hi and q < len(y):
+                w = int(table[self.sa[x[p]]][of_y[q]])
+                if w and rows[p][q] == rows[p + 1][q + 1] + w:
+                    found.append((x[p], y[q]))
+                    p, q = p + 1, q + 1
+                elif rows[p][q] == rows[p + 1][q]:
+                    p += 1
+                else:
+                    q += 1
+        return total, ends + found
+
+    def partners(self) -> tuple[int, ...]:
+        out = [-1] * len(self.la)
+        todo = [(0, 0)] if self.la[0] == self.lb[0] else []
+        while todo:
+            i, j = todo.pop()
+            out[i] = j
+            todo += self.pairs(self.ca[i], self.cb[j])[1]
+        return tuple(out)
+
+
+_aligned: dict[tuple[str, str], tuple[int, ...]] = {}
+_aligned_size = 0
+
+
+def align(a: str, b: str) -> tuple[int, ...]:
+    """For each node of skeleton `a` its partner in `b` by simple tree matching, or -1: equal labels match, children match in order with the largest total.
+
+    Results are kept while they and their skeletons take at most CACHE_BYTES.
+    """
+    global _aligned_size
+    found = _aligned.get((a, b))
+    if found is None:
+        found = _Matcher(a, b).partners()
+        _aligned_size += len(a) + len(b) + 8 * len(found)
+        if _aligned_size > CACHE_BYTES:
+            _aligned.clear()
+            _aligned_size = len(a) + len(b) + 8 * len(found)
+        _aligned[a, b] = found
+    return found
 
 
 def content_slot(tags: list[str], parent: list[int], junk: list[bool], mass: list[float]) -> int:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, over_batches
+from .common import durable, kept, over_batches
 
 CAPACITY, END, SALTS = 2048, 1, 32
 #: Pre-tokens of one generation of a Python worker's cache; two are kept, at about 200 bytes each.
@@ -69,16 +69,6 @@ class Encoder:
             self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of a file, kept for as long as the Python worker lives."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -93,7 +83,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """The pieces of each document: full windows, then the rest. `tokenizer`: name of a public vocabulary file."""
 
     def work(batches):
-        encode, tail = encoder(tokenizer_path(tokenizer)), struct.pack("<I", end)
+        encode, tail = kept(tokenizer, lambda: Encoder(tokenizer_path(tokenizer))), struct.pack("<I", end)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -106,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             columns = zip(*rows, strict=True) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
 
-    return over_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, PIECE_IDS if with_ids else PIECE)
+    return over_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, PIECE_IDS if with_ids else PIECE, tokenizer)
 
 
 class OpenWindows:

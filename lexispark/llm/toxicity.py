@@ -209,14 +209,10 @@ class Boosted:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators fit: knots and values of a rising step function, to be interpolated."""
-    order = np.argsort(x, kind="stable")
+    places, at = np.unique(x, return_inverse=True)
     blocks: list[list[float]] = []  # sum of y, count, least x, largest x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        if blocks and blocks[-1][3] == a:
-            blocks[-1][0] += b
-            blocks[-1][1] += 1
-        else:
-            blocks.append([b, 1, a, a])
+    for a, total, n in zip(places.tolist(), np.bincount(at, y, len(places)).tolist(), np.bincount(at, minlength=len(places)).tolist(), strict=True):
+        blocks.append([total, n, a, a])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1][0] += s

@@ -39,7 +39,7 @@ def test_boosted_trees_learn_an_interaction():
 
 
 def test_stand_ins_are_read_as_letters():
-    data, offs = tox.layout(pa.array(["idiot 1d10t 1D1OT 12345 st@ple", None]))
+    data, offs = tox.layout(pa.array(["moron m0r0n M0R0N 12345 st@ple", None]))
     w = tox.Loose(data, offs, 0, 2)
     whole = w.terms()[0]
     assert whole[0] == whole[1] == whole[2] != whole[3]
@@ -88,7 +88,7 @@ def test_odd_rows_and_reject(spark):
     docs = clashing(documents(spark, rows + odd))
     out = tox.score_documents(docs, marks).collect()
     assert len(out) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 for r in out)
-    assert {r["predicted"] for r in out if (r["doc_id"] or 10_000) >= 10_000} == {0}
+    assert {r["predicted"] for r in out if r["doc_id"] is None or r["doc_id"] > 9_000} == {0}
     kept = tox.reject(docs, marks)
     assert kept.columns == docs.columns
     left = kept.collect()
