@@ -16,6 +16,7 @@ from ..operators import bm25, chunks as chunking, explain as explaining, views a
 from ..operators.postings import Stats, lexicon, postings, weights
 from ..plans.routing import Route, route_update
 from ..sources import files as sources
+from ..sources.local import local_rows
 from .cut import cut_lineage
 from .store import Snapshot, Store
 
@@ -37,7 +38,7 @@ def numbered(df: DataFrame, order: list[str], base: int, name: str = "row") -> D
     for p, n in counts:
         offsets.append((p, total))
         total += n
-    table = df.sparkSession.createDataFrame(offsets, "_p long, _base long")
+    table = local_rows(df.sparkSession, offsets, "_p long, _base long")
     return placed.join(F.broadcast(table), "_p").withColumn(name, F.col("_base") + F.col("_i")).drop("_id", "_p", "_i", "_base")
 
 
@@ -82,7 +83,7 @@ class Index:
         return [*self.state.parts, *(s["dir"] for s in self.state.segments if s["tag"] not in self.stale)]
 
     def _read(self, folders: list[str], table: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*(f"{f}/{table}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{f}/{table}" for f in folders)) if folders else local_rows(self.spark, [], schema)
 
     def all_chunks(self) -> DataFrame:
         return self._read(self._folders(), "chunks", CHUNKS)
@@ -98,7 +99,7 @@ class Index:
         """Live postings; with `terms` only those of the terms."""
         found = self._read(self._folders(), "postings", POSTINGS)
         if terms is not None:
-            found = found.where(F.col("term").isin(terms)) if len(terms) <= PUSHED else found.join(self.spark.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
+            found = found.where(F.col("term").isin(terms)) if len(terms) <= PUSHED else found.join(local_rows(self.spark, [(t,) for t in terms], "term string"), "term", "left_semi")
         return found.join(self.dead(), "row", "left_anti") if self.state.dead else found
 
     def vocabulary(self) -> DataFrame:
@@ -122,11 +123,11 @@ class Index:
     # queries
 
     def _terms(self, queries: list[str]) -> tuple[DataFrame, list[str]]:
-        found = bm25.query_terms(self.spark.createDataFrame(list(enumerate(queries)), "qid int, query string")) if self.tokenize is tokens else (
-            self.spark.createDataFrame(list(enumerate(queries)), "qid int, query string").select("qid", F.explode_outer(self.tokenize(F.col("query"))).alias("term")).where("term is not null").distinct()
+        found = bm25.query_terms(local_rows(self.spark, list(enumerate(queries)), "qid int, query string")) if self.tokenize is tokens else (
+            local_rows(self.spark, list(enumerate(queries)), "qid int, query string").select("qid", F.explode_outer(self.tokenize(F.col("query"))).alias("term")).where("term is not null").distinct()
         )
         rows = found.collect()  # as many as the caller's own words
-        return self.spark.createDataFrame(rows, "qid int, term string"), sorted({r["term"] for r in rows})
+        return local_rows(self.spark, rows, "qid int, term string"), sorted({r["term"] for r in rows})
 
     def scores(self, queries: list[str]) -> DataFrame:
         """(qid, row, score) of all live rows with a query term."""
@@ -186,18 +187,18 @@ class Index:
             best = bm25.top_k_single(scored.select("row", "score"), max(1, k)).collect()
         out = []
         if best:
-            counts = explaining.term_counts(self.spark.createDataFrame([(0, query)], "qid int, query string"))
+            counts = explaining.term_counts(local_rows(self.spark, [(0, query)], "qid int, query string"))
             _, words = self._terms([query])
             posts = self.postings(words)
             lex = self.vocabulary().where(F.col("term").isin(words)).join(lexicon(posts), "term", "left").na.fill(0, ["df"])
-            asked = self.spark.createDataFrame([(0, best[-1]["row"])], "qid int, row long")
+            asked = local_rows(self.spark, [(0, best[-1]["row"])], "qid int, row long")
             rows = explaining.explain(posts, lex, counts, asked, self.numbers()).orderBy(F.desc("contribution"), "term").collect()
             shown = [r for r in rows if r["status"] == "ok"][: max(top, 0)] + [r for r in rows if r["status"] != "ok"]
             out = [{"row": r["row"], "term": r["term"], "q_count": r["q_count"], "in_vocab": r["status"] != "oov", **{c: r[c] for c in ("status", "tf", "df", "idf", "contribution")}} for r in shown]
         return {"contributions": out, "diagnosis": self.diagnose(query, k)} if diagnose else out
 
     def diagnose(self, query: str, k: int = 10) -> dict:
-        counts = explaining.term_counts(self.spark.createDataFrame([(0, query)], "qid int, query string"))
+        counts = explaining.term_counts(local_rows(self.spark, [(0, query)], "qid int, query string"))
         _, words = self._terms([query])
         posts = self.postings(words)
         lex = self.vocabulary().where(F.col("term").isin(words)).join(lexicon(posts), "term", "left").na.fill(0, ["df"])
@@ -398,7 +399,7 @@ class Index:
             if kind == "rebuild":
                 self.rebuild(root, skip_dirs=skip_dirs)
             elif kind != "noop":
-                gone = self.spark.createDataFrame(gone.collect(), "row long") if tomb["all"] <= 10_000 else gone
+                gone = local_rows(self.spark, gone.collect(), "row long") if tomb["all"] <= 10_000 else gone
                 events = indexed.join(diff.where("change <> 'removed'"), "rel", "left_semi").unionByName(diff.where("change = 'removed'").select("rel", *(F.lit(None).cast(t).alias(c) for c, t in (("md5", "string"), ("size", "long"), ("mtime_ns", "long")))))
                 actions = {"ledger": [_write_ledger(self.store, events, self.state.seq + 1)], "root": root}
                 changed = texts.join(diff.where("change <> 'removed'").select(F.col("rel").alias("file")), "file", "left_semi")
@@ -450,6 +451,11 @@ class Index:
             view["view"].unpersist()
         return view is not None
 
+    def drop_view(self, name: str) -> None:
+        """Detach a view and delete what `save_view` has written of it."""
+        self.detach_view(name)
+        self.store.files.delete(f"{self.store.path}/views/{name}")
+
     def set_view_available(self, name: str, available: bool) -> None:
         self._views[name]["available"] = available
 
@@ -528,7 +534,7 @@ class Stage:
         if not isinstance(rows, DataFrame):
             rows = list(rows)
             self.n += len(rows)
-            rows = self.index.spark.createDataFrame(rows, "docid string, file string, line int, text string") if rows else None
+            rows = local_rows(self.index.spark, rows, "docid string, file string, line int, text string") if rows else None
         else:
             self.n += rows.count()
         if rows is not None:

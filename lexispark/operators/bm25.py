@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.local import local_rows
 from .postings import Stats, idf, saturation
 
 #: Contributions are summed as whole multiples of 2**-40, so a sum doesn't depend on the order of its parts: equal corpora give equal scores however they are stored.
@@ -24,7 +25,7 @@ def query_terms(queries: DataFrame, qid: str = "qid", text: str = "query") -> Da
 
 
 def terms_of(spark: SparkSession, queries: Iterable[str]) -> DataFrame:
-    return query_terms(spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "qid int, query string"))
+    return query_terms(local_rows(spark, enumerate(queries), "qid int, query string"))
 
 
 def contributions(posts: DataFrame, lex: DataFrame, terms: DataFrame, stats: Stats) -> DataFrame:

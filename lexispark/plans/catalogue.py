@@ -18,6 +18,7 @@ from ..index.cut import cut_lineage
 from ..index.index import Index
 from ..operators import bm25, chunks, explain, postings, views
 from ..sources import files
+from ..sources.local import local_rows
 from .routing import route_update
 
 QUERY = "that therble, the heron of zzyzx"
@@ -289,7 +290,7 @@ def doc_len(spark, d):
 @query(f"WITH {index_sql()} SELECT count(*) AS n_live, sum(dl)::BIGINT AS sum_dl, round(sum(dl)::DOUBLE / count(*), 6) AS avgdl FROM lens")
 def corpus_stats(spark, d):
     s = postings.corpus_stats(postings.doc_lengths(docs_of(spark, d)))
-    return spark.createDataFrame([(s.n_live, s.sum_dl, round(s.avgdl, 6))], "n_live long, sum_dl long, avgdl double")
+    return local_rows(spark, [(s.n_live, s.sum_dl, round(s.avgdl, 6))], "n_live long, sum_dl long, avgdl double")
 
 
 @query(f"WITH {index_sql()} SELECT term, df, round({IDF}, 6) AS idf FROM lex, st")
@@ -445,7 +446,7 @@ def diagnose_status(spark, d):
 
 def _explained(spark, d):
     posts, lex, stats = tables_of(docs_of(spark, d))
-    counts = explain.term_counts(spark.createDataFrame([(0, QUERY)], "qid int, query string"))
+    counts = explain.term_counts(local_rows(spark, [(0, QUERY)], "qid int, query string"))
     scored = bm25.top_k(bm25.scores(posts, lex, one_query(spark), stats), K, digits=DIGITS)
     return scored, explain.explain(posts, lex, counts, scored, stats)
 
@@ -554,7 +555,7 @@ def segments_folded_topk(spark, d):
 n AS (SELECT part, count(*) AS rows FROM d GROUP BY part), f AS (SELECT term, min(part) AS part FROM t GROUP BY term)
 SELECT CASE part WHEN 1 THEN '{FIRST}' ELSE '{SECOND}' END AS tag, (SELECT sum(m.rows) FROM n m WHERE m.part < n.part)::BIGINT AS row_base, rows AS n_rows, (SELECT count(*) FROM f WHERE f.part = n.part) AS new_terms FROM n WHERE part > 0""")
 def segment_report(spark, d):
-    return spark.createDataFrame([(s["tag"], s["row_base"], s["rows"], s["new_terms"]) for s in _mounted(spark, d).segments()], "tag string, row_base long, n_rows long, new_terms long")
+    return local_rows(spark, [(s["tag"], s["row_base"], s["rows"], s["new_terms"]) for s in _mounted(spark, d).segments()], "tag string, row_base long, n_rows long, new_terms long")
 
 
 @query(f"WITH {index_sql(f'SELECT * FROM documents WHERE {PART} < 2')}, {scored_sql()} {best_sql(tie=BY_ROW, more=ROWS_OF)}")
@@ -612,7 +613,7 @@ def route_decisions(spark, d):
         counts = dict(zip(_GRID, values, strict=True))
         r = route_update(**counts | {"dense_on": bool(counts["dense_on"])})
         rows.append((*values, r.route, r.code, r.then))
-    return spark.createDataFrame(rows, ", ".join(f"{k} int" for k in _GRID) + ", route string, code string, following string")
+    return local_rows(spark, rows, ", ".join(f"{k} int" for k in _GRID) + ", route string, code string, following string")
 
 
 # dense views

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .local import local_rows
+
 MAX_BYTES = 2_000_000
 #: Folders, names and extensions that are never indexed (the last folder is this package's own default for an index).
 EXCLUDE_DIRS = {".git", ".workbuddy", "node_modules", "__pycache__", ".venv", "venv", "env", ".env", "dist", "build", ".next", ".pytest_cache", ".mypy_cache", ".idea", ".vscode", ".idx", ".lexispark_index"}
@@ -55,7 +57,7 @@ def accepted(rel: Column, size: Column) -> Column:
 
 
 def listing(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> DataFrame:
-    return spark.createDataFrame(list_files(root, skip_dirs), LISTED)
+    return local_rows(spark, list_files(root, skip_dirs), LISTED)
 
 
 def read_files(listed: DataFrame) -> DataFrame:
