@@ -2,7 +2,8 @@
 
 Features: densities and weights of a lexicon learned from the labels, its words' nearness to a second person, capitals, punctuation, digits and obfuscation.
 Lexicon terms are whole words and word beginnings (4 to 6 bytes), after lower-casing and after undoing digit and symbol stand-ins.
-The classifier is fitted on at most `sample` labelled rows (SAMPLE; taken by a hash of doc_id, near copies thinned out); every text is scored whole.
+The classifier is fitted on at most `sample` labelled rows (SAMPLE; taken by a hash of doc_id, near copies thinned out); every text is scored whole. The trees and the
+calibration see each of these rows through a lexicon learned from the other folds.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1. Labels, lang, source and doc_id are never inputs of a score.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +25,8 @@ from .common import aside, crc_mod3, named_back, over_batches
 from .words import LOWER, WORD, Words, chunked, layout, mix, ngrams, powers
 
 SAMPLE, THRESHOLD = 20_000, 0.7
-LEXICON, LEAST_DOCS, LEAST_ODDS = 4_000, 5, 3.0
+#: A term enters the lexicon if so many toxic rows hold it, its log odds are this high, and its log-likelihood ratio (twice the surprise at so many toxic ones among its rows) leaves little room for chance.
+LEXICON, LEAST_DOCS, LEAST_ODDS, LEAST_RATIO, FOLDS = 4_000, 5, 3.0, 16.0, 4
 TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 32, 10
 #: Bytes of text whose features are worked out at once; about 100 bytes of memory for each.
 FEATURE_BYTES = 1 << 19
@@ -262,14 +264,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(crc_mod3(F.col("doc_id")) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample)  # at most `sample` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("fold")), F.lit(FOLDS)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id").withColumn("fold", fold)
 
     def thin(batches):
         for batch in batches:
             keys = [_least_shingle(batch.column("text"), s).view(np.int64) for s in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.compute.cast(batch.column("doc_id"), pa.int64()), batch.column("toxic"), *(pa.array(k) for k in keys)], ["doc_id", "toxic", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "fold")), *(pa.array(k) for k in keys)], ["doc_id", "toxic", "fold", "a", "b"])
 
-    keys = over_batches(rows, thin, "doc_id long, toxic int, a long, b long").toPandas().sort_values(["doc_id", "toxic"])  # `sample` rows
+    keys = over_batches(rows, thin, "doc_id long, toxic int, fold int, a long, b long").toPandas().sort_values(["doc_id", "toxic"])  # `sample` rows
     keys = keys.drop_duplicates("doc_id").drop_duplicates(["a", "toxic"]).drop_duplicates(["b", "toxic"])
     if not len(keys):
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), 0.0)
@@ -279,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def count(batches):
         for batch in batches:
             data, offs = layout(batch.column("text"))
-            y = batch.column("toxic").to_numpy()
+            y, part = batch.column("toxic").to_numpy(), batch.column("fold").to_numpy()
             for lo, hi in chunked(offs):
                 w = Loose(data, offs, lo, hi)
                 row, found = w.row(), []
@@ -287,23 +290,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     order = np.lexsort((row, h))
                     h, r = h[order], row[order]
                     new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])) if len(h) else np.zeros(0, bool)
-                    found.append((h[new], y[lo + r[new]]))
-                h, toxic = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+                    found.append((h[new], lo + r[new]))
+                h, r = (np.concatenate(x) for x in zip(*found, strict=True))
                 terms, at = np.unique(h, return_inverse=True)
-                bad, every = np.bincount(at, toxic, len(terms)), np.bincount(at, minlength=len(terms))
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(bad.astype(np.int64)), pa.array(every.astype(np.int64))], ["term", "bad", "n"])
-
-    bad, n = float((keys["toxic"] == 1).sum()), float(len(keys))
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
-    terms = over_batches(rows, count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= LEAST_DOCS)
-    best = terms.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("bad"), "term").limit(LEXICON).toPandas()
-    model = Model(Lexicon(best["term"].to_numpy(np.int64).view(np.uint64), best["odds"].to_numpy(float)), bad / n)
-    shared = spark.sparkContext.broadcast(model)
+                cell, where = np.unique(at * FOLDS + part[r], return_inverse=True)
+                bad, every = np.bincount(where, y[r], len(cell)), np.bincount(where, minlength=len(cell))
+                columns = terms[cell // FOLDS].view(np.int64), (cell % FOLDS).astype(np.int32), bad.astype(np.int64), every.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["term", "fold", "bad", "n"])
+
+    # of each term the numbers in all rows and in each fold
+    here = [F.col("fold") == k for k in range(FOLDS)]
+    cells = [F.sum(F.when(f, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k, f in enumerate(here) for c in ("bad", "n")]
+    counted = over_batches(rows, count, "term long, fold int, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), *cells).where(F.col("bad") >= LEAST_DOCS)
+    found = counted.orderBy(F.desc("bad"), F.desc(F.col("bad") / F.col("n")), "term").where((_odds(F.col("bad"), F.col("n"), keys) >= LEAST_ODDS) & (_ratio(F.col("bad"), F.col("n"), keys) >= LEAST_RATIO)).limit(LEXICON).toPandas()
+
+    def lexicon(bad, n, own) -> Lexicon:
+        keep = bad >= LEAST_DOCS
+        odds = _odds(bad, n, own)
+        keep &= (odds >= LEAST_ODDS) & (_ratio(bad, n, own) >= LEAST_RATIO)
+        return Lexicon(found["term"].to_numpy(np.int64).view(np.uint64)[keep], odds[keep])
+
+    whole = {c: found[c].to_numpy(float) for c in found.columns if c != "term"}
+    model = Model(lexicon(whole["bad"], whole["n"], keys), float((keys["toxic"] == 1).mean()))
+    # a row's features for fitting come from a lexicon without its fold, so that the trees see how well terms do on texts that didn't choose them
+    others = [lexicon(whole["bad"] - whole[f"bad{k}"], whole["n"] - whole[f"n{k}"], keys[keys["fold"] != k]) for k in range(FOLDS)]
+    shared = spark.sparkContext.broadcast(others)
 
     def measure(batches):
         for batch in batches:
-            x = features(batch.column("text"), shared.value.lexicon)
-            yield pa.RecordBatch.from_arrays([pa.compute.cast(batch.column("doc_id"), pa.int64()), batch.column("toxic"), *(pa.array(c) for c in x.T)], ["doc_id", "toxic", *FEATURES])
+            part, x = batch.column("fold").to_numpy(), np.zeros((batch.num_rows, len(FEATURES)))
+            for k in np.unique(part):
+                at = np.flatnonzero(part == k)
+                x[at] = features(batch.column("text").take(pa.array(at)), shared.value[k])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(c) for c in x.T)], ["doc_id", "toxic", *FEATURES])
 
     seen = over_batches(rows, measure, "doc_id long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
     order = np.random.default_rng(0).random(len(seen))
@@ -311,6 +330,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
+def _odds(bad, n, keys):
+    """Smoothed log odds of a term between toxic and other rows of `keys`; numbers or columns."""
+    log = F.log if isinstance(bad, Column) else np.log
+    toxic, rows = float((keys["toxic"] == 1).sum()), float(len(keys))
+    return log((bad + 0.5) / (toxic + 1)) - log((n - bad + 0.5) / (rows - toxic + 1))
+
+
+def _ratio(bad, n, keys):
+    """Log-likelihood ratio of a term's share of toxic rows against that of all `keys`; numbers or columns."""
+    log = F.log if isinstance(bad, Column) else np.log
+    share, least = min(max(float((keys["toxic"] == 1).mean()), 1e-9), 1 - 1e-9), 1e-9
+    good = n - bad
+    return 2 * (bad * log((bad + least) / (n * share + least)) + good * log((good + least) / (n * (1 - share) + least)))
+
+
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with the score of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
