@@ -174,19 +174,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, further=None) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all columns of `docs`.
 
-    Where several rows of a component have that doc_id, or none has a doc_id, one of them stays.
+    Where several rows of a component have that doc_id, or none has a doc_id, one of them stays. `further`: a function of the documents and the
+    ids that stay (of one row each) which names those that go for another reason.
     """
     own, back = aside(docs, ("fp", "root", "component_id", "_row"))
     prints = durable(with_fingerprint(own, ["doc_id"], shingle))
     table = durable(component_table(prints, radius))
     # rows whose doc_id says which document they are need no text beside their fingerprint
-    left = own.join(table.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    stay = table.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     shared = durable(prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("root")))
-    if not shared.isEmpty():
-        left = left.join(shared, F.col("doc_id") == F.col("root"), "left_anti")
+    odd = not shared.isEmpty()
+    if odd:
+        stay = stay.join(shared, F.col("doc_id") == F.col("root"), "left_anti")
+    if further is not None:
+        stay = durable(stay)
+        stay = stay.join(further(own, stay), "doc_id", "left_anti")
+    left = own.join(stay, "doc_id", "left_semi")
+    if odd:
         rest = with_fingerprint(own.join(shared, F.col("doc_id").eqNullSafe(F.col("root")), "left_semi"), own.columns, shingle).join(table, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         order = Window.partitionBy("root").orderBy(F.xxhash64("text"), *(F.xxhash64(f"`{c}`") for c in own.columns if c not in ("doc_id", "text")))
         left = left.select(*own.columns).unionByName(rest.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*own.columns))

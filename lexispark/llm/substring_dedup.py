@@ -204,7 +204,7 @@ def sieve(ids: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _in_table(ids, table) -> pa.Array:
+def in_table(ids, table) -> pa.Array:
     """Whether each id is in the bit table; null ids are not."""
     bit = _bit(pa.compute.cast(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
     hit = ((table.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
@@ -216,7 +216,7 @@ def sifted(docs: DataFrame, table, inside: bool) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            hit = _in_table(batch.column("doc_id"), table)
+            hit = in_table(batch.column("doc_id"), table)
             yield batch.filter(hit if inside else pa.compute.invert(hit))
 
     return over_batches(docs, work, docs.schema)
@@ -227,7 +227,7 @@ def word_hashes(docs: DataFrame, table) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            batch = batch.filter(_in_table(batch.column("doc_id"), table))
+            batch = batch.filter(in_table(batch.column("doc_id"), table))
             data, offs = layout(batch.column("text"))
             out = []
             for lo, hi in chunked(offs):
