@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import decontaminate, packing, simhash_dedup, substring_dedup, toxicity
+from lexispark.llm import decontaminate, near_copies, packing, simhash_dedup, substring_dedup, toxicity
 from lexispark.llm.common import durable, table
 
 
@@ -18,8 +18,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return simhash_dedup.deduplicate(docs)
+    """One document of each group of near copies stays: the one with the smallest doc_id. Copies are what SimHash links, and what five-word shingles show to be 0.8 alike."""
+    return simhash_dedup.deduplicate(docs, further=near_copies.copies_among)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

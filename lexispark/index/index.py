@@ -5,8 +5,9 @@ All data are Parquet tables (chunks, postings by term, tombstones, ledger) named
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -445,6 +446,15 @@ class Index:
         self._views[name] = {"view": view, "available": True, "meta": dict(meta or {})}
         return self.views()[-1]
 
+    def encode_view(self, name: str, encode: Callable[[list[str]], list[list[float]]], meta: dict | None = None, replace: bool = False) -> dict:
+        """A view of all live chunks from an encoder of texts, which the executors call on Arrow batches."""
+
+        @F.pandas_udf("array<float>")
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([[float(x) for x in v] for v in encode(texts.tolist())])
+
+        return self.attach_view(name, cut_lineage(self.chunks().select("row", run("text").alias("vec"))), meta, replace)
+
     def detach_view(self, name: str) -> bool:
         view = self._views.pop(name, None)
         if view is not None:

@@ -314,6 +314,8 @@ def test_views(spark, tmp_path):
     again = open_index(spark, str(tmp_path))
     assert again.load_views() == [{"name": "v", "attached": True, "unmatched": 1}] and again.views()[0]["covered_live"] == 3
     assert again.detach_view("v") and not again.detach_view("v")
+    made = again.encode_view("lengths", lambda texts: [[len(t), 1.0] for t in texts])
+    assert made["covered_live"] == made["n_live"] == 7
 
 
 # directories
