@@ -146,13 +146,20 @@ class Index:
         if self.settings["approx_topk"] and len(queries) == 1:
             best = bm25.approximate_top_k(scored.select("row", "score"), k).withColumn("qid", F.lit(0))
             scored = best
-        found = bm25.hits(bm25.top_k(scored, k), self.all_chunks(), with_text)
+        best = bm25.top_k(scored, k).select("qid", "rank", "score", "row").collect()  # at most k a query
+        held = self._chunks_of([r["row"] for r in best], ["docid", "file", "line", *(["text"] if with_text else [])])
         out: list[list[dict]] = [[] for _ in queries]
-        for r in found.orderBy("qid", "rank").collect():
-            hit = r.asDict()
-            out[hit.pop("qid")].append(hit)
+        for r in sorted(best, key=lambda r: (r["qid"], r["rank"])):
+            out[r["qid"]].append({"rank": r["rank"], "score": r["score"], **held[r["row"]]})
         return out
 
+    def _chunks_of(self, rows: list[int], columns: list[str]) -> dict[int, dict]:
+        """Columns of a few rows. Their numbers go to the scan as literals, where files and row groups without them are skipped."""
+        wanted = sorted(set(rows))
+        found = self.all_chunks().select("row", *columns)
+        found = found.where(F.col("row").isin(wanted)) if len(wanted) <= PUSHED else found.join(local_rows(self.spark, [(r,) for r in wanted], "row long"), "row")
+        return {r["row"]: {c: r[c] for c in columns} for r in found.collect()} if wanted else {}
+
     def search(self, query: str, k: int = 10, with_text: bool = True) -> list[dict]:
         return self.search_batch([query], k, with_text)[0]
 
@@ -171,7 +178,7 @@ class Index:
         if getattr(self, "_weights", (None,))[0] != key:
             folder = self.store.folder("weights")
             posts = self.postings()
-            weights(posts, lexicon(posts), self.numbers()).repartitionByRange("term").sortWithinPartitions("term").write.parquet(folder)
+            weights(posts, lexicon(posts), self.numbers()).repartitionByRange("term", "row").sortWithinPartitions("term", "row").write.parquet(folder)
             self._weights = (key, folder)
         return self.spark.read.parquet(self._weights[1])
 
@@ -366,7 +373,6 @@ class Index:
             replace["ledger"] = [_write_ledger(self.store, self.ledger(), self.state.seq + 1)]
         before = len(self.state.parts)
         self.state = self.store.commit(self.state, "compact", self.state.n_rows, replace=replace)
-        self.state.since_base = 0
         return {"folded": tags, "parts_before": before, "parts": 1}
 
     def stage_begin(self, tag: str | None = None) -> Stage:
@@ -481,14 +487,14 @@ class Index:
             fused = scored.select("row", F.col("score").alias("base"), F.lit(None).cast("double").alias("cos"), F.col("score").alias("fused"))
         else:
             fused = viewing.fuse(scored, viewing.cosine(view["view"], vector), alpha)
-        best = fused.orderBy(F.desc("fused"), "row").limit(max(k, 0))
-        found = best.join(self.all_chunks().select("row", "file", "line", "text"), "row").orderBy(F.desc("fused"), "row").collect()
-        return [{"rank": i + 1, "score": r["fused"], "file": r["file"], "line": r["line"], "text": r["text"]} for i, r in enumerate(found)]
+        best = fused.orderBy(F.desc("fused"), "row").limit(max(k, 0)).collect()
+        held = self._chunks_of([r["row"] for r in best], ["file", "line", "text"])
+        return [{"rank": i + 1, "score": r["fused"], **held[r["row"]]} for i, r in enumerate(best)]
 
     def search_dense(self, query: str, name: str, vector: list[float], k: int = 10) -> list[dict]:
-        best = viewing.dense_rerank(self.scores([query]).select("row", "score"), self._views[name]["view"], vector, k)
-        found = best.join(self.all_chunks().select("row", "docid", "file", "line", "text"), "row").orderBy(F.desc("fused"), "row").collect()
-        return [{"rank": i + 1, **r.asDict()} for i, r in enumerate(found)]
+        best = viewing.dense_rerank(self.scores([query]).select("row", "score"), self._views[name]["view"], vector, k).collect()
+        held = self._chunks_of([r["row"] for r in best], ["docid", "file", "line", "text"])
+        return [{"rank": i + 1, **r.asDict(), **held[r["row"]]} for i, r in enumerate(best)]
 
     def save_view(self, name: str) -> str:
         folder = f"{self.store.path}/views/{name}"
@@ -581,8 +587,8 @@ def _chunk(scanned: DataFrame) -> DataFrame:
 
 
 def _by_term(posts: DataFrame) -> DataFrame:
-    """Postings in files that hold ranges of terms, so that a scan for a few terms skips the rest."""
-    return posts.repartitionByRange("term").sortWithinPartitions("term", "row")
+    """Postings in files that hold ranges of terms, so that a scan for a few terms skips the rest; a common term is spread over files by row."""
+    return posts.repartitionByRange("term", "row").sortWithinPartitions("term", "row")
 
 
 def _write_part(store: Store, texts: DataFrame, base: int, tokenize, vocabulary: DataFrame | None = None) -> tuple[str, int]:
