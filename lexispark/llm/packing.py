@@ -28,7 +28,7 @@ from .common import durable, kept, over_batches
 
 CAPACITY, END, SALTS = 2048, 1, 32
 #: Pre-tokens of one generation of a Python worker's cache; two are kept, at about 200 bytes each.
-CACHE = 350_000
+CACHE = 250_000
 
 
 class Encoder:
