@@ -2,9 +2,12 @@
 
 Fingerprints of 64 bits within two bits only tell texts that are all but equal (see the README for figures), so the stage looks at shingles too.
 
-1. Of each document the smallest share of its shingle hashes that two similar sets can't both keep apart: two sets with similarity s share one of their n - ceil(s n) + 1 smallest.
-2. Each of these is joined with the first and the last document that holds it, never with all of them, so a common passage gives at most two candidates a document.
-3. Candidates of fitting sizes that share at least SHARED of the smaller one's signs (similar sets share about nine in ten) are compared exactly, by their whole sets.
+1. Of each document the first share of its shingle hashes that two similar sets can't both keep apart: two sets with similarity s share one of their n - ceil(s n) + 1 first.
+   Any order of the hashes will do. The smallest come first, but those of over COMMON documents last, so common passages bring nobody together who shares little else.
+2. Stars: while all pairs of holders would be many, each hash joins its holders with two of them (drawn by a hash of doc_id), and what proves similar is one group from then on.
+   These rounds only save work.
+3. All pairs of holders of a hash that are not in one group yet, so every similar pair is met or its ends are in one group. Sizes must fit, and the number of common
+   signs must leave room for the overlap that the similarity asks for: both are bounds, no similar pair fails them. The rest is compared exactly, by whole sets.
 4. Components of the links; the smallest doc_id of each stays.
 
 Only documents that a candidate names are shuffled for the comparison.
@@ -24,7 +27,9 @@ from .simhash_dedup import components
 from .substring_dedup import in_table, sieve
 from .words import Words, chunked, layout, mix, ngrams
 
-SHINGLE, SIMILARITY, SHARED = 5, 0.8, 0.4
+SHINGLE, SIMILARITY = 5, 0.8
+#: Holders above which a hash comes last; pairs of holders a sign above which another round of stars is worth it, and rounds at most; share of the smaller one's signs that a star asks for.
+COMMON, MANY, ROUNDS, SHARED = 32, 4, 3, 0.4
 
 
 def shingle_sets(column, shingle: int = SHINGLE):
@@ -52,8 +57,21 @@ def prefix(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def signs(docs: DataFrame, table, similarity: float) -> DataFrame:
-    """(hash, doc_id, n): the smallest hashes of each document in the bit table, and how many shingles it has."""
+def common(docs: DataFrame, table) -> np.ndarray:
+    """Bit table of the hashes, of the lower half of all, that over COMMON of the documents in the bit table hold."""
+
+    def work(batches):
+        for batch in batches:
+            batch = batch.filter(in_table(batch.column("doc_id"), table))
+            parts = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in shingle_sets(batch.column("text"))]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["hash"])
+
+    return sieve(over_batches(docs, work, "hash long").groupBy("hash").count().where(F.col("count") > COMMON), "hash")
+
+
+def signs(docs: DataFrame, table, last, similarity: float) -> DataFrame:
+    """(hash, doc_id, n): the first hashes of each document in the bit table, those in the bit table `last` after all others, and how many shingles it has."""
 
     def work(batches):
         for batch in batches:
@@ -61,7 +79,8 @@ def signs(docs: DataFrame, table, similarity: float) -> DataFrame:
             ids = batch.column("doc_id").to_numpy()
             parts, many, sizes = [], [], []
             for s in shingle_sets(batch.column("text")):
-                parts.append(s[: prefix(len(s), similarity)])
+                late = in_table(pa.array(s.view(np.int64)), last).to_numpy(zero_copy_only=False)
+                parts.append(np.concatenate([s[~late], s[late]])[: prefix(len(s), similarity)])
                 many.append(len(parts[-1]))
                 sizes.append(len(s))
             if parts:
@@ -70,23 +89,50 @@ def signs(docs: DataFrame, table, similarity: float) -> DataFrame:
     return over_batches(docs, work, "hash long, doc_id long, n int")
 
 
-def candidates(found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: documents that may be similar."""
-    ends = found.groupBy("hash").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max(F.struct("doc_id", "n")).alias("last")).where("first.doc_id < last.doc_id")
-    both = found.join(ends, "hash")
-    pair = F.array(*(F.struct(F.least("doc_id", f"{e}.doc_id").alias("a"), F.greatest("doc_id", f"{e}.doc_id").alias("b"), F.least("n", f"{e}.n").alias("lo"), F.greatest("n", f"{e}.n").alias("hi")) for e in ("first", "last")))
-    pairs = both.select(F.explode(F.array_distinct(pair)).alias("p")).select("p.*").where((F.col("a") < F.col("b")) & (F.col("lo") >= F.lit(similarity) * F.col("hi")))
-    least = F.greatest(F.lit(1.0), F.lit(SHARED) * ((1 - similarity) * F.col("lo") + 1))
-    return pairs.groupBy("a", "b", "lo").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b")
+def grouped(found: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """`found` with the group of each document in column c, for the hashes that more than one group holds."""
+    if edges is None:
+        found = found.withColumn("c", F.col("doc_id"))
+    else:
+        known = components(edges).select(F.col("node").alias("doc_id"), "root")
+        found = found.join(known, "doc_id", "left").select("hash", "doc_id", "n", F.coalesce("root", "doc_id").alias("c"))
+    several = found.groupBy("hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hash")
+    return durable(found.join(several, "hash"))
 
 
-def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: pairs of `ids` (column doc_id) whose texts are similar, and that connect what the candidates do."""
-    spark = docs.sparkSession
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = candidates(signs(rows, spark.sparkContext.broadcast(sieve(ids, "doc_id")), similarity), similarity)
+def load(found: DataFrame) -> tuple[int, int]:
+    """Rows of `found`, and pairs of them with one hash and two groups."""
+    each = found.groupBy("hash", "c").agg(F.count("*").alias("k")).groupBy("hash").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    rows, pairs = each.agg(F.sum("k"), F.sum(F.expr("cast((cast(k as decimal(38,0)) * k - kk) / 2 as decimal(38,0))"))).first()
+    return rows or 0, int(pairs or 0)
+
+
+def stars(found: DataFrame, salt: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: documents that may be similar, of each hash its holders with two of them."""
+    drawn = F.struct(F.xxhash64("doc_id", F.lit(salt)), "doc_id", "n", "c")
+    ends = found.groupBy("hash").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"))
+    pair = F.array(*(F.struct(F.least("doc_id", f"{e}.doc_id").alias("a"), F.greatest("doc_id", f"{e}.doc_id").alias("b"), F.least("n", f"{e}.n").alias("lo"), F.greatest("n", f"{e}.n").alias("hi"), (F.col("c") != F.col(f"{e}.c")).alias("apart")) for e in ("first", "last")))
+    pairs = found.join(ends, "hash").select(F.explode(F.array_distinct(pair)).alias("p")).select("p.*").where(F.col("apart") & (F.col("lo") >= F.lit(similarity) * F.col("hi")))
+    return pairs.groupBy("a", "b", "lo").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1.0), F.lit(SHARED) * ((1 - similarity) * F.col("lo") + 1))).select("a", "b")
+
+
+def all_pairs(found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all documents of two groups that can be similar, by their sizes and the signs they share.
+
+    Both have all common elements up to the end of the shorter-reaching prefix among their signs, and at most what that document has beyond its prefix after it.
+    """
+    a, b = (found.select("hash", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9)
+    shared = a.join(b, "hash").where(fits).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    beyond = F.ceil(F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9) - 1
+    return shared.where(F.col("shared") + beyond >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+
+
+def similar(rows: DataFrame, ids: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) of `ids` whose texts are similar."""
+    spark = rows.sparkSession
     # the bit table lets a few others through
-    pairs = durable(found.join(ids.select(F.col("doc_id").alias("a")), "a", "left_semi").join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi"))
+    pairs = durable(pairs.join(ids.select(F.col("doc_id").alias("a")), "a", "left_semi").join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi"))
     table = spark.sparkContext.broadcast(sieve(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"))
 
     def sets(batches):
@@ -97,7 +143,7 @@ def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> Da
     held = over_batches(rows, sets, "id long, own binary")
     joined = pairs.join(held.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(held.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
 
-    def similar(batches):
+    def work(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
@@ -106,7 +152,24 @@ def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> Da
                 keep.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return over_batches(joined.select("a", "b", "own_a", "own_b"), similar, "a long, b long")
+    return over_batches(joined.select("a", "b", "own_a", "own_b"), work, "a long, b long")
+
+
+def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b: pairs of `ids` (column doc_id) whose texts are similar, and that connect all that are."""
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    table = broadcast(sieve(ids, "doc_id"))
+    found, edges = grouped(signs(rows, table, broadcast(common(rows, table)), similarity), None), None
+    for salt in range(ROUNDS):
+        held, pairs = load(found)
+        if pairs <= MANY * held:
+            break
+        more = durable(similar(rows, ids, stars(found, salt, similarity), similarity))
+        edges = more if edges is None else edges.unionByName(more)
+        found = grouped(found.drop("c"), edges)
+    last = similar(rows, ids, all_pairs(found, similarity), similarity)
+    return last if edges is None else edges.unionByName(last)
 
 
 def copies_among(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

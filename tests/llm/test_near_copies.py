@@ -101,3 +101,28 @@ def test_odd_rows(spark):
     assert [r["doc_id"] for r in near_copies.copies_among(docs, ids).collect()] == [8]
     none = documents(spark, [])
     assert near_copies.copies_among(none, none.select("doc_id")).collect() == [] == near_copies.copies_among(docs, none.select("doc_id")).collect()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_outliers_at_both_ends_do_not_hide_the_rest(spark, seed):
+    """Smallest and largest doc_id are variants too far from the rest, which are alike: the rest is one group all the same, with and without rounds of stars."""
+    rng = random.Random(seed)
+    rows = []
+    for g, (size, words, far) in enumerate([(8, 400, 13), (60, 200, 7)]):
+        text = sentence(rng, words)
+        edits = [far, *[2] * (size - 2), far]
+        rows += [(1000 * g + i, edited(rng, text, e)) for i, e in enumerate(edits)]
+    docs = documents(spark, rows)
+    gone = {r["doc_id"] for r in near_copies.copies_among(docs, docs.select("doc_id")).collect()}
+    assert sorted({d for d, _ in rows} - gone) == kept_by_hand(rows)
+
+
+def test_many_holders_of_one_passage(spark):
+    """Documents that share a common passage and nothing else stay; pairs of copies among them go."""
+    rng = random.Random(12)
+    common = sentence(rng, 30)
+    rows = [(i, f"{common} {sentence(rng, 40)}") for i in range(300)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 1)) for i in range(0, 300, 10)]
+    docs = documents(spark, rows)
+    gone = {r["doc_id"] for r in near_copies.copies_among(docs, docs.select("doc_id")).collect()}
+    assert sorted({d for d, _ in rows} - gone) == kept_by_hand(rows)
