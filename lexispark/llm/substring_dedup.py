@@ -281,23 +281,30 @@ def columns_of(a: np.ndarray, b: np.ndarray, frags: list[int], k: int = K) -> tu
     return np.concatenate(xs), np.concatenate(ys), np.concatenate(eq)
 
 
-def segments(equal: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Disjoint stretches in which at least `similarity` of the columns are equal and that no longer stretch betters; each begins and ends with an equal column."""
+def segments(equal: np.ndarray, similarity: float = SIMILARITY, min_words: int = 1, place: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Disjoint stretches of `min_words` places or more in which at least `similarity` of the columns are equal; each begins and ends with an equal column.
+
+    Of all such stretches the one of the best score comes first (an equal column counts 1, another what makes `similarity` score 0), then those beside it.
+    `place`: the place of each column in the document, ascending; its own number by default.
+    """
+    place = np.arange(len(equal)) if place is None else place
+    total = np.append(0.0, np.cumsum(np.where(equal, 1.0, -similarity / (1 - similarity))))
     out, todo = [], [(0, len(equal))]
-    penalty = similarity / (1 - similarity)
     while todo:
         lo, hi = todo.pop()
         if lo >= hi:
             continue
-        total = np.append(0.0, np.cumsum(np.where(equal[lo:hi], 1.0, -penalty)))
-        rise = total - np.minimum.accumulate(total)
-        end = int(np.argmax(rise))
-        if rise[end] <= 0:
+        start = np.where(equal[lo:hi], total[lo:hi], np.inf)
+        least = np.minimum.accumulate(start)
+        # the last column that each stretch can begin with
+        late = np.searchsorted(place[lo:hi], place[lo:hi] + 1 - min_words, side="right") - 1
+        score = np.where(equal[lo:hi] & (late >= 0), total[lo + 1 : hi + 1] - least[np.maximum(late, 0)], -np.inf)
+        end = int(np.argmax(score))
+        if not score[end] >= -1e-9:
             continue
-        begin = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
-        out.append((lo + begin, lo + end))
-        if rise[end] >= 8:  # what is left beside a long stretch can hold another one
-            todo += [(lo, lo + begin), (lo + end, hi)]
+        begin = int(np.flatnonzero(start[: late[end] + 1] == least[late[end]])[-1])
+        out.append((lo + begin, lo + end + 1))
+        todo += [(lo, lo + begin), (lo + end + 1, hi)]
     return sorted(out)
 
 
@@ -314,10 +321,9 @@ def aligned(own: np.ndarray, hits: list[dict], min_words: int, similarity: float
         if frags[-2] + k > len(own) or not len(b):  # a row of the same doc_id with another text
             continue
         x, y, equal = columns_of(own, b, frags, k)
-        for lo, hi in segments(equal, similarity):
+        for lo, hi in segments(equal, similarity, min_words, x):
             start, end = int(x[lo]), int(x[hi - 1]) + 1
-            if end - start >= min_words:
-                out.append({"start": start, "end": end, "source_doc_id": c["r"], "source_start": int(y[lo]) + c["base"], "source_end": int(y[hi - 1]) + 1 + c["base"], "similarity": float(equal[lo:hi].mean())})
+            out.append({"start": start, "end": end, "source_doc_id": c["r"], "source_start": int(y[lo]) + c["base"], "source_end": int(y[hi - 1]) + 1 + c["base"], "similarity": float(equal[lo:hi].mean())})
     return sorted(out, key=lambda p: (p["start"], -p["end"], p["source_doc_id"]))
 
 

@@ -154,3 +154,25 @@ def test_query_finds_every_long_exact_repeat(spark, sf):
                 missed += not any(a <= i + 2 and i + 58 <= b for a, b in found.get(d, []))
         seen.update(grams)
     assert total > 100 and missed == 0
+
+
+def test_a_replaced_clause_does_not_hide_a_passage():
+    """40 equal words, 5 replaced, 15 equal are 0.92 alike over 60 words, though no part of it that scores best has 45."""
+    noise = [False] * 30
+    equal = np.array([*noise, *[True] * 40, *[False] * 5, *[True] * 15, *noise])
+    assert sd.segments(equal, 0.8, 45) == [(30, 90)]
+    own, other = np.arange(120, dtype=np.uint32), np.arange(120, dtype=np.uint32) + 1000 * (~equal).astype(np.uint32)
+    hit = {"slice": other.astype(np.uint32).tobytes(), "base": 0, "r": 1, "frags": [30, 60, 30]}
+    assert [(p["start"], p["end"]) for p in sd.aligned(own, [hit], 45, 0.8)] == [(30, 90)]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_segments_miss_no_stretch(seed):
+    """Where there is a stretch of 45 columns or more that is 0.8 alike, begins and ends equal, one is found that meets it."""
+    equal = np.random.default_rng(seed).random(200) < np.repeat(np.random.default_rng(seed + 50).choice([0.5, 0.75, 0.85, 0.95], 10), 20)
+    out = sd.segments(equal, 0.8, 45)
+    assert all(equal[a] and equal[b - 1] and b - a >= 45 and equal[a:b].mean() >= 0.8 - 1e-9 for a, b in out)
+    for a in np.flatnonzero(equal):
+        for b in np.flatnonzero(equal) + 1:
+            if b - a >= 45 and equal[a:b].mean() >= 0.8:
+                assert any(a < d and c < b for c, d in out)
