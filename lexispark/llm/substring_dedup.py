@@ -2,7 +2,8 @@
 
 1. Seeds: winnowed five-word shingles; every run of WINDOW + 4 words that two documents share gives both a common seed.
 2. A seed is joined with its first place (smallest doc_id, then position), never with all its other places, so a passage shared by n documents gives n - 1 matches.
-   Firsts are found by an aggregate with partial sums before the shuffle.
+   Firsts are found by an aggregate with partial sums before the shuffle. A passage made of pieces that several earlier documents hold is matched with those; where
+   matches go over from one to another, the seeds to either side are one more seed with a first place of its own, which finds a holder of the whole.
 3. The matches of a document with one earlier document are merged into diagonal fragments; a Fenwick tree over the earlier document's positions
    finds each fragment's best predecessor under gap costs; the best chains are taken one by one.
 4. Chains are aligned word by word with the earlier document's passage. Where one word in five or fewer differs over `min_words` words or more,
@@ -31,7 +32,7 @@ from .words import Words, chunked, layout, mix, ngrams
 
 K, WINDOW, MIN_WORDS, SIMILARITY = 5, 10, 45, 0.8
 #: Words beyond a chain's ends that the alignment looks at; the furthest that seeds of an unbroken match can be apart, so that a fragment holds no edit; cost of a skipped word in a chain.
-REACH, SKIP, GAP = 32, WINDOW, 0.125
+REACH, SKIP, GAP = 64, WINDOW, 0.125
 SIEVE = 25
 _POS = 28
 
@@ -61,15 +62,82 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     return over_batches(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "hash long, doc_id long, pos int")
 
 
-def matches(found: DataFrame, packed: bool) -> DataFrame:
-    """(d, x, r, y): each seed of document d with the seed's first place in an earlier document r."""
+def first_places(found: DataFrame, packed: bool, *more: str) -> DataFrame:
+    """(d, x, r, y, hash, more): each row of `found` (hash, doc_id, pos, more) of document d with the first place of its hash, if an earlier document r holds that."""
     if packed:
         place = F.shiftleft("doc_id", _POS).bitwiseOR(F.col("pos").cast("long"))
         r, y = F.shiftright("first", _POS), F.col("first").bitwiseAND(F.lit((1 << _POS) - 1)).cast("int")
     else:
         place, r, y = F.struct("doc_id", "pos"), F.col("first.doc_id"), F.col("first.pos")
     firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).select("hash", "last", r.alias("r"), y.alias("y")).where("last > r")
-    return found.join(firsts.drop("last"), "hash").where("doc_id > r").select(F.col("doc_id").alias("d"), F.col("pos").alias("x"), "r", "y")
+    return found.join(firsts.drop("last"), "hash").where("doc_id > r").select(F.col("doc_id").alias("d"), F.col("pos").alias("x"), "r", "y", "hash", *more)
+
+
+def by_document(found: DataFrame, names: list[str], of, schema: str) -> DataFrame:
+    """`of` (a function that gives record batches) over the columns `names`, the first of which is d, as rows of one array, whole documents at a time."""
+
+    def work(batches):
+        held = np.zeros((len(names), 0), dtype=np.int64)
+        for batch in batches:
+            m = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
+            if not m.shape[1]:
+                continue
+            cut = int(np.searchsorted(m[0], m[0, -1]))
+            held = m[:, cut:]
+            if cut:
+                yield of(m[:, :cut])
+        if held.shape[1]:
+            yield of(held)
+
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return over_batches(found.select(*names).repartition(n, "d").sortWithinPartitions("d"), work, schema)
+
+
+def edges_of(m: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The run that each row (d, x, r, y; ordered by d and x) belongs to, and the seams: rows i in runs that can be a passage, where row i + 1 goes over to another place than row i.
+
+    Equal seeds in a row (one word over and over) have one first place and are no seam.
+    """
+    d, x, r, y = m[:4]
+    same = (d[1:] == d[:-1]) & (x[1:] - x[:-1] <= 2 * WINDOW)
+    run = np.cumsum(np.append(True, ~same)) - 1
+    begin = np.flatnonzero(np.append(True, ~same))
+    end = np.append(begin[1:], len(d)) - 1
+    long = (x[end] - x[begin] + k + 2 * (WINDOW + k - 1) >= min_words)[run]
+    return run, np.flatnonzero(same & long[1:] & ((r[1:] != r[:-1]) | (y[1:] != y[:-1]) & (x[1:] - y[1:] != x[:-1] - y[:-1])))
+
+
+def seams(found: DataFrame, min_words: int, k: int = K) -> DataFrame:
+    """(hash, doc_id, pos, step): hashes of one, two and three matched seeds to either side of each seam, by the place of the last seed before it and the steps to the next.
+
+    A passage made of pieces that several earlier documents hold has its seeds matched with those. Its true holder goes over between the same pieces at the same seeds.
+    """
+
+    def of(m: np.ndarray) -> pa.RecordBatch:
+        m = m[:, np.lexsort((m[1], m[0]))]
+        d, x, h = m[0], m[1], m[4].view(np.uint64)
+        run, seam = edges_of(m, min_words, k)
+        out = []
+        for side in (1, 2, 3):
+            at = seam[seam >= side - 1]
+            at = at[at + side < len(d)]
+            at = at[run[at - side + 1] == run[at + side]] if len(at) else at
+            key = np.full(len(at), side, dtype=np.uint64)
+            for j in range(1 - side, side + 1):
+                key = mix(key * np.uint64(31) + h[at + j] + (x[at + j] - x[at]).view(np.uint64))
+            out.append((key.view(np.int64), d[at], x[at], x[at + 1] - x[at]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], ["hash", "doc_id", "pos", "step"])
+
+    return by_document(found, ["d", "x", "r", "y", "hash"], of, "hash long, doc_id long, pos int, step int")
+
+
+def matches(found: DataFrame, packed: bool, min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, x, r, y): each seed of document d with its first place in an earlier document r, and the seeds about each seam with the first place of their context."""
+    direct = first_places(found, packed)
+    context = first_places(seams(direct, min_words), packed, "step")
+    both = F.explode(F.array(*(F.struct("d", (F.col("x") + s).alias("x"), "r", (F.col("y") + s).alias("y")) for s in (F.lit(0), F.col("step")))))
+    return direct.select("d", "x", "r", "y").unionByName(context.select(both.alias("m")).select("m.*"))
 
 
 class Fenwick:
@@ -135,55 +203,44 @@ def chain(fragments: list[tuple[int, int, int, int]], k: int = K, gap: float = G
 
 
 def chains(found: DataFrame, min_words: int, k: int = K) -> DataFrame:
-    """(d, r, y_lo, y_hi, frags): chains of two seeds or more that reach over half of `min_words`; frags holds x1, x2, y1 of each fragment in turn."""
+    """(d, r, y_lo, y_hi, frags): chains of two seeds or more; frags holds x1, x2, y1 of each fragment in turn."""
 
     def of(m: np.ndarray):
-        """Chains of whole documents; rows d, x, r, y."""
-        m = m[:, np.lexsort((m[1], m[1] - m[3], m[2], m[0]))]
-        d, x, r, y = m
+        """Chains of whole documents; rows d, x, r, y. A lone seed between two seams counts for two: it may be all that is matched with the holder of its whole run."""
+        m = m[:, np.lexsort((m[1], m[0]))]
+        _, seam = edges_of(m, min_words, k)
+        weight = np.ones(m.shape[1], dtype=np.int64)
+        weight[np.intersect1d(seam, seam + 1)] = 2
+        order = np.lexsort((m[1], m[1] - m[3], m[2], m[0]))
+        (d, x, r, y), weight = m[:, order], weight[order]
         diagonal = x - y
         pair = np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]))
         new = pair | np.append(True, (diagonal[1:] != diagonal[:-1]) | (x[1:] - x[:-1] > SKIP))
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(d)) - 1
-        fx1, fx2, fy1, count = x[begin], x[end], y[begin], end - begin + 1
+        fx1, fx2, fy1, count = x[begin], x[end], y[begin], np.add.reduceat(weight, begin)
         group = np.cumsum(pair)[begin]
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         last = np.append(first[1:], len(group))
-        # a pair of documents with one seed in all, or with seeds too close together, has no passage
-        total, lo, hi = np.add.reduceat(count, first), np.minimum.reduceat(fx1, first), np.maximum.reduceat(fx2, first)
-        for g in np.flatnonzero((total > 1) & (2 * (hi - lo + k) >= min_words - 4 * WINDOW)):
+        # a pair of documents with one seed in all has no passage
+        for g in np.flatnonzero(np.add.reduceat(count, first) > 1):
             a, b = int(first[g]), int(last[g])
             frags = list(zip(fx1[a:b].tolist(), fx2[a:b].tolist(), fy1[a:b].tolist(), count[a:b].tolist(), strict=True))
             for own in chain(frags, k):
                 if sum(frags[i][3] for i in own) < 2:
                     continue
                 x1, x2 = frags[own[0]][0], frags[own[-1]][1]
-                if x2 - x1 + k + 2 * (WINDOW + k) < min_words:
-                    continue
                 y_hi = frags[own[-1]][2] + x2 - frags[own[-1]][0] + k
                 yield int(d[begin[a]]), int(r[begin[a]]), frags[own[0]][2], y_hi, [v for i in own for v in frags[i][:3]]
 
     names = ["d", "r", "y_lo", "y_hi", "frags"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
 
-    def work(batches):
-        held = np.zeros((4, 0), dtype=np.int64)
-        for batch in batches:
-            m = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("d", "x", "r", "y")])], axis=1)
-            if not m.shape[1]:
-                continue
-            cut = int(np.searchsorted(m[0], m[0, -1]))
-            held = m[:, cut:]
-            if cut:
-                rows = list(of(m[:, :cut]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
-        if held.shape[1]:
-            rows = list(of(held))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
+    def batch_of(m: np.ndarray) -> pa.RecordBatch:
+        rows = list(of(m))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
 
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return over_batches(found.repartition(n, "d").sortWithinPartitions("d"), work, "d long, r long, y_lo int, y_hi int, frags array<int>")
+    return by_document(found, ["d", "x", "r", "y"], batch_of, "d long, r long, y_lo int, y_hi int, frags array<int>")
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -332,7 +389,7 @@ def _with_hits(docs: DataFrame, min_words: int):
     spark = docs.sparkSession
     ids = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     packed = ids[0] is None or 0 <= ids[0] <= ids[1] < 1 << (62 - _POS)
-    found = durable(chains(matches(seeds(docs), packed), min_words))
+    found = durable(chains(matches(seeds(docs), packed, min_words), min_words))
     late, early = (spark.sparkContext.broadcast(sieve(found, c)) for c in ("d", "r"))
     base = F.greatest(F.lit(0), F.col("y_lo") - REACH)
     words = word_hashes(docs, early)

@@ -176,3 +176,28 @@ def test_segments_miss_no_stretch(seed):
         for b in np.flatnonzero(equal) + 1:
             if b - a >= 45 and equal[a:b].mean() >= 0.8:
                 assert any(a < d and c < b for c, d in out)
+
+
+def composite_rows(rng, trials):
+    """Passages of pieces that different earlier documents hold, in two later documents; the last of them must lose all of it."""
+    rows, gone = [], {}
+    for t in range(trials):
+        pieces = [sentence(rng, n) for n in ((30, 30) if t % 2 else (20, 20, 20))]
+        rows += [(100 * t + i, f"{sentence(rng, 40)} {p} {sentence(rng, 40)}") for i, p in enumerate(pieces)]
+        rows += [(100 * t + i, f"{sentence(rng, 30)} {' '.join(pieces)} {sentence(rng, 30)}") for i in (50, 51)]
+        gone[100 * t + 51] = 100 * t + 50
+    return rows, gone
+
+
+def test_passages_of_pieces_held_elsewhere(spark):
+    rows, gone = composite_rows(random.Random(13), 40)
+    out = sd.repeated_passages(documents(spark, rows)).collect()
+    assert {r["doc_id"]: r["source_doc_id"] for r in out} == gone
+    assert all(58 <= r["end"] - r["start"] <= 66 for r in out)
+
+
+def test_one_word_over_and_over_is_few_passages(spark):
+    """Runs of one word have one first place for all their seeds; they don't give a passage a seed."""
+    rng = random.Random(14)
+    rows = [(i, f"{sentence(rng, 40)} {'the ' * 300} {sentence(rng, 40)}") for i in range(3)]
+    assert len(sd.repeated_passages(documents(spark, rows)).collect()) <= 12
