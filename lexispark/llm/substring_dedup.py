@@ -30,7 +30,7 @@ from .common import aside, durable, named_back, over_batches
 from .decontaminate import cut, has_word
 from .words import Words, chunked, layout, mix, ngrams
 
-K, WINDOW, MIN_WORDS, SIMILARITY = 5, 10, 45, 0.8
+K, WINDOW, MIN_WORDS, SIMILARITY = 5, 5, 45, 0.8
 #: Words beyond a chain's ends that the alignment looks at; the furthest that seeds of an unbroken match can be apart, so that a fragment holds no edit; cost of a skipped word in a chain.
 REACH, SKIP, GAP = 64, WINDOW, 0.125
 SIEVE = 25

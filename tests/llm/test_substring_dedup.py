@@ -201,3 +201,18 @@ def test_one_word_over_and_over_is_few_passages(spark):
     rng = random.Random(14)
     rows = [(i, f"{sentence(rng, 40)} {'the ' * 300} {sentence(rng, 40)}") for i in range(3)]
     assert len(sd.repeated_passages(documents(spark, rows)).collect()) <= 12
+
+
+def test_most_fuzzy_passages_are_found(spark):
+    """Of passages of 60 words nearly all that are 0.85 alike, and those with an edit at every eighth word."""
+    rng = random.Random(15)
+    rows, want = [], {}
+    for t in range(200):
+        old = sentence(rng, 60).split()
+        new = list(old)
+        for i in range(3, 60, 8) if t % 2 else rng.sample(range(60), 9):
+            new[i] = f"edit{rng.randrange(10**6)}"
+        rows += [(10 * t, f"{sentence(rng, 40)} {' '.join(old)} {sentence(rng, 40)}"), (10 * t + 1, f"{sentence(rng, 40)} {' '.join(new)} {sentence(rng, 40)}")]
+        want[10 * t + 1] = 10 * t
+    found = {r["doc_id"]: r["source_doc_id"] for r in sd.repeated_passages(documents(spark, rows)).collect() if min(r["end"], 100) - max(r["start"], 40) >= 40}
+    assert found.items() <= want.items() and len(found) >= 190
