@@ -10,7 +10,7 @@ documents pass once for each part and the spans found so far travel along, cut b
 
 Defined cases: a null or empty text, or one without words, has no words and no hits. An item with fewer words than the window is one window
 of its own length; an item without words is none. Repeated documents are judged each; repeated items count each (by item_id, equal ids
-once). Empty tables give empty or clean results. Extra columns pass through `decontaminate`, whatever their names.
+once); all items with a null item_id are one item, whose name is the empty string. Empty tables give empty or clean results. Extra columns pass through `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def scan(batch: pa.RecordBatch, bench: Benchmark, edit: bool) -> dict[str, list]
 
 
 def cut(text: str | None, cuts: list[dict]) -> str | None:
-    """`text` without the byte ranges; white space around a cut shrinks to one line break or blank."""
+    """`text` without the byte ranges; blanks around a cut shrink to one, line breaks stay."""
     if not cuts:
         return text
     raw, parts, at = text.encode(), [], 0
@@ -185,7 +185,7 @@ def merged(old: list[dict], new: list[dict]) -> list[dict]:
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), edit: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """Columns `keep` of `docs` with n_words, spans (word ranges), items; with `edit` also text (whole) and cuts (its byte ranges)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
     names = list(dict.fromkeys([*keep, "text"]))
