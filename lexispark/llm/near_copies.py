@@ -4,11 +4,13 @@ Fingerprints of 64 bits within two bits only tell texts that are all but equal (
 
 1. Of each document the first share of its shingle hashes that two similar sets can't both keep apart: two sets with similarity s share one of their n - ceil(s n) + 1 first.
    Any order of the hashes will do. The smallest come first, but those of over COMMON documents last, so common passages bring nobody together who shares little else.
-2. Stars: while all pairs of holders would be many, each hash joins its holders with two of them (drawn by a hash of doc_id), and what proves similar is one group from then on.
-   These rounds only save work.
-3. All pairs of holders of a hash that are not in one group yet, so every similar pair is met or its ends are in one group. Sizes must fit, and the number of common
-   signs must leave room for the overlap that the similarity asks for: both are bounds, no similar pair fails them. The rest is compared exactly, by whole sets.
-4. Components of the links; the smallest doc_id of each stays.
+2. A place in that order bounds what two sets can share from there on, so a hash's holder can only be similar to holders of a certain size, its `most`. Holders too large for every
+   other group's `most` leave the hash before anything is paired.
+3. Stars: while all pairs of holders would be many, each hash joins its holders with two of them (the one that can take the largest partner, and one drawn by a hash of doc_id),
+   and what proves similar is one group from then on. These rounds only save work.
+4. All pairs of holders of a hash that are not in one group yet, as far as both sizes fit both places. At the first hash that two similar sets share they do, so every similar pair is met or
+   its ends are in one group. The rest is compared exactly, by whole sets.
+5. Components of the links; the smallest doc_id of each stays.
 
 Only documents that a candidate names are shuffled for the comparison.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, over_batches
@@ -28,8 +30,8 @@ from .substring_dedup import in_table, sieve
 from .words import Words, chunked, layout, mix, ngrams
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Holders above which a hash comes last; pairs of holders a sign above which another round of stars is worth it, and rounds at most; share of the smaller one's signs that a star asks for.
-COMMON, MANY, ROUNDS, SHARED = 32, 4, 3, 0.4
+#: Holders above which a hash comes last; pairs of holders a sign above which another round of stars is worth it, and rounds at most.
+COMMON, MANY, ROUNDS = 32, 4, 3
 
 
 def shingle_sets(column, shingle: int = SHINGLE):
@@ -71,7 +73,7 @@ def common(docs: DataFrame, table) -> np.ndarray:
 
 
 def signs(docs: DataFrame, table, last, similarity: float) -> DataFrame:
-    """(hash, doc_id, n): the first hashes of each document in the bit table, those in the bit table `last` after all others, and how many shingles it has."""
+    """(hash, doc_id, n, at): the first hashes of each document in the bit table with their places, those in the bit table `last` after all others; and how many shingles it has."""
 
     def work(batches):
         for batch in batches:
@@ -84,20 +86,31 @@ def signs(docs: DataFrame, table, last, similarity: float) -> DataFrame:
                 many.append(len(parts[-1]))
                 sizes.append(len(s))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids, many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], ["hash", "doc_id", "n"])
+                many = np.array(many)
+                at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                columns = np.concatenate(parts).view(np.int64), np.repeat(ids, many), np.repeat(np.array(sizes, np.int32), many), at.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "doc_id", "n", "at"])
 
-    return over_batches(docs, work, "hash long, doc_id long, n int")
+    return over_batches(docs, work, "hash long, doc_id long, n int, at int")
 
 
-def grouped(found: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """`found` with the group of each document in column c, for the hashes that more than one group holds."""
+def most(similarity: float, n="n", at="at") -> F.Column:
+    """Shingles that a similar set can have at most, if it shares nothing before this place: both sizes together times s / (1 + s) must be met by what is left."""
+    return F.floor((F.col(n) - F.col(at)) * ((1 + similarity) / similarity) - F.col(n) + 1e-6)
+
+
+def grouped(found: DataFrame, edges: DataFrame | None, similarity: float) -> DataFrame:
+    """`found` with the group of each document in column c, as far as a holder of another group may be similar."""
     if edges is None:
         found = found.withColumn("c", F.col("doc_id"))
     else:
         known = components(edges).select(F.col("node").alias("doc_id"), "root")
-        found = found.join(known, "doc_id", "left").select("hash", "doc_id", "n", F.coalesce("root", "doc_id").alias("c"))
-    several = found.groupBy("hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hash")
-    return durable(found.join(several, "hash"))
+        found = found.join(known, "doc_id", "left").select("hash", "doc_id", "n", "at", F.coalesce("root", "doc_id").alias("c"))
+    # of each hash the two groups with the largest `most`
+    by_group = found.groupBy("hash", "c").agg(F.max(most(similarity)).alias("m"))
+    best = by_group.withColumn("k", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("m"), "c"))).where("k <= 2")
+    best = best.groupBy("hash").agg(F.max(F.when(F.col("k") == 1, F.col("c"))).alias("own"), F.max(F.when(F.col("k") == 1, F.col("m"))).alias("first"), F.max(F.when(F.col("k") == 2, F.col("m"))).alias("second")).where("second is not null")
+    return durable(found.join(best, "hash").where(F.when(F.col("c") == F.col("own"), F.col("second")).otherwise(F.col("first")) >= F.col("n")).select("hash", "doc_id", "n", "at", "c"))
 
 
 def load(found: DataFrame) -> tuple[int, int]:
@@ -107,25 +120,24 @@ def load(found: DataFrame) -> tuple[int, int]:
     return rows or 0, int(pairs or 0)
 
 
+def fits(similarity: float, a: str, b: str) -> F.Column:
+    """Whether two holders of a hash in two groups can be similar, by their sizes and places. `a`, `b`: prefixes of the columns."""
+    return (F.col(f"{a}c") != F.col(f"{b}c")) & (F.col(f"{a}n") <= most(similarity, f"{b}n", f"{b}at")) & (F.col(f"{b}n") <= most(similarity, f"{a}n", f"{a}at"))
+
+
 def stars(found: DataFrame, salt: int, similarity: float) -> DataFrame:
     """(a, b), a < b: documents that may be similar, of each hash its holders with two of them."""
-    drawn = F.struct(F.xxhash64("doc_id", F.lit(salt)), "doc_id", "n", "c")
-    ends = found.groupBy("hash").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"))
-    pair = F.array(*(F.struct(F.least("doc_id", f"{e}.doc_id").alias("a"), F.greatest("doc_id", f"{e}.doc_id").alias("b"), F.least("n", f"{e}.n").alias("lo"), F.greatest("n", f"{e}.n").alias("hi"), (F.col("c") != F.col(f"{e}.c")).alias("apart")) for e in ("first", "last")))
-    pairs = found.join(ends, "hash").select(F.explode(F.array_distinct(pair)).alias("p")).select("p.*").where(F.col("apart") & (F.col("lo") >= F.lit(similarity) * F.col("hi")))
-    return pairs.groupBy("a", "b", "lo").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1.0), F.lit(SHARED) * ((1 - similarity) * F.col("lo") + 1))).select("a", "b")
+    values = F.struct("doc_id", "n", "at", "c")
+    ends = found.groupBy("hash").agg(F.max(F.struct(most(similarity), values.alias("e"))).alias("widest"), F.min(F.struct(F.xxhash64("doc_id", F.lit(salt)), values.alias("e"))).alias("drawn"))
+    ends = ends.select("hash", F.explode(F.array_distinct(F.array("widest.e", "drawn.e"))).alias("e")).select("hash", *(F.col(f"e.{c}").alias(f"e_{c}") for c in ("doc_id", "n", "at", "c")))
+    return found.join(ends, "hash").where(fits(similarity, "", "e_")).select(F.least("doc_id", "e_doc_id").alias("a"), F.greatest("doc_id", "e_doc_id").alias("b")).distinct()
 
 
 def all_pairs(found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: all documents of two groups that can be similar, by their sizes and the signs they share.
-
-    Both have all common elements up to the end of the shorter-reaching prefix among their signs, and at most what that document has beyond its prefix after it.
-    """
-    a, b = (found.select("hash", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9)
-    shared = a.join(b, "hash").where(fits).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    beyond = F.ceil(F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9) - 1
-    return shared.where(F.col("shared") + beyond >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+    """(a, b), a < b: all documents of two groups that can be similar. Most pairs of holders are turned down inside the join and never come out of it."""
+    a, b = (found.select("hash", *(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "at", "c"))) for x in "ab")
+    joined = a.withColumnRenamed("hash", "h").join(b, (F.col("h") == F.col("hash")) & (F.col("a_doc_id") < F.col("b_doc_id")) & fits(similarity, "a_", "b_"))
+    return joined.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
 
 
 def similar(rows: DataFrame, ids: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -160,14 +172,14 @@ def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> Da
     broadcast = docs.sparkSession.sparkContext.broadcast
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = broadcast(sieve(ids, "doc_id"))
-    found, edges = grouped(signs(rows, table, broadcast(common(rows, table)), similarity), None), None
+    found, edges = grouped(signs(rows, table, broadcast(common(rows, table)), similarity), None, similarity), None
     for salt in range(ROUNDS):
         held, pairs = load(found)
         if pairs <= MANY * held:
             break
         more = durable(similar(rows, ids, stars(found, salt, similarity), similarity))
         edges = more if edges is None else edges.unionByName(more)
-        found = grouped(found.drop("c"), edges)
+        found = grouped(found.drop("c"), edges, similarity)
     last = similar(rows, ids, all_pairs(found, similarity), similarity)
     return last if edges is None else edges.unionByName(last)
 

@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from .common import aside, durable, named_back, over_batches
 
 SHINGLE, RADIUS, BITS = 3, 2, 64
+#: A fingerprint is met by broadcast if more rows have it than HOT_ROWS and than one of HOT_KEYS equal parts of all rows.
+HOT_ROWS, HOT_KEYS = 10_000, 1_000
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -156,42 +158,56 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def component_table(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root, component_id) for every distinct `fp` of `prints` (doc_id, fp): a fingerprint that stands for its component, and the smallest doc_id that the component holds."""
-    firsts = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts.select("fp"), radius))
+def component_table(prints: DataFrame, radius: int = RADIUS, further=None) -> DataFrame:
+    """(fp, root, component_id, n) for every distinct `fp` of `prints` (doc_id, fp): a fingerprint that stands for its component, the smallest doc_id that the component holds, and how many rows have the fingerprint.
+
+    `further`: a function of the first doc_id of each fingerprint (as far as one row has it) that gives more links, as pairs (a, b) of these.
+    """
+    firsts = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    edges = links(firsts.select("fp"), radius)
+    if further is not None:
+        alone = prints.join(firsts.where("first is not null").select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).where("k = 1")
+        ids = durable(alone.select("doc_id", "fp"))
+        a, b = (ids.select(F.col("doc_id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+        edges = edges.unionByName(further(ids.select("doc_id")).join(a, "a").join(b, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+    roots = components(edges)
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     tied = firsts.join(nodes, F.col("fp") == F.col("node")).select("fp", "first", "root")
     smallest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     known = tied.join(smallest, "root").select("fp", "root", "component_id")
-    return firsts.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return firsts.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"), "n")
+
+
+def with_component(prints: DataFrame, table: DataFrame) -> DataFrame:
+    """`prints` with root and component_id of each row's fingerprint. Fingerprints that many rows have meet their rows by a broadcast; the others by a join in which no key has many rows."""
+    rows = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") > max(HOT_ROWS, rows // HOT_KEYS)  # of fewer than HOT_KEYS fingerprints
+    hot = F.broadcast(table.where(often).drop("n"))
+    few = prints.join(hot.select("fp"), "fp", "left_anti").join(table.where(~often).drop("n"), "fp")
+    return few.unionByName(prints.join(hot, "fp"), allowMissingColumns=False)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = durable(with_fingerprint(docs, ["doc_id"], shingle))
-    table = component_table(prints, radius)
-    return prints.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    table = durable(component_table(prints, radius))
+    return with_component(prints, table).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, further=None) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all columns of `docs`.
 
-    Where several rows of a component have that doc_id, or none has a doc_id, one of them stays. `further`: a function of the documents and the
-    ids that stay (of one row each) which names those that go for another reason.
+    Where several rows of a component have that doc_id, or none has a doc_id, one of them stays. `further`: a function of the documents and of ids (of one row each) that links more of them.
     """
     own, back = aside(docs, ("fp", "root", "component_id", "_row"))
     prints = durable(with_fingerprint(own, ["doc_id"], shingle))
-    table = durable(component_table(prints, radius))
+    table = durable(component_table(prints, radius, None if further is None else lambda ids: further(own, ids)).drop("n"))
     # rows whose doc_id says which document they are need no text beside their fingerprint
     stay = table.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     shared = durable(prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("root")))
     odd = not shared.isEmpty()
     if odd:
         stay = stay.join(shared, F.col("doc_id") == F.col("root"), "left_anti")
-    if further is not None:
-        stay = durable(stay)
-        stay = stay.join(further(own, stay), "doc_id", "left_anti")
     left = own.join(stay, "doc_id", "left_semi")
     if odd:
         rest = with_fingerprint(own.join(shared, F.col("doc_id").eqNullSafe(F.col("root")), "left_semi"), own.columns, shingle).join(table, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))

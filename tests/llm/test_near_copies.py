@@ -72,7 +72,7 @@ def test_only_the_given_ids_count(spark):
 def test_with_simhash(spark):
     rows = planted(random.Random(6))
     docs = clashing(documents(spark, rows + odd_rows(random.Random(7))))
-    out = simhash_dedup.deduplicate(docs, further=near_copies.copies_among)
+    out = simhash_dedup.deduplicate(docs, further=near_copies.links)
     assert out.columns == docs.columns
     left = [r["doc_id"] for r in out.collect()]
     assert set(left) >= {1, 4, 5, 7, 9, 10, None} and left.count(9) == 1 and left.count(10) == 2 and 8 not in left
