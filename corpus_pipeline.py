@@ -19,7 +19,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id. Copies are what SimHash links, and what five-word shingles show to be 0.8 alike."""
-    return simhash_dedup.deduplicate(docs, further=near_copies.copies_among)
+    return simhash_dedup.deduplicate(docs, further=near_copies.links)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
