@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch. Spark's own limit is by rows first, and so many long texts would fill a Python worker's memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Allocations of this size and more go back to the system as soon as they are freed (glibc's own limit rises to 32 MB and keeps freed arrays).
+MAPPED_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,7 @@ def over_batches(df: DataFrame, work, schema, keeps: str | None = None) -> DataF
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def lean(batches):
+        settle()
         if keeps not in _kept:
             _kept.clear()
         try:
@@ -55,10 +58,26 @@ def over_batches(df: DataFrame, work, schema, keeps: str | None = None) -> DataF
     return df.mapInArrow(lean, schema)
 
 
+_settled = False
+
+
+def settle() -> None:
+    """Once in a worker: let freed arrays and Arrow buffers return to the system, rather than stay with the allocators."""
+    global _settled
+    if _settled:
+        return
+    _settled = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
+    if tune is not None:
+        tune(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD
+        tune(-8, 2)  # M_ARENA_MAX
+
+
 def give_back() -> None:
     """Return freed memory to the system: Spark keeps Python workers for later tasks, more of them than run at a time."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
