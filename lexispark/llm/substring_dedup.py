@@ -9,7 +9,7 @@
 4. Chains are aligned word by word with the earlier document's passage. Where one word in five or fewer differs over `min_words` words or more,
    the segment is a repeated passage. The first holder keeps it; later ones report or lose it.
 
-Only documents that some chain names are shuffled for the alignment; a bit table of fixed size (SIEVE bits) tells them from the rest, and
+Only documents that some chain names are shuffled for the alignment; a bit table sized by their number (2**SIEVE bits at most) tells them from the rest, and
 passes more than needed when it fills, never fewer.
 
 Defined cases: null texts and texts of fewer than `min_words` words have no passage. A null doc_id is never linked and its row stays as it is. Rows of one
@@ -33,7 +33,8 @@ from .words import Words, chunked, layout, mix, ngrams
 K, WINDOW, MIN_WORDS, SIMILARITY = 5, 5, 45, 0.8
 #: Words beyond a chain's ends that the alignment looks at; the furthest that seeds of an unbroken match can be apart, so that a fragment holds no edit; cost of a skipped word in a chain.
 REACH, SKIP, GAP = 64, WINDOW, 0.125
-SIEVE = 25
+#: Bits of the largest bit table, as a power of 2 (16 MB).
+SIEVE = 27
 _POS = 28
 
 
@@ -243,27 +244,29 @@ def chains(found: DataFrame, min_words: int, k: int = K) -> DataFrame:
     return by_document(found, ["d", "x", "r", "y"], batch_of, "d long, r long, y_lo int, y_hi int, frags array<int>")
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - SIEVE)).astype(np.int64)
+def _bit(ids: np.ndarray, power: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - power)).astype(np.int64)
 
 
 def sieve(ids: DataFrame, column: str) -> np.ndarray:
-    """Bit table of 2**SIEVE places of the ids: at most 2**SIEVE / 64 rows come to the driver."""
+    """Bit table of the ids, of about 16 places an id, from 2**16 to 2**SIEVE of them: at most 2**SIEVE / 64 rows come to the driver. Beyond that it fills and lets more others through."""
+    ids = durable(ids.select(column))
+    power = min(SIEVE, max(16, (16 * ids.count()).bit_length()))
 
     def work(batches):
         for batch in batches:
-            bit = np.unique(_bit(batch.column(0).to_numpy()))
+            bit = np.unique(_bit(batch.column(0).to_numpy(), power))
             yield pa.RecordBatch.from_arrays([pa.array((bit >> 6).astype(np.int32)), pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-    rows = over_batches(ids.select(column), work, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(1 << (SIEVE - 6), dtype=np.int64)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    rows = over_batches(ids, work, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (power - 6), dtype=np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def in_table(ids, table) -> pa.Array:
     """Whether each id is in the bit table; null ids are not."""
-    bit = _bit(pa.compute.cast(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+    bit = _bit(pa.compute.cast(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), (64 * len(table.value) - 1).bit_length())
     hit = ((table.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
     return pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False))
 
@@ -384,6 +387,19 @@ def aligned(own: np.ndarray, hits: list[dict], min_words: int, similarity: float
     return sorted(out, key=lambda p: (p["start"], -p["end"], p["source_doc_id"]))
 
 
+def told(passages: list[dict], k: int = K) -> list[dict]:
+    """Those of a document's passages that say something new: of one stretch the earliest holder's, and a later one's where it covers k words or more that no earlier one does."""
+    out: list[dict] = []
+    for p in sorted(passages, key=lambda p: (p["source_doc_id"], p["start"], -p["end"])):
+        new, at = 0, p["start"]
+        for q in sorted((q for q in out if q["end"] > p["start"] and q["start"] < p["end"]), key=lambda q: q["start"]):
+            new += max(0, q["start"] - at)
+            at = max(at, q["end"])
+        if new + max(0, p["end"] - at) >= k:
+            out.append(p)
+    return sorted(out, key=lambda p: (p["start"], -p["end"], p["source_doc_id"]))
+
+
 def _with_hits(docs: DataFrame, min_words: int):
     """`docs` that some chain names, with the chains and the earlier documents' words in column _hits; and the bit table of the ids in it."""
     spark = docs.sparkSession
@@ -420,13 +436,13 @@ def passages_of(batch: pa.RecordBatch, min_words: int, similarity: float, edit:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each passage of `doc_id` that an earlier document holds: doc_id, start, end (words), source_doc_id, source_start, source_end, similarity."""
+    """One row for each passage of `doc_id` that an earlier document holds: doc_id, start, end (words), source_doc_id, source_start, source_end, similarity. Several holders: see `told`."""
     named, _ = _with_hits(docs.select("doc_id", "text"), min_words)
     arrow = pa.struct([pa.field(f.name, pa.float64() if f.name == "similarity" else pa.int64()) for f in PASSAGE])
 
     def work(batches):
         for batch in batches:
-            found, _ = passages_of(batch, min_words, similarity, False)
+            found = [told(x) for x in passages_of(batch, min_words, similarity, False)[0]]
             counts = np.array([len(x) for x in found])
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), counts)))
             flat = pa.array([p for x in found for p in x], arrow)
