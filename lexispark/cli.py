@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from pathlib import Path
@@ -11,9 +12,10 @@ from pyspark.sql import SparkSession
 
 from .functions.text import SNIPPET
 from .index.index import Index
+from .log import show
 from .sources.local import local_rows
 
-DEFAULT = ".lexispark_index"
+DEFAULT, DENSE = ".lexispark_index", "dense"
 
 
 def session() -> SparkSession:
@@ -63,6 +65,8 @@ def value(text: str):
 
 def parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="lexispark", description="lexical retrieval on Spark")
+    ap.add_argument("--quiet", action="store_true", help="warnings only on standard error")
+    ap.add_argument("--log", help="file that gets progress and warnings too")
     sub = ap.add_subparsers(dest="verb", required=True)
 
     def verb(name: str, about: str) -> argparse.ArgumentParser:
@@ -70,15 +74,29 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--out", help=f"folder of the index (the nearest {DEFAULT} if not given)")
         return p
 
+    def dense(p: argparse.ArgumentParser) -> None:
+        p.add_argument("--dense", action="store_true", help=f"with vectors, kept as the view {DENSE}; needs --model")
+        p.add_argument("--model", help="encoder as module:function, from a list of texts to their vectors")
+
+    def tuned(p: argparse.ArgumentParser) -> None:
+        p.add_argument("--workers", type=int, default=0, help="accepted; Spark deals out the work")
+
     p = verb("index", "build an index of a directory")
     p.add_argument("root")
     p.add_argument("--skip", action="append", default=[], help="folder to leave out, relative to the root; may be repeated")
+    p.add_argument("--w-cache", action="store_true", help="keep materialised weights with the index")
+    dense(p)
+    tuned(p)
+    p.add_argument("--stream", choices=["off", "on", "ids"], default="off", help="accepted; texts are never held in memory here")
     p = verb("query", "best chunks for a query")
     p.add_argument("q")
     p.add_argument("--k", type=int, default=10)
+    dense(p)
     p = verb("update", "bring the index in line with its directory")
     p.add_argument("root", nargs="?")
     p.add_argument("--verify", default="auto", choices=["auto", "full", "stat"])
+    dense(p)
+    tuned(p)
     p = verb("browse", "chunks in order, or the files")
     p.add_argument("--file")
     p.add_argument("--page", type=int, default=0)
@@ -120,6 +138,20 @@ def parser() -> argparse.ArgumentParser:
     return ap
 
 
+def encoder(model: str | None):
+    """The function that `--model` names."""
+    if not model or ":" not in model:
+        raise ValueError("--dense needs --model module:function")
+    module, _, name = model.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def encode(index: Index, a) -> None:
+    """Vectors of all live chunks, made anew and saved."""
+    index.encode_view(DENSE, encoder(a.model), {"model": a.model}, replace=True)
+    index.save_view(DENSE)
+
+
 def view(index: Index, a) -> object:
     for v in index.load_views():
         if not v["attached"]:
@@ -146,12 +178,25 @@ def view(index: Index, a) -> object:
 def run(a, spark: SparkSession) -> object:
     """Carry out a verb; what isn't printed is returned."""
     if a.verb == "index":
-        return Index.build(spark, a.root, a.out or DEFAULT, a.skip).stats()
+        index = Index.build(spark, a.root, a.out or DEFAULT, a.skip)
+        if a.w_cache:
+            index.config(w_cache=True)
+            index.weights()
+        if a.dense:
+            encode(index, a)
+        return index.stats()
     index = Index(spark, located(a.out))
-    if a.verb == "query":
+    if a.verb == "query" and a.dense:
+        index.load_views()
+        found = index.search_dense(a.q, DENSE, [float(x) for x in encoder(a.model)([a.q])[0]], a.k)
+        print_hits(found)
+    elif a.verb == "query":
         print_hits(index.search(a.q, a.k))
     elif a.verb == "update":
-        return index.update(a.root, a.verify)
+        done = index.update(a.root, a.verify)
+        if a.dense:
+            encode(index, a)
+        return done
     elif a.verb == "browse":
         if a.files:
             return index.files()
@@ -197,6 +242,7 @@ def run(a, spark: SparkSession) -> object:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
+    show(not a.quiet, a.log)
     try:
         found = run(a, spark or session())
     except (FileNotFoundError, KeyError, ValueError, RuntimeError) as error:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space of all scripts, as a class of a regular expression.
+BLANK = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Han, kana and Hangul code points that are tokens of their own.
 CJK = "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 UNIT = rf"[{CJK}]|[\p{{L}}\p{{N}}_]+"
@@ -20,6 +21,11 @@ def as_column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def stripped(x: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(as_column(x), f"^{BLANK}+|{BLANK}+$", "")
+
+
 def tokens(text: Column | str) -> Column:
     """Tokens of a text, lower-cased: words, and for CJK each character and its bigram with the CJK character before it.
 
@@ -37,12 +43,21 @@ def tokens(text: Column | str) -> Column:
     return F.when(low.rlike(f"[{CJK}]"), F.flatten(F.zip_with(units, before, pair))).otherwise(units)
 
 
+def series_udf(f: Callable, kind: str) -> Callable[[Column | str], Column]:
+    """Column function of a function of a pandas Series. pandas is loaded here and not with the package, as Python workers load the package too."""
+    import pandas as pd
+
+    def run(values):
+        return f(values)
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
+
+
 def custom_tokens(tokenize: Callable[[str], list[str]]) -> Callable[[Column | str], Column]:
     """Column function of a Python tokenizer, run on Arrow batches."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(tokenize(t or "")))
+    run = series_udf(lambda texts: texts.map(lambda t: list(tokenize(t or ""))), "array<string>")
 
     return lambda text: run(as_column(text))
 
@@ -97,7 +112,7 @@ def hit_ranges(text: Column | str, words: Column | str) -> Column:
 
 def hit_span(text: Column | str, query: Column | str) -> Column:
     """(start, end) of the first place of the whole query, else from the first to the last place of any of its words, else null."""
-    text, query = as_column(text), F.trim(as_column(query))
+    text, query = as_column(text), stripped(query)
     words = F.array_distinct(query_tokens(query))
     places = F.transform(F.filter(words, lambda w: F.call_function("locate", w, text) > 0), lambda w: F.struct(
         (F.call_function("locate", w, text) - 1).alias("start"),
@@ -117,7 +132,7 @@ def hit_span(text: Column | str, query: Column | str) -> Column:
 
 def snippet(text: Column | str, n: int = SNIPPET) -> Column:
     """First n characters on one line, with an ellipsis if more follow."""
-    line = F.trim(F.translate(as_column(text), "\r\n", "  "))
+    line = stripped(F.translate(as_column(text), "\r\n", "  "))
     return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line)
 
 

@@ -1,36 +1,46 @@
 """A persistent lexical index: build, search, explain, update, segments, views.
 
-All data are Parquet tables (chunks, postings by term, tombstones, ledger) named by the commit log; every answer is a Spark plan over the tables of one snapshot.
+All data are Parquet tables (chunks, postings by term, lexicon, tombstones, ledger) named by the commit log; every answer is a Spark plan over the tables of one snapshot.
+
+Each folder of postings has a lexicon beside it (df of its own rows), each folder of tombstones one with what they take away, and commits carry the numbers of rows, tokens and postings. So a search, an append or a
+publish reads the lexicon of the terms it needs and the numbers of the log, never the postings or chunks of the whole index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from copy import deepcopy
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..functions.text import as_column, tokenizer_status, tokens
+from ..functions.text import as_column, series_udf, tokenizer_status, tokens
+from ..log import log, warn
 from ..operators import bm25, chunks as chunking, explain as explaining, views as viewing
 from ..operators.postings import Stats, lexicon, postings, weights
-from ..plans.routing import Route, route_update
+from ..plans.routing import COMPACT_BLOCKS, Route, route_update
 from ..sources import files as sources
 from ..sources.local import local_rows
-from .cut import cut_lineage
+from ..sources.cut import cut_lineage
 from .store import Snapshot, Store
 
-CHUNKS = "row long, docid string, file string, line int, text string, dl long"
+#: unknown: words that have no posting, as the vocabulary was closed when the row came.
+CHUNKS = "row long, docid string, file string, line int, text string, dl long, unknown array<string>"
 POSTINGS = "row long, dl long, term string, tf long"
+LEXICON = "term string, df long"
+TABLES = ("chunks", "postings", "lexicon")
 #: Query terms up to this number are pushed to the postings' scan as literals, where row groups are skipped by term.
 PUSHED = 512
-COMPACT_COMMITS = 16
-CONFIG = {"approx_topk": False, "materialised": False, "persist": "delta", "compact_commits": COMPACT_COMMITS}
+#: Rows up to this number are written to one file a table, without a sample for ranges.
+SMALL = 10_000
+#: Deltas that are merged into one; share of the base's postings in deltas at which all is rewritten.
+COMPACT_COMMITS, COMPACT_RATIO = 16, 0.3
+CONFIG = {"approx_topk": False, "materialised": False, "persist": "delta", "compact_commits": COMPACT_COMMITS, "compact_ratio": COMPACT_RATIO, "compact_blocks": COMPACT_BLOCKS, "rebuild_batch_nnz": None, "w_cache": False}
 
 
-def numbered(df: DataFrame, order: list[str], base: int, name: str = "row") -> DataFrame:
-    """Consecutive numbers from `base` in the order of `order`, without a single-task window: places within range partitions after the partitions' counts."""
+def numbered(df: DataFrame, order: list[str], base: int, name: str = "row") -> tuple[DataFrame, int]:
+    """Consecutive numbers from `base` in the order of `order`, without a single-task window: places within range partitions after the partitions' counts. And how many rows there are."""
     low = F.lit((1 << 33) - 1)
     parted = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut_lineage(parted.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND(low)))
@@ -40,7 +50,7 @@ def numbered(df: DataFrame, order: list[str], base: int, name: str = "row") -> D
         offsets.append((p, total))
         total += n
     table = local_rows(df.sparkSession, offsets, "_p long, _base long")
-    return placed.join(F.broadcast(table), "_p").withColumn(name, F.col("_base") + F.col("_i")).drop("_id", "_p", "_i", "_base")
+    return placed.join(F.broadcast(table), "_p").withColumn(name, F.col("_base") + F.col("_i")).drop("_id", "_p", "_i", "_base"), total - base
 
 
 class Index:
@@ -50,7 +60,9 @@ class Index:
             raise FileNotFoundError(f"no index at {path}")
         self.state, self.load_report = self.store.replay(upto)
         #: Tags of segments whose folders have gone; their rows are left out, and `remount` reports them.
-        self.stale = {s["tag"] for s in self.state.segments if not all(self.store.files.exists(f"{s['dir']}/{x}") for x in ("chunks", "postings"))}
+        self.stale = {s["tag"] for s in self.state.segments if not all(self.store.files.exists(f"{s['dir']}/{x}") for x in TABLES)}
+        for tag in self.stale:
+            warn(f"segment {tag} is incomplete and left out")
         self._views: dict[str, dict] = {}
         self.settings = dict(CONFIG)
 
@@ -61,11 +73,12 @@ class Index:
         """An index of (docid, file, line, text) rows in the order of file, line and docid. On an existing index: a reset."""
         store = Store(spark, path)
         state = store.replay()[0]
-        folder, n = _write_part(store, texts, 0, tokenize)
-        actions = {"k1": k1 if k1 is not None else state.k1, "b": b if b is not None else state.b, "root": root}
+        folder, size = _write_part(store, texts, 0, tokenize)
+        actions = {"sizes": {folder: size}, "k1": k1 if k1 is not None else state.k1, "b": b if b is not None else state.b, "root": root}
         if ledger is not None:
             actions["ledger"] = [_write_ledger(store, ledger, state.seq + 1)]
-        store.commit(state, "reset", n, parts=[folder], **actions)
+        store.commit(state, "reset", size["rows"], parts=[folder], **actions)
+        log(f"index of {size['rows']} rows at {path}")
         return cls(spark, path, tokenize=tokenize)
 
     @classmethod
@@ -103,18 +116,28 @@ class Index:
             found = found.where(F.col("term").isin(terms)) if len(terms) <= PUSHED else found.join(local_rows(self.spark, [(t,) for t in terms], "term string"), "term", "left_semi")
         return found.join(self.dead(), "row", "left_anti") if self.state.dead else found
 
-    def vocabulary(self) -> DataFrame:
-        """(term): never shrinks, so it may hold terms without a live document."""
-        return self._read(self._folders(), "postings", POSTINGS).select("term").distinct()
+    def vocabulary(self, terms: list[str] | None = None) -> DataFrame:
+        """(term): never shrinks, so it may hold terms without a live document. Read from the lexicons."""
+        return self._of_terms(self._read(self._folders(), "lexicon", LEXICON), terms).select("term").distinct()
+
+    def _of_terms(self, table: DataFrame, terms: list[str] | None) -> DataFrame:
+        if terms is None:
+            return table
+        return table.where(F.col("term").isin(terms)) if len(terms) <= PUSHED else table.join(local_rows(self.spark, [(t,) for t in terms], "term string"), "term", "left_semi")
 
     def lexicon(self, terms: list[str] | None = None) -> DataFrame:
-        return lexicon(self.postings(terms))
+        """(term, df) over live rows, 0 for a term that only tombstoned rows hold: the lexicons of all parts less those of the tombstones."""
+        if self.stale and self.state.dead:  # tombstones may be of rows that are left out
+            return self.vocabulary(terms).join(lexicon(self.postings(terms)), "term", "left").na.fill(0, ["df"])
+        return self._of_terms(self._read([*self._folders(), *self.state.dead], "lexicon", LEXICON), terms).groupBy("term").agg(F.sum("df").alias("df"))
 
     def numbers(self) -> Stats:
-        if getattr(self, "_numbers", None) is None or self._numbers[0] != self.state.seq:
+        """From the commits; only where a segment is stale and rows are tombstoned are chunks read."""
+        if self.stale and self.state.dead:
             got = self.chunks().agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("s")).first()
-            self._numbers = (self.state.seq, got["n"], got["s"])
-        return Stats(self.state.n_rows, self._numbers[1], self._numbers[2], self.state.k1, self.state.b)
+            return Stats(self.state.n_rows, got["n"], got["s"], self.state.k1, self.state.b)
+        n, dl = (self.state.total(x, self._folders()) - self.state.gone[x] for x in ("rows", "dl"))
+        return Stats(self.state.n_rows, n, dl, self.state.k1, self.state.b)
 
     def ledger(self) -> DataFrame:
         events = self._read(self.state.ledger, "ledger", f"seq long, {sources.LEDGER}")
@@ -124,29 +147,37 @@ class Index:
     # queries
 
     def _terms(self, queries: list[str]) -> tuple[DataFrame, list[str]]:
-        found = bm25.query_terms(local_rows(self.spark, list(enumerate(queries)), "qid int, query string")) if self.tokenize is tokens else (
-            local_rows(self.spark, list(enumerate(queries)), "qid int, query string").select("qid", F.explode_outer(self.tokenize(F.col("query"))).alias("term")).where("term is not null").distinct()
-        )
-        rows = found.collect()  # as many as the caller's own words
-        return local_rows(self.spark, rows, "qid int, term string"), sorted({r["term"] for r in rows})
+        asked = local_rows(self.spark, list(enumerate(queries)), "qid int, query string").select("qid", self.tokenize(F.col("query")).alias("toks"))
+        rows = sorted({(r["qid"], t) for r in asked.collect() for t in r["toks"]})  # as many as the caller's own words; Spark's own tokens need no job for this
+        return local_rows(self.spark, rows, "qid int, term string"), sorted({t for _, t in rows})
+
+    def _lexicon_of(self, words: list[str]) -> DataFrame:
+        """Lexicon rows of the words as a local table: as many rows as words at most."""
+        return local_rows(self.spark, [(r["term"], r["df"]) for r in self.lexicon(words).collect()] if words else [], LEXICON)
 
     def scores(self, queries: list[str]) -> DataFrame:
         """(qid, row, score) of all live rows with a query term."""
         terms, words = self._terms(queries)
         if self.settings["materialised"]:
-            return bm25.weighted_scores(self.weights().where(F.col("term").isin(words)), terms)
-        posts = self.postings(words)
-        return bm25.scores(posts, lexicon(posts), terms, self.numbers())
+            return bm25.weighted_scores(self._of_terms(self.weights(), words), terms)
+        return bm25.scores(self.postings(words), self._lexicon_of(words), terms, self.numbers())
 
     def search_batch(self, queries: list[str], k: int = 10, with_text: bool = True) -> list[list[dict]]:
         """Hits of each query, best first: rank, score, docid, file, line, text. One job for all queries."""
         if k <= 0 or not queries:
             return [[] for _ in queries]
         scored = self.scores(queries)
-        if self.settings["approx_topk"] and len(queries) == 1:
-            best = bm25.approximate_top_k(scored.select("row", "score"), k).withColumn("qid", F.lit(0))
-            scored = best
-        best = bm25.top_k(scored, k).select("qid", "rank", "score", "row").collect()  # at most k a query
+        if len(queries) > 1:
+            best = bm25.top_k(scored, k).select("qid", "rank", "score", "row").collect()  # at most k a query
+        else:
+            one = scored.select("row", "score")
+            if self.settings["approx_topk"]:
+                one = one.persist(StorageLevel.MEMORY_AND_DISK)  # the sample, the candidates and the fallback read it
+                top = bm25.approximate_top_k(one, k).collect()
+                one.unpersist()
+            else:
+                top = bm25.top_k_single(one, k).collect()
+            best = [{"qid": 0, "rank": i + 1, "score": r["score"], "row": r["row"]} for i, r in enumerate(sorted(top, key=lambda r: (-r["score"], r["row"])))]
         held = self._chunks_of([r["row"] for r in best], ["docid", "file", "line", *(["text"] if with_text else [])])
         out: list[list[dict]] = [[] for _ in queries]
         for r in sorted(best, key=lambda r: (r["qid"], r["rank"])):
@@ -166,53 +197,64 @@ class Index:
     def topk(self, query: str, k: int) -> list[tuple[int, float]]:
         """Exactly min(k, rows) (row, score), also rows that score 0 and tombstoned ones; nothing if no term is known."""
         _, words = self._terms([query])
-        if not words or self.vocabulary().where(F.col("term").isin(words)).isEmpty():
+        if not words or self.vocabulary(words).isEmpty():
             return []
         return [(r["row"], r["score"]) for r in bm25.zero_filled(self.all_chunks(), self.scores([query]), k).collect()]
 
     def weights(self) -> DataFrame:
-        """Materialised weights of this snapshot, made anew whenever its key changes; not while segments are mounted."""
+        """Materialised weights of this snapshot, made anew whenever its key changes; not while segments are mounted. With the setting w_cache a commit names them, so that they outlive the session."""
         if self.state.segments:
             raise RuntimeError("weights are not kept while segments are mounted")
-        key = (self.state.seq, self.state.k1, self.state.b)
-        if getattr(self, "_weights", (None,))[0] != key:
+        key = {"data": self.state.data, "k1": self.state.k1, "b": self.state.b}
+        kept = [w for w in (getattr(self, "_weights", None), self.state.weights) if w is not None and w["key"] == key]
+        if not kept:
             folder = self.store.folder("weights")
-            posts = self.postings()
-            weights(posts, lexicon(posts), self.numbers()).repartitionByRange("term", "row").sortWithinPartitions("term", "row").write.parquet(folder)
-            self._weights = (key, folder)
-        return self.spark.read.parquet(self._weights[1])
+            weights(self.postings(), self.lexicon(), self.numbers()).repartitionByRange("term", "row").sortWithinPartitions("term", "row").write.parquet(folder)
+            kept = [{"key": key, "dir": folder}]
+        self._weights = kept[0]
+        if self.settings["w_cache"] and self.state.weights != kept[0]:
+            self.state = self.store.commit(self.state, "weights", self.state.n_rows, weights=kept[0])
+        return self.spark.read.schema("term string, row long, w double").parquet(kept[0]["dir"])
 
     def explain(self, query: str, docid: str | None = None, k: int = 1, top: int = 6, diagnose: bool = False):
-        """Term rows of the hit of rank `k` (of the last hit, if there are fewer), or of the best chunk whose file name contains `docid`: contributions first (at most `top`), then terms without one."""
+        """Term rows of the hit of rank `k` (of the last hit, if there are fewer), or of the best chunk whose file name contains `docid`: contributions first (at most `top`), then terms without one.
+
+        A chunk of a stale segment that is only known by its chunks has known terms `unavailable`, without a frequency or contribution.
+        """
         scored = self.scores([query]).where("score > 0")
+        lost = False
         if docid is not None:
             named = self.chunks().where(F.contains(F.col("file"), F.lit(docid))).select("row")
             first = named.agg(F.min("row")).first()[0]
+            best = bm25.top_k_single(scored.join(named, "row", "left_semi").select("row", "score"), 1).collect() if first is not None else []
+            if first is None:
+                halves = [s["dir"] for s in self.state.segments if s["tag"] in self.stale and self.store.files.exists(f"{s['dir']}/chunks")]
+                first = self._read(halves, "chunks", CHUNKS).where(F.contains(F.col("file"), F.lit(docid))).agg(F.min("row")).first()[0]
+                lost = True
             if first is None:
                 raise KeyError(docid)
-            best = bm25.top_k_single(scored.join(named, "row", "left_semi").select("row", "score"), 1).collect() or [{"row": first}]
+            best = best or [{"row": first}]
         else:
             best = bm25.top_k_single(scored.select("row", "score"), max(1, k)).collect()
         out = []
         if best:
             counts = explaining.term_counts(local_rows(self.spark, [(0, query)], "qid int, query string"))
             _, words = self._terms([query])
-            posts = self.postings(words)
-            lex = self.vocabulary().where(F.col("term").isin(words)).join(lexicon(posts), "term", "left").na.fill(0, ["df"])
             asked = local_rows(self.spark, [(0, best[-1]["row"])], "qid int, row long")
-            rows = explaining.explain(posts, lex, counts, asked, self.numbers()).orderBy(F.desc("contribution"), "term").collect()
+            rows = explaining.explain(self.postings(words), self._lexicon_of(words), counts, asked, self.numbers()).orderBy(F.desc("contribution"), "term").collect()
+            rows = [r.asDict() for r in rows]
+            if lost:
+                rows = [r | ({"status": "unavailable", "tf": None, "contribution": None} if r["status"] != "oov" else {}) for r in rows]
             shown = [r for r in rows if r["status"] == "ok"][: max(top, 0)] + [r for r in rows if r["status"] != "ok"]
             out = [{"row": r["row"], "term": r["term"], "q_count": r["q_count"], "in_vocab": r["status"] != "oov", **{c: r[c] for c in ("status", "tf", "df", "idf", "contribution")}} for r in shown]
         return {"contributions": out, "diagnosis": self.diagnose(query, k)} if diagnose else out
 
     def diagnose(self, query: str, k: int = 10) -> dict:
         counts = explaining.term_counts(local_rows(self.spark, [(0, query)], "qid int, query string"))
-        _, words = self._terms([query])
-        posts = self.postings(words)
-        lex = self.vocabulary().where(F.col("term").isin(words)).join(lexicon(posts), "term", "left").na.fill(0, ["df"])
-        stats = self.numbers()
+        asked, words = self._terms([query])
+        lex, stats = self._lexicon_of(words), self.numbers()
         terms = explaining.diagnose_terms(lex, counts, stats).orderBy("term").drop("qid").collect()
-        got = bm25.scores(posts, lexicon(posts), self._terms([query])[0], stats).where("score > 0").agg(F.count("*").alias("n"), F.max("score").alias("m")).first()
+        got = bm25.scores(self.postings(words), lex, asked, stats).where("score > 0").agg(F.count("*").alias("n"), F.max("score").alias("m")).first()
         return explaining.diagnosis(query, terms, got["n"], got["m"] or 0.0, stats.n_live, k)
 
     # browsing
@@ -224,13 +266,16 @@ class Index:
         found = rows.orderBy("row").offset(page * n).limit(n).select("row", "docid", "file", "line", "text").collect()
         return [r.asDict() for r in found], rows.count()
 
+    def rows(self, first: int, n: int) -> DataFrame:
+        """Live chunks of the row numbers first .. first + n - 1; the range is pushed to the scan."""
+        return self.chunks().where((F.col("row") >= first) & (F.col("row") < first + n))
+
     def files(self) -> list[str]:
         return [r["file"] for r in self.chunks().select("file").distinct().orderBy("file").collect()]
 
     def stats(self) -> dict:
         s = self.numbers()
-        posts = self._read(self._folders(), "postings", POSTINGS).agg(F.count("*").alias("nnz"), F.count_distinct("term").alias("terms")).first()
-        return {"rows": s.n_rows, "live": s.n_live, "avgdl": s.avgdl, "k1": s.k1, "b": s.b, "nnz": posts["nnz"], "terms": posts["terms"], "files": self.chunks().select("file").distinct().count(), "segments": len(self.state.segments), "commit": self.state.seq, "settings": dict(self.settings), "tokenizer": tokenizer_status()}
+        return {"rows": s.n_rows, "live": s.n_live, "avgdl": s.avgdl, "k1": s.k1, "b": s.b, "nnz": self.state.total("nnz", self._folders()), "terms": self.vocabulary().count(), "files": self.chunks().select("file").distinct().count(), "segments": len(self.state.segments), "commit": self.state.seq, "settings": dict(self.settings), "tokenizer": tokenizer_status()}
 
     # changes
 
@@ -241,25 +286,41 @@ class Index:
     def append(self, texts: DataFrame, dead: DataFrame | None = None, **actions) -> int:
         """Add (docid, file, line, text) rows under the closed vocabulary: unknown terms get no posting but count in the length. `dead`: rows that go in the same commit."""
         self._plain("append")
-        folder, n = _write_part(self.store, texts, self.state.n_rows, self.tokenize, self.vocabulary())
-        self.state = self.store.commit(self.state, "append", self.state.n_rows + n, parts=[folder], dead=self._write_dead(dead), **actions)
+        folder, size = _write_part(self.store, texts, self.state.n_rows, self.tokenize, self.vocabulary)
+        self.state = self.store.commit(self.state, "append", self.state.n_rows + size["rows"], parts=[folder], sizes={folder: size}, **self._write_dead(dead), **actions)
+        log(f"{size['rows']} rows appended")
         self._maybe_compact()
-        return n
+        return size["rows"]
 
-    def _write_dead(self, rows: DataFrame | None) -> list[str]:
+    def _write_dead(self, rows: DataFrame | None) -> dict:
+        """Write tombstones with the lexicon that they take away; what the commit says of them."""
         if rows is None:
-            return []
+            return {}
+        new = rows.select(F.col("row").cast("long").alias("row")).where((F.col("row") >= 0) & (F.col("row") < self.state.n_rows)).distinct()
+        new = cut_lineage(new.join(self.dead(), "row", "left_anti") if self.state.dead else new)
+        few = [r["row"] for r in new.limit(PUSHED + 1).collect()]
+        chunks = self.all_chunks()
+        held = chunks.where(F.col("row").isin(few)) if len(few) <= PUSHED else chunks.join(new, "row", "left_semi")
         folder = self.store.folder("dead")
-        rows.select(F.col("row").cast("long").alias("row")).where((F.col("row") >= 0) & (F.col("row") < self.state.n_rows)).distinct().write.parquet(f"{folder}/dead")
-        return [folder]
+        return {"dead": [folder], "gone": self._write_tombstones(folder, new, held)}
+
+    def _write_tombstones(self, folder: str, rows: DataFrame, chunks: DataFrame) -> dict:
+        """Rows, and the negative lexicon of their chunks: a chunk's words are those of its text that had a posting. Returns rows and tokens that go."""
+        rows.write.parquet(f"{folder}/dead")
+        words = F.array_except(self.tokenize(F.col("text")), F.coalesce("unknown", F.array().cast("array<string>")))
+        exploded = chunks.select(F.explode_outer(words).alias("term")).where("term is not null")
+        exploded.groupBy("term").agg((-F.count("*")).alias("df")).coalesce(1).write.parquet(f"{folder}/lexicon")
+        got = chunks.agg(F.count("*").alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+        return got.asDict()
 
     def delete(self, rows: DataFrame, **actions) -> None:
         """Tombstone rows; unknown ones and repeats don't matter."""
-        self.state = self.store.commit(self.state, "append", self.state.n_rows, dead=self._write_dead(rows), **actions)
+        self.state = self.store.commit(self.state, "append", self.state.n_rows, **self._write_dead(rows), **actions)
 
-    def upsert(self, rows: DataFrame, texts: DataFrame) -> int:
-        """Tombstone `rows` and add `texts` in one commit."""
-        return self.append(texts, rows)
+    def upsert(self, rows: DataFrame, texts: DataFrame) -> range:
+        """Tombstone `rows` and add `texts` in one commit; the new row numbers, in the order of file, line and docid."""
+        first = self.state.n_rows
+        return range(first, first + self.append(texts, rows))
 
     def tune(self, k1: float | None = None, b: float | None = None, persist: bool = False) -> dict:
         """Other parameters, without touching any table."""
@@ -280,16 +341,56 @@ class Index:
         self.settings |= settings
         return {"before": before, "after": dict(self.settings)}
 
-    def _maybe_compact(self) -> None:
-        if self.settings["persist"] == "snapshot" or self.state.since_base >= self.settings["compact_commits"]:
-            self.compact()
+    def _maybe_compact(self) -> dict | None:
+        """Tier 2, a full rewrite, once the deltas hold `compact_ratio` of the base's postings (or for each change with persist='snapshot'); tier 1, the deltas merged into one with the base untouched, once there are `compact_commits` of them."""
+        if self.state.segments:
+            return None
+        if self.settings["persist"] == "snapshot":
+            return self.compact()
+        base, deltas = self.state.parts[: self.state.base], self.state.parts[self.state.base :]
+        if self.state.total("nnz", deltas) > self.settings["compact_ratio"] * max(1, self.state.total("nnz", base)):
+            return self.compact()
+        if max(len(deltas), len(self.state.dead)) >= self.settings["compact_commits"]:
+            return self.merge_deltas()
+        return None
+
+    def _rewritten(self, parts: list[str]) -> tuple[str, dict]:
+        """One folder with the rows of several."""
+        folder = self.store.folder("part")
+        size = {x: self.state.total(x, parts) for x in ("rows", "dl", "nnz")}
+        chunks, posts, lex = self._read(parts, "chunks", CHUNKS), self._read(parts, "postings", POSTINGS), self._read(parts, "lexicon", LEXICON)
+        (chunks.repartitionByRange("row") if size["rows"] > SMALL else chunks.coalesce(1)).write.parquet(f"{folder}/chunks")
+        _by_term(posts, size["rows"]).write.parquet(f"{folder}/postings")
+        _by_term(lex.groupBy("term").agg(F.sum("df").alias("df")), size["rows"], "term").write.parquet(f"{folder}/lexicon")
+        return folder, size
+
+    def _dead_rewritten(self) -> list[str]:
+        """One folder for all tombstones; their lexicons are added up."""
+        if not self.state.dead:
+            return []
+        folder = self.store.folder("dead")
+        self.dead().coalesce(1).write.parquet(f"{folder}/dead")
+        self._read(self.state.dead, "lexicon", LEXICON).groupBy("term").agg(F.sum("df").alias("df")).coalesce(1).write.parquet(f"{folder}/lexicon")
+        return [folder]
+
+    def merge_deltas(self) -> dict:
+        """Tier 1: all parts after the base become one, and all tombstones; nothing of the base is read or written."""
+        self._plain("merge_deltas")
+        base, deltas = self.state.parts[: self.state.base], self.state.parts[self.state.base :]
+        folder, size = self._rewritten(deltas) if len(deltas) > 1 else (None, None)
+        parts = [*base, folder] if folder else list(self.state.parts)
+        dead = self._dead_rewritten() if len(self.state.dead) > 1 else list(self.state.dead)
+        self.state = self.store.commit(self.state, "compact", self.state.n_rows, tier=1, replace={"parts": parts, "dead": dead}, sizes={folder: size} if folder else {})
+        log(f"{len(deltas)} deltas merged, the base untouched")
+        return {"tier": 1, "merged": len(deltas), "parts": len(parts)}
 
     # segments
 
-    def publish(self, texts: DataFrame, dead: DataFrame | None = None, tag: str | None = None, kind: str = "publish", **actions) -> dict:
-        """Add rows as a read-only segment with terms of its own; visible by one commit."""
+    def publish(self, texts: DataFrame, dead: DataFrame | None = None, tag: str | None = None, kind: str = "publish", generation: int | None = None, **actions) -> dict:
+        """Add rows as a read-only segment with terms of its own; visible by one commit. `generation`: a number of the caller's, kept with the segment."""
         tag = self._free_tag(tag)
-        return self._mount(self.write_segment(texts), tag, dead, kind, **actions)
+        folder, size = _write_part(self.store, texts, self.state.n_rows, self.tokenize)
+        return self._mount(folder, tag, dead, kind, size, generation, **actions)
 
     def _free_tag(self, tag: str | None) -> str:
         if self.store.log()[-1] != self.state.seq:
@@ -299,25 +400,28 @@ class Index:
             raise ValueError(f"segment {tag} exists")
         return tag
 
-    def _mount(self, folder: str, tag: str | None, dead: DataFrame | None, kind: str, **actions) -> dict:
+    def _mount(self, folder: str, tag: str | None, dead: DataFrame | None, kind: str, size: dict | None = None, generation: int | None = None, **actions) -> dict:
         tag = self._free_tag(tag)
-        got = self._read([folder], "chunks", CHUNKS).agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last")).first()
-        if got["n"] and (got["first"] != self.state.n_rows or got["last"] + 1 - got["first"] != got["n"]):
-            raise RuntimeError(f"the segment begins at row {got['first']}, the index ends at {self.state.n_rows}")
-        new_terms = self._read([folder], "postings", POSTINGS).select("term").distinct().join(self.vocabulary(), "term", "left_anti").count()
-        info = {"tag": tag, "dir": folder, "row_base": self.state.n_rows, "rows": got["n"], "new_terms": new_terms}
-        self.state = self.store.commit(self.state, kind, self.state.n_rows + got["n"], segment=info, dead=self._write_dead(dead), **actions)
+        if size is None:  # written by another session
+            got = self._read([folder], "chunks", CHUNKS).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"), F.min("row").alias("first"), F.max("row").alias("last")).first()
+            if got["n"] and (got["first"] != self.state.n_rows or got["last"] + 1 - got["first"] != got["n"]):
+                raise RuntimeError(f"the segment begins at row {got['first']}, the index ends at {self.state.n_rows}")
+            size = {"rows": got["n"], "dl": got["dl"], "nnz": self._read([folder], "lexicon", LEXICON).agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]}
+        new_terms = self._read([folder], "lexicon", LEXICON).join(self.vocabulary(), "term", "left_anti").count()
+        info = {"tag": tag, "dir": folder, "row_base": self.state.n_rows, "rows": size["rows"], "new_terms": new_terms, "generation": generation}
+        self.state = self.store.commit(self.state, kind, self.state.n_rows + size["rows"], segment=info, sizes={folder: size}, **self._write_dead(dead), **actions)
+        log(f"segment {tag} of {size['rows']} rows mounted")
         return info
 
     def write_segment(self, texts: DataFrame) -> str:
         """A folder of rows that `mount` can take later, in this session or another; no commit is made."""
         return _write_part(self.store, texts, self.state.n_rows, self.tokenize)[0]
 
-    def mount(self, folder: str, tag: str | None = None) -> dict:
+    def mount(self, folder: str, tag: str | None = None, generation: int | None = None) -> dict:
         """Make the rows of a folder visible as a read-only segment. The folder must have been written for this number of rows."""
         if not self.store.files.exists(folder):
             raise FileNotFoundError(folder)
-        return self._mount(folder, tag, None, "mount")
+        return self._mount(folder, tag, None, "mount", None, generation)
 
     def segments(self) -> list[dict]:
         return [dict(s) for s in self.state.segments]
@@ -345,7 +449,14 @@ class Index:
             raise RuntimeError("segments are unmounted in the reverse order of mounting")
         if s["row_base"] + s["rows"] != self.state.n_rows:
             raise RuntimeError("rows were added since")
-        self.state = self.store.commit(self.state, "unmount", s["row_base"], unmount=[tag])
+        back = self.dead().where(F.col("row") >= s["row_base"]) if self.state.dead else None
+        actions = {}
+        if back is not None and not back.isEmpty():  # tombstones inside the segment go with it
+            folder = self.store.folder("dead")
+            left = self.dead().where(F.col("row") < s["row_base"])
+            kept = self._write_tombstones(folder, left, self.all_chunks().join(left, "row", "left_semi"))
+            actions = {"replace": {"dead": [folder]}, "gone": {k: kept[k] - self.state.gone[k] for k in kept}}
+        self.state = self.store.commit(self.state, "unmount", s["row_base"], unmount=[tag], **actions)
         return dict(s)
 
     def fold(self, tag: str) -> dict:
@@ -362,18 +473,31 @@ class Index:
             self.state = self.store.commit(self.state, "fold", self.state.n_rows, fold=tags)
         return tags
 
-    def compact(self) -> dict:
-        """Fold everything and rewrite the tables in one folder each. Tombstoned rows stay, as numbers of rows and the vocabulary do."""
+    def compact(self, persist: bool | str = True) -> dict:
+        """Fold everything and rewrite the tables in one folder each (tier 2). Tombstoned rows stay, as numbers of rows and the vocabulary do.
+
+        persist='delta': only fold, by a commit that rewrites nothing. persist=False: fold in this session alone; the log goes on naming the segments.
+        """
+        if persist not in (True, False, "delta"):
+            raise ValueError("persist must be True, False or 'delta'")
+        before = len(self.state.parts)
+        if persist is False:
+            tags = [s["tag"] for s in self.state.segments if s["tag"] not in self.stale]
+            state = deepcopy(self.state)
+            state.apply({"seq": state.seq, "kind": "fold", "base_rows": state.n_rows, "rows_after": state.n_rows, "fold": tags})
+            self.state = state
+            return {"folded": tags, "parts_before": before, "parts": len(state.parts), "persisted": False}
         tags = self.fold_all()
-        folder = self.store.folder("part")
-        self.all_chunks().repartitionByRange("row").write.parquet(f"{folder}/chunks")
-        _by_term(self._read(self.state.parts, "postings", POSTINGS)).write.parquet(f"{folder}/postings")
-        replace = {"parts": [folder], "dead": self._write_dead(self.dead()) if self.state.dead else []}
+        if persist == "delta":
+            return {"folded": tags, "parts_before": before, "parts": len(self.state.parts), "persisted": bool(tags)}
+        before = len(self.state.parts)
+        folder, size = self._rewritten(self.state.parts)
+        replace = {"parts": [folder], "dead": self._dead_rewritten()}
         if self.state.ledger:
             replace["ledger"] = [_write_ledger(self.store, self.ledger(), self.state.seq + 1)]
-        before = len(self.state.parts)
-        self.state = self.store.commit(self.state, "compact", self.state.n_rows, replace=replace)
-        return {"folded": tags, "parts_before": before, "parts": 1}
+        self.state = self.store.commit(self.state, "compact", self.state.n_rows, tier=2, replace=replace, sizes={folder: size})
+        log(f"{before} parts rewritten as one")
+        return {"folded": tags, "parts_before": before, "parts": 1, "persisted": True}
 
     def stage_begin(self, tag: str | None = None) -> Stage:
         return Stage(self, tag)
@@ -396,11 +520,13 @@ class Index:
         try:
             n = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
             gone = self.chunks().join(diff.where("change <> 'added'").select(F.col("rel").alias("file")), "file", "left_semi").select("row")
-            new = postings(texts.select(F.struct("file", "line", "docid").alias("row"), "text"), tokenize=self.tokenize)
-            oov = new.select("term").distinct().join(self.vocabulary(), "term", "left_anti").count() if n else 0
+            words = texts.select(self.tokenize(F.col("text")).alias("toks"))
+            oov = words.select(F.explode_outer("toks").alias("term")).where("term is not null").distinct().join(self.vocabulary(), "term", "left_anti").count() if n else 0
+            batch = words.agg(F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()[0] if n else 0
             first = min((s["row_base"] for s in self.state.segments), default=self.state.n_rows)
             tomb = gone.agg(F.count("*").alias("all"), F.count_if(F.col("row") >= first).alias("seg")).first()
-            route = route_update(n_added=n.get("added", 0), n_changed=n.get("changed", 0), n_removed=n.get("removed", 0), n_oov=oov, n_tomb_rows=tomb["all"], n_tomb_seg_rows=tomb["seg"], n_segments=len(self.state.segments), n_blocks=len(self._folders()), dense_on=bool(self._views))
+            route = route_update(n_added=n.get("added", 0), n_changed=n.get("changed", 0), n_removed=n.get("removed", 0), n_oov=oov, n_tomb_rows=tomb["all"], n_tomb_seg_rows=tomb["seg"], n_segments=len(self.state.segments), n_blocks=len(self._folders()), dense_on=bool(self._views), batch_nnz=batch, total_nnz=self.state.total("nnz", self._folders()), compact_blocks=self.settings["compact_blocks"], rebuild_batch_nnz=self.settings["rebuild_batch_nnz"])
+            log(f"update: {route.route} ({route.code}): {route.detail}")
             folded = self.fold_all() if route.folds else []
             kind = route.then if route.folds else route.route
             if kind == "rebuild":
@@ -432,15 +558,18 @@ class Index:
         return {"kind": "rebuild", "force": force, "files": len(self.files())}
 
     def reconcile(self) -> DataFrame:
-        """(what, key, stored, recomputed): lengths and term frequencies of live rows that differ from what their texts give; empty if all is well."""
+        """(what, key, stored, recomputed): lengths, document and term frequencies of live rows that differ from what their texts give, also in the lexicon; empty if all is well."""
         rows = self.chunks()
-        fresh = postings(rows.select("row", "text"), tokenize=self.tokenize).join(self.vocabulary(), "term", "left_semi")
+        posted = rows.select("row", F.filter(self.tokenize(F.col("text")), lambda t: ~F.array_contains(F.coalesce("unknown", F.array().cast("array<string>")), t)).alias("toks"))
+        fresh = posted.select("row", F.explode_outer("toks").alias("term")).where("term is not null").groupBy("row", "term").agg(F.count("*").alias("tf"))
         stored = self.postings()
         a, b = (x.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).select("term", F.concat_ws("/", "df", "tf").alias(n)) for x, n in ((stored, "stored"), (fresh, "recomputed")))
         terms = a.join(b, "term", "full_outer").where(~F.col("stored").eqNullSafe(F.col("recomputed"))).select(F.lit("df/tf").alias("what"), F.col("term").alias("key"), "stored", "recomputed")
         size = F.size(self.tokenize(F.col("text"))).cast("string")
         lengths = rows.select(F.lit("dl").alias("what"), F.col("row").cast("string").alias("key"), F.col("dl").cast("string").alias("stored"), size.alias("recomputed")).where("stored <> recomputed")
-        return terms.unionByName(lengths)
+        own = stored.groupBy("term").agg(F.count("*").cast("string").alias("recomputed"))
+        lex = self.lexicon().where("df <> 0").select("term", F.col("df").cast("string").alias("stored")).join(own, "term", "full_outer").where(~F.col("stored").eqNullSafe(F.col("recomputed")))
+        return terms.unionByName(lengths).unionByName(lex.select(F.lit("lexicon").alias("what"), F.col("term").alias("key"), "stored", "recomputed"))
 
     # dense views
 
@@ -455,10 +584,12 @@ class Index:
     def encode_view(self, name: str, encode: Callable[[list[str]], list[list[float]]], meta: dict | None = None, replace: bool = False) -> dict:
         """A view of all live chunks from an encoder of texts, which the executors call on Arrow batches."""
 
-        @F.pandas_udf("array<float>")
-        def run(texts: pd.Series) -> pd.Series:
+        def vectors(texts):
+            import pandas as pd
+
             return pd.Series([[float(x) for x in v] for v in encode(texts.tolist())])
 
+        run = series_udf(vectors, "array<float>")
         return self.attach_view(name, cut_lineage(self.chunks().select("row", run("text").alias("vec"))), meta, replace)
 
     def detach_view(self, name: str) -> bool:
@@ -479,6 +610,10 @@ class Index:
         rows, dead = self.all_chunks(), self.dead()
         return [{"name": n, "available": v["available"], "meta": v["meta"], **viewing.coverage(rows, dead, v["view"]).first().asDict()} for n, v in self._views.items()]
 
+    def covered(self, name: str) -> DataFrame:
+        """(row, covered): each live chunk, and whether the view has a vector of it."""
+        return viewing.covered(self.chunks(), self._views[name]["view"])
+
     def fuse(self, query: str, name: str, vector: list[float], k: int = 10, alpha: float = viewing.ALPHA) -> list[dict]:
         """Best k of all live rows by fused score; without the view, or while it is not available, by score."""
         scored = self.chunks().select("row").join(self.scores([query]).select("row", "score"), "row", "left").na.fill(0.0, ["score"])
@@ -497,15 +632,17 @@ class Index:
         return [{"rank": i + 1, **r.asDict(), **held[r["row"]]} for i, r in enumerate(best)]
 
     def save_view(self, name: str) -> str:
-        folder = f"{self.store.path}/views/{name}"
-        self._views[name]["view"].join(self.all_chunks().select("row", "docid"), "row").select("docid", "vec").write.mode("overwrite").parquet(folder)
+        """Write a view by docid: whole under a new name, then put in the old one's place, so that an interrupted save leaves the old one."""
+        folder, fresh = f"{self.store.path}/views/{name}", self.store.folder("view")
+        self._views[name]["view"].join(self.all_chunks().select("row", "docid"), "row").select("docid", "vec").write.parquet(fresh)
+        self.store.files.replace(fresh, folder)
         return folder
 
     def load_views(self, extra_dirs: Iterable[str] = ()) -> list[dict]:
         """Attach all saved views; a view without a docid in common is reported and left out."""
         out = []
         for base in (f"{self.store.path}/views", *extra_dirs):
-            for name in self.store.files.names(base):
+            for name in (n for n in self.store.files.names(base) if not n.endswith(".old")):
                 rows, unmatched = viewing.by_docid(self.spark.read.parquet(f"{base}/{name}"), self.chunks())
                 missing = unmatched.count()
                 if rows.isEmpty():
@@ -515,16 +652,20 @@ class Index:
                     out.append({"name": name, "attached": True, "unmatched": missing})
         return out
 
-    def save(self, path: str | None = None, fold_first: bool = False) -> dict:
-        """A full snapshot here, or a copy of the live index elsewhere. Refused under mounted segments unless they are folded first."""
+    def save(self, path: str | None = None, fold_first: bool = False, w_cache: bool = False) -> dict:
+        """A full snapshot here, or a copy of the live index elsewhere. Refused under mounted segments unless they are folded first. `w_cache`: with the weights, which later sessions then find."""
         if fold_first:
             self.fold_all()
         self._plain("save")
         if path is None or path.rstrip("/") == self.store.path:
             self.compact()
-            return {"path": self.store.path, "scope": "snapshot"}
-        Index.create(self.spark, path, self.chunks().select("docid", "file", "line", "text"), self.state.k1, self.state.b, self.tokenize)
-        return {"path": path, "scope": "copy"}
+            saved, scope = self, "snapshot"
+        else:
+            saved, scope = Index.create(self.spark, path, self.chunks().select("docid", "file", "line", "text"), self.state.k1, self.state.b, self.tokenize), "copy"
+        if w_cache:
+            saved.settings["w_cache"] = True
+            saved.weights()
+        return {"path": saved.store.path, "scope": scope, "w_cache": w_cache}
 
     def history(self) -> list[int]:
         """Commits that can be opened with `upto`."""
@@ -586,23 +727,36 @@ def _chunk(scanned: DataFrame) -> DataFrame:
     return named.select(F.concat_ws(":", F.substring("md5", 1, 8), "seq").alias("docid"), "file", "line", "text")
 
 
-def _by_term(posts: DataFrame) -> DataFrame:
-    """Postings in files that hold ranges of terms, so that a scan for a few terms skips the rest; a common term is spread over files by row."""
-    return posts.repartitionByRange("term", "row").sortWithinPartitions("term", "row")
-
-
-def _write_part(store: Store, texts: DataFrame, base: int, tokenize, vocabulary: DataFrame | None = None) -> tuple[str, int]:
-    """Number, tokenise and write rows; (folder, number of rows). With a vocabulary other terms get no posting."""
-    folder = store.folder("part")
-    rows = numbered(texts.select("docid", "file", F.col("line").cast("int").alias("line"), "text"), ["file", "line", "docid"], base)
-    measured = rows.select("row", "docid", "file", "line", "text", F.size(tokenize(as_column("text"))).cast("long").alias("dl"))
-    measured.write.parquet(f"{folder}/chunks")
-    written = store.spark.read.schema(CHUNKS).parquet(f"{folder}/chunks")
+def _by_term(table: DataFrame, rows: int, *order: str) -> DataFrame:
+    """Rows in files that hold ranges of terms, so that a scan for a few terms skips the rest; a common term is spread over files by row. One file for few documents."""
+    order = order or ("term", "row")
+    return (table.repartitionByRange(*order) if rows > SMALL else table.coalesce(1)).sortWithinPartitions(*order)
+
+
+def _write_part(store: Store, texts: DataFrame, base: int, tokenize, vocabulary: Callable[[], DataFrame] | None = None) -> tuple[str, dict]:
+    """Number, tokenise and write rows; folder, and its rows, tokens (dl) and postings (nnz). With a vocabulary other terms get no posting and are kept as the chunk's unknown ones."""
+    folder, spark = store.folder("part"), store.spark
+    rows, n = numbered(texts.select("docid", "file", F.col("line").cast("int").alias("line"), "text"), ["file", "line", "docid"], base)
+    toks = tokenize(as_column("text"))
+    none = F.lit(None).cast("array<string>")
+    measured = rows.select("row", "docid", "file", "line", "text", F.size(toks).cast("long").alias("dl"))
+    if vocabulary is None:
+        measured = measured.withColumn("unknown", none)
+    else:
+        words = rows.select("row", F.explode_outer(F.array_distinct(toks)).alias("term")).where("term is not null")
+        new = cut_lineage(words.join(words.select("term").distinct().join(vocabulary(), "term", "left_anti"), "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("unknown")))  # words of one document
+        measured = measured.join(new, "row", "left")
+    (measured if n > SMALL else measured.coalesce(1)).write.parquet(f"{folder}/chunks")
+    written = spark.read.schema(CHUNKS).parquet(f"{folder}/chunks")
     posts = postings(written, tokenize=tokenize)
     if vocabulary is not None:
-        posts = posts.join(vocabulary, "term", "left_semi")
-    _by_term(posts).write.parquet(f"{folder}/postings")
-    return folder, written.count()
+        known = written.where("unknown is not null").select("row", F.explode("unknown").alias("term"))
+        posts = posts.join(known, ["row", "term"], "left_anti")
+    _by_term(posts, n).select("row", "dl", "term", "tf").write.parquet(f"{folder}/postings")
+    stored = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+    _by_term(lexicon(stored), n, "term").write.parquet(f"{folder}/lexicon")
+    nnz = stored.count()  # from the files' footers
+    return folder, {"rows": n, "dl": written.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0], "nnz": nnz}
 
 
 def _write_ledger(store: Store, events: DataFrame, seq: int) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,16 +68,38 @@ def zero_filled(rows: DataFrame, scored: DataFrame, k: int, digits: int | None =
     return full.orderBy(F.desc("score"), "row").limit(max(k, 0))
 
 
+_paths = threading.local()
+
+
+def topk_stats(reset: bool = False) -> dict[str, int]:
+    """Which ways this thread's approximate selections have taken: calls, approx (a threshold from the sample), exact (a sample too small), fallback (too few candidates), cand (candidates counted, up to k a call)."""
+    counts = _paths.__dict__.setdefault("counts", dict.fromkeys(("calls", "approx", "exact", "fallback", "cand"), 0))
+    out = dict(counts)
+    if reset:
+        counts.update(dict.fromkeys(counts, 0))
+    return out
+
+
+def _took(**more: int) -> None:
+    topk_stats()
+    for k, v in more.items():
+        _paths.counts[k] += v
+
+
 def approximate_top_k(scored: DataFrame, k: int, share: float = 1 / 32, slack: float = 0.98) -> DataFrame:
-    """The k best of a single query behind a threshold from a sample; falls back to the exact way where the sample holds too few. Scores are exact."""
+    """The k best of a single query behind a threshold from a sample; falls back to the exact way where the sample holds too few. Scores are exact. `scored` is read up to three times: hand over a kept table."""
     sampled = scored.where((F.col("score") > 0) & (F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20))))
     least = max(1, int(k * share) + 1)
     best = [r["score"] for r in sampled.orderBy(F.desc("score")).limit(least).collect()]
     if len(best) < least:
+        _took(calls=1, exact=1)
         return top_k_single(scored, k)
     candidates = scored.where(F.col("score") >= best[-1] * slack)
-    if len(candidates.limit(k).collect()) < k:
+    held = len(candidates.limit(k).collect())
+    if held < k:
+        _took(calls=1, fallback=1, cand=held)
         return top_k_single(scored, k)
+    _took(calls=1, approx=1, cand=held)
     return top_k_single(candidates, k)
 
 

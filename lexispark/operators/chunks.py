@@ -2,53 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 MIN_CHARS, MAX_CHARS, CODE_LINES = 20, 1200, 80
 #: Extensions of files that are cut by lines.
 CODE_EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".sh", ".bat", ".ps1", ".yaml", ".yml", ".toml")
-#: Line ends stay with their lines.
-LINES = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85  ])"
-BLANK = r"[\s\x0b\x1c-\x1f\x85   -     　]"
+#: Line ends, and the places behind them.
+END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+LINES = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}])"
 
 
-def _strip(x):
-    return F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
+def lines(text: Column | str) -> Column:
+    """The lines of a text with their ends; null: none."""
+    return F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), LINES), lambda x: x != "")
 
 
-def lines(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
-    """(key, i, content): the lines of each text, from 0, with their ends."""
-    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), LINES), lambda x: x != "")
-    return files.select(F.col(key), F.posexplode_outer(parts).alias("i", "content")).where("content is not null")
+def _numbered(chunks: DataFrame, key: str) -> DataFrame:
+    """One row a chunk. Outer, as else the planner would test the array's size in a filter of its own, which works everything out once more."""
+    return chunks.select(key, F.posexplode_outer("chunks").alias("seq", "c")).where("seq is not null").select(key, "seq", "c.line", "c.text")
 
 
 def prose_chunks(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
     """(key, seq, line, text): paragraphs between blank lines, stripped, from 20 characters on; longer ones than 1,200 in windows of 1,200, the rest whatever its length.
 
-    `line` is the first line of the paragraph, from 1. Works on the lines of one text at a time, all in column expressions.
+    `line` is the first line of the paragraph, from 1. A row's lines stay in that row: no shuffle.
     """
-    every = lines(files, key, text)
-    blank = (_strip(F.col("content")) == "").cast("int")
-    # a paragraph is the run of lines that have met the same number of blank ones
-    by_line = Window.partitionBy(key).orderBy("i")
-    marked = every.select(key, "i", "content", blank.alias("blank")).withColumn("para", F.sum("blank").over(by_line)).where("blank = 0")
-    paragraphs = marked.groupBy(key, "para").agg(F.array_sort(F.collect_list(F.struct("i", "content"))).alias("parts"))
-    body = _strip(F.array_join(F.transform("parts", lambda p: p["content"]), ""))
-    kept = paragraphs.select(key, (F.col("parts")[0]["i"] + 1).alias("line"), body.alias("body")).where(F.length("body") >= MIN_CHARS)
-    windows = F.transform(F.sequence(F.lit(0), ((F.length("body") - 1) / MAX_CHARS).cast("int")), lambda w: F.substring("body", w * MAX_CHARS + 1, F.lit(MAX_CHARS)))
-    cut = kept.select(key, "line", F.posexplode(windows).alias("part", "text"))
-    order = Window.partitionBy(key).orderBy("line", "part")
-    return cut.select(key, (F.row_number().over(order) - 1).alias("seq"), "line", "text")
+    every = files.select(F.col(key), lines(text).alias("lines"))
+    marked = every.select(key, "lines", F.transform("lines", lambda x: stripped(x) != "").alias("full"), F.size("lines").alias("n"))
+    # places where a paragraph begins and the places behind its end
+    i = F.sequence(F.lit(0), F.col("n"))
+    begins = F.filter(i, lambda i: F.get("full", i) & (i.eqNullSafe(F.lit(0)) | ~F.coalesce(F.get("full", i - 1), F.lit(False))))
+    ends = F.filter(i, lambda i: F.get("full", i) & ~F.coalesce(F.get("full", i + 1), F.lit(False)))
+    placed = marked.select(key, "lines", begins.alias("begins"), ends.alias("ends"))
+    bodies = F.zip_with("begins", "ends", lambda a, b: F.struct((a + 1).alias("line"), stripped(F.array_join(F.slice("lines", a + 1, b - a + 1), "")).alias("body")))
+    kept = placed.select(key, F.filter(bodies, lambda p: F.length(p["body"]) >= MIN_CHARS).alias("bodies"))
+
+    def windows(p: Column) -> Column:
+        every = F.sequence(F.lit(0), F.floor((F.length(p["body"]) - 1) / MAX_CHARS).cast("int"))
+        return F.transform(every, lambda w: F.struct(p["line"].alias("line"), F.substring(p["body"], w * MAX_CHARS + 1, F.lit(MAX_CHARS)).alias("text")))
+
+    return _numbered(kept.select(key, F.flatten(F.transform("bodies", windows)).alias("chunks")), key)
 
 
 def code_chunks(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
     """(key, seq, line, text): windows of 80 lines, stripped, from 20 characters on."""
-    every = lines(files, key, text).select(key, "i", F.regexp_replace("content", r"(\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])$", "").alias("content"))
-    blocks = every.groupBy(key, F.floor(F.col("i") / CODE_LINES).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "content"))).alias("parts"))
-    body = _strip(F.array_join(F.transform("parts", lambda p: p["content"]), "\n"))
-    kept = blocks.select(key, (F.col("block") * CODE_LINES + 1).alias("line"), body.alias("text")).where(F.length("text") >= MIN_CHARS)
-    return kept.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("line")) - 1).alias("seq"), "line", "text")
+    every = files.select(F.col(key), lines(text).alias("lines")).select(key, "lines", F.size("lines").alias("n"))
+    ends = f"({END})$"
+
+    def block(b: Column) -> Column:
+        own = F.transform(F.slice("lines", b * CODE_LINES + 1, F.lit(CODE_LINES)), lambda x: F.regexp_replace(x, ends, ""))
+        return F.struct((b * CODE_LINES + 1).alias("line"), stripped(F.array_join(own, "\n")).alias("text"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CODE_LINES).cast("int")), block)
+    return _numbered(every.select(key, F.filter(blocks, lambda c: F.length(c["text"]) >= MIN_CHARS).alias("chunks")), key)
 
 
 def is_code(name) -> F.Column:

@@ -48,11 +48,33 @@ def postings(docs: DataFrame, row: str = "row", text: str = "text", tokenize=tok
     return exploded.groupBy("row", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def asked(docs: DataFrame, terms: list[str], row: str = "row", text: str = "text") -> DataFrame:
+    """(row, dl, hits): each document with its length and, of `terms` only, its (term, tf). One row a document: no shuffle, and one pass that both scores and corpus numbers can be taken from."""
+    found = tokenized(docs, row, text).select("row", "dl", F.filter("toks", lambda t: t.isin(terms) if terms else F.lit(False)).alias("own"))
+    return found.select("row", "dl", F.transform(F.array_distinct("own"), lambda t: F.struct(t.alias("term"), F.size(F.filter("own", lambda x: x == t)).cast("long").alias("tf"))).alias("hits"))
+
+
+def asked_postings(held: DataFrame) -> DataFrame:
+    """(row, dl, term, tf) of `asked`."""
+    return held.select("row", "dl", F.explode("hits").alias("h")).select("row", "dl", "h.term", "h.tf")
+
+
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df) straight from texts: the shuffle carries a partial count for each term, not a row for each posting."""
+    return docs.select(F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+
+
 def lexicon(posts: DataFrame) -> DataFrame:
     """(term, df): live documents that hold each term."""
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def row_count(docs: DataFrame, k1: float = K1, b: float = B) -> Stats:
+    """Numbers for idf alone, which asks for no lengths: a count, without reading a text."""
+    n = docs.count()
+    return Stats(n, n, 0, k1, b)
+
+
 def corpus_stats(lengths: DataFrame, dead: DataFrame | None = None, k1: float = K1, b: float = B) -> Stats:
     """Numbers of a corpus from (row, dl); `dead`: (row)."""
     live = lengths if dead is None else lengths.join(dead.select("row").distinct(), "row", "left_anti")
@@ -83,14 +105,10 @@ def live(posts: DataFrame, dead: DataFrame) -> DataFrame:
 
 
 def weights(posts: DataFrame, lex: DataFrame, stats: Stats) -> DataFrame:
-    """(term, row, w): materialised contributions, valid for the key of `weights_key` only."""
+    """(term, row, w): materialised contributions, valid for one state of the corpus and its parameters only."""
     return posts.join(lex, "term").select("term", "row", (idf("df", stats) * saturation("tf", "dl", stats)).alias("w"))
 
 
-def weights_key(stats: Stats, nnz: int, terms: int) -> dict[str, float]:
-    return {"k1": stats.k1, "b": stats.b, "avgdl": stats.avgdl, "n_live": stats.n_live, "n_rows": stats.n_rows, "nnz": nnz, "terms": terms}
-
-
 def closed(posts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Postings whose term is in a closed vocabulary; lengths go on counting all tokens."""
     return posts.join(vocabulary.select("term"), "term", "left_semi")

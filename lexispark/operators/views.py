@@ -75,6 +75,11 @@ def coverage(rows: DataFrame, dead: DataFrame, view: DataFrame) -> DataFrame:
     return flags.agg(F.count_if(alive).alias("n_live"), F.count_if(alive & F.col("covered").isNotNull()).alias("covered_live"), F.count_if(F.col("covered").isNotNull()).alias("covered_total"))
 
 
+def covered(rows: DataFrame, view: DataFrame) -> DataFrame:
+    """(row, covered): whether the view has a vector of each row."""
+    return rows.select("row").join(view.select("row").distinct().withColumn("covered", F.lit(True)), "row", "left").na.fill(False, ["covered"])
+
+
 def by_docid(saved: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (row, vec) of a saved view (docid, vec), the first chunk of a docid, and its docids that no chunk has."""
     first = chunks.groupBy("docid").agg(F.min("row").alias("row"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from ..index.cut import cut_lineage
+from ..sources.cut import cut_lineage
 from ..index.index import Index
 from ..operators import bm25, chunks, explain, postings, views
 from ..sources import files
@@ -25,7 +25,9 @@ QUERY = "that therble, the heron of zzyzx"
 WORDS = ["that", "therble", "heron"]
 K, DIGITS, OTHER_K1, OTHER_B = 10, 6, 0.6, 0.4
 PAGE, PAGE_ROWS, BROWSED = 3, 20, "src3"
-BASE_LANGS, FIRST, SECOND = ("en", "fr"), "de", "es"
+FIRST, SECOND = "de", "es"
+#: Terms of queries up to this number are tested inside the pass over the texts.
+PUSHED = 10_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,18 +61,38 @@ def labelled(spark, d) -> DataFrame:
 
 
 def tables_of(docs: DataFrame, k1: float = postings.K1, b: float = postings.B):
-    """Postings (written once, as lexicon and scores both read them), lexicon, numbers."""
+    """Postings of all terms (written once, as lexicon and scores both read them), lexicon, numbers. Lengths are added up from the postings, rows are counted without their texts."""
     posts = cut_lineage(postings.postings(docs))
-    return posts, postings.lexicon(posts), postings.corpus_stats(postings.doc_lengths(docs), k1=k1, b=b)
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    n = docs.count()
+    return posts, postings.lexicon(posts), postings.Stats(n, n, total, k1, b)
+
+
+def asked_tables(docs: DataFrame, terms: DataFrame, dead: DataFrame | None = None, k1: float = postings.K1, b: float = postings.B):
+    """Postings of the query's terms only, their lexicon, numbers of the corpus: all from one pass over the texts, which leaves a row a document. `terms`: (qid, term)."""
+    words = [r["term"] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
+    if len(words) > PUSHED:  # too many for literals
+        posts = cut_lineage(postings.closed(postings.postings(docs), terms.select("term").distinct()))
+        alive = posts if dead is None else postings.live(posts, dead)
+        return alive, postings.lexicon(alive), postings.corpus_stats(postings.doc_lengths(docs), dead, k1, b)
+    held = cut_lineage(postings.asked(docs, words))
+    stats = postings.corpus_stats(held.select("row", "dl"), dead, k1, b)
+    posts = postings.asked_postings(held)
+    posts = posts if dead is None else postings.live(posts, dead)
+    return posts, postings.lexicon(posts), stats
 
 
 def one_query(spark) -> DataFrame:
     return bm25.terms_of(spark, [QUERY])
 
 
+def scored_of(docs: DataFrame, terms: DataFrame, dead: DataFrame | None = None, **parameters) -> DataFrame:
+    posts, lex, stats = asked_tables(docs, terms, dead, **parameters)
+    return bm25.scores(posts, lex, terms, stats)
+
+
 def one_scored(spark, d, **parameters) -> DataFrame:
-    posts, lex, stats = tables_of(docs_of(spark, d), **parameters)
-    return bm25.scores(posts, lex, one_query(spark), stats)
+    return scored_of(docs_of(spark, d), one_query(spark), **parameters)
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -182,10 +204,19 @@ def query_tokens(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(words, " ").alias("words"), F.size(words).cast("long").alias("n"))
 
 
+def _places_sql(w: str) -> str:
+    """Places (from 0) of a word in the characters `c` of a text, overlapping ones too."""
+    same = " AND ".join(f"c[i + {j + 1}] = '{x}'" for j, x in enumerate(w))
+    return f"list_filter(range(0, len(c) - {len(w) - 1}), lambda i: {same})"
+
+
+_CHARS = "SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents"
+
+
 def _span_sql() -> str:
-    places = ", ".join(f"CASE WHEN contains(text, '{w}') THEN strpos(text, '{w}') - 1 END" for w in WORDS)
-    ends = ", ".join(f"CASE WHEN contains(text, '{w}') THEN length(text) - length(string_split(text, '{w}')[-1]) END" for w in WORDS)
-    return f"SELECT doc_id, least({places}) AS span_start, greatest({ends}) AS span_end FROM documents"
+    starts = ", ".join(f"list_min({_places_sql(w)})" for w in WORDS)
+    ends = ", ".join(f"list_max({_places_sql(w)}) + {len(w)}" for w in WORDS)
+    return f"SELECT doc_id, least({starts}) AS span_start, greatest({ends}) AS span_end FROM ({_CHARS})"
 
 
 @query(_span_sql())
@@ -194,7 +225,7 @@ def hit_span(spark, d):
     return docs_of(spark, d).select("doc_id", span["start"].cast("long").alias("span_start"), span["end"].cast("long").alias("span_end"))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, start, start + {len(w)} AS stop, '{w}' AS tok FROM (SELECT doc_id, list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + (i - 1) * {len(w)} AS start FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, string_split(text, '{w}') AS p FROM documents)))" for w in WORDS))
+@query(" UNION ALL ".join(f"SELECT doc_id, unnest(p) AS start, unnest(p) + {len(w)} AS stop, '{w}' AS tok FROM (SELECT doc_id, {_places_sql(w)} AS p FROM ({_CHARS}))" for w in WORDS))
 def hit_ranges(spark, d):
     found = docs_of(spark, d).select("doc_id", F.explode(texts.hit_ranges("text", F.array(*(F.lit(w) for w in WORDS)))).alias("r"))
     return found.select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("stop"), F.col("r.tok").alias("tok"))
@@ -218,7 +249,7 @@ def chunk_code(spark, d):
     return chunks.code_chunks(docs_of(spark, d), "doc_id").select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("line").cast("long").alias("line"), "text")
 
 
-@query(r"SELECT doc_id, CASE WHEN length(t) > 150 THEN substring(t, 1, 150) || '…' ELSE t END AS snip FROM (SELECT doc_id, trim(translate(text, E'\r\n', '  '), ' ') AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN length(t) > 150 THEN substring(t, 1, 150) || '…' ELSE t END AS snip FROM (SELECT doc_id, {strip_sql("translate(text, E'\r\n', '  ')")} AS t FROM documents)")
 def chunk_snippet(spark, d):
     return docs_of(spark, d).select("doc_id", texts.snippet("text").alias("snip"))
 
@@ -279,7 +310,7 @@ def term_freq(spark, d):
 
 @query(f"WITH {index_sql()} SELECT term, df FROM lex")
 def doc_freq(spark, d):
-    return postings.lexicon(postings.postings(docs_of(spark, d)))
+    return postings.document_frequencies(docs_of(spark, d))
 
 
 @query(f"WITH {index_sql()} SELECT doc AS doc_id, dl FROM lens")
@@ -295,18 +326,18 @@ def corpus_stats(spark, d):
 
 @query(f"WITH {index_sql()} SELECT term, df, round({IDF}, 6) AS idf FROM lex, st")
 def idf_table(spark, d):
-    _, lex, stats = tables_of(docs_of(spark, d))
-    return lex.select("term", "df", rounded(postings.idf("df", stats)).alias("idf"))
+    docs = docs_of(spark, d)
+    return postings.document_frequencies(docs).select("term", "df", rounded(postings.idf("df", postings.row_count(docs))).alias("idf"))
 
 
 @query(f"SELECT DISTINCT unnest({tokens_sql('text')}) AS term FROM documents")
 def vocab(spark, d):
-    return postings.postings(docs_of(spark, d)).select("term").distinct()
+    return postings.document_frequencies(docs_of(spark, d)).select("term")
 
 
 @query(f"WITH {index_sql()} SELECT doc AS doc_id, round({postings.K1}::DOUBLE * ({1 - postings.B}::DOUBLE + {postings.B}::DOUBLE * dl::DOUBLE / avgdl), 6) AS dn FROM lens, st")
 def norm_precompute(spark, d):
-    lengths = postings.doc_lengths(docs_of(spark, d))
+    lengths = cut_lineage(postings.doc_lengths(docs_of(spark, d)))
     return lengths.select(F.col("row").alias("doc_id"), rounded(postings.norm("dl", postings.corpus_stats(lengths))).alias("dn"))
 
 
@@ -333,9 +364,8 @@ _ITEMS = f"q AS (SELECT DISTINCT item_id AS qid, unnest({tokens_sql('text')}) AS
 
 @query(f"WITH {index_sql()}, {scored_sql(_ITEMS)} {best_sql('qid, ')}")
 def bm25_topk_batch(spark, d):
-    posts, lex, stats = tables_of(docs_of(spark, d))
     terms = bm25.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    return bm25.top_k(bm25.scores(posts, lex, terms, stats), K, digits=DIGITS).select("qid", F.col("row").alias("doc_id"), "rank", "score")
+    return bm25.top_k(scored_of(docs_of(spark, d), terms), K, digits=DIGITS).select("qid", F.col("row").alias("doc_id"), "rank", "score")
 
 
 _TURNS = f"q AS (SELECT DISTINCT conv_id || '-' || turn AS qid, unnest({tokens_sql('text')}) AS term FROM conversations WHERE role = 'user')"
@@ -343,9 +373,8 @@ _TURNS = f"q AS (SELECT DISTINCT conv_id || '-' || turn AS qid, unnest({tokens_s
 
 @query(f"WITH {index_sql()}, {scored_sql(_TURNS)} {best_sql('qid, ')}")
 def bm25_topk_conversations(spark, d):
-    posts, lex, stats = tables_of(docs_of(spark, d))
     turns = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
-    return bm25.top_k(bm25.scores(posts, lex, bm25.query_terms(turns, "qid", "text"), stats), K, digits=DIGITS).select("qid", F.col("row").alias("doc_id"), "rank", "score")
+    return bm25.top_k(scored_of(docs_of(spark, d), bm25.query_terms(turns, "qid", "text")), K, digits=DIGITS).select("qid", F.col("row").alias("doc_id"), "rank", "score")
 
 
 @query(f"WITH {index_sql()}, {scored_sql()} SELECT doc AS doc_id, round(coalesce(score, 0), 6) AS score FROM lens LEFT JOIN sc USING (doc) ORDER BY score DESC, doc LIMIT {K}")
@@ -412,15 +441,15 @@ def score_by_label(spark, d):
 @query(f"SELECT DISTINCT term FROM (SELECT unnest({tokens_sql('text')}) AS term FROM benchmark) WHERE term NOT IN (SELECT unnest({tokens_sql('text')}) FROM documents)")
 def oov_terms(spark, d):
     asked = postings.postings(table(spark, d, "benchmark"), "item_id")
-    return postings.unknown_terms(asked, postings.postings(docs_of(spark, d)).select("term").distinct())
+    return postings.unknown_terms(asked, postings.document_frequencies(docs_of(spark, d)))
 
 
 _COUNTED = f"q AS (SELECT qid, term, count(*) AS q_count FROM (SELECT item_id AS qid, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY qid, term)"
 
 
 def _diagnosed(spark, d):
-    posts, lex, stats = tables_of(docs_of(spark, d))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    posts, lex, stats = asked_tables(docs_of(spark, d), bm25.query_terms(items, "qid", "text"))
     return items, posts, lex, stats, explain.diagnose_terms(lex, explain.term_counts(items, "qid", "text"), stats)
 
 
@@ -445,7 +474,7 @@ def diagnose_status(spark, d):
 
 
 def _explained(spark, d):
-    posts, lex, stats = tables_of(docs_of(spark, d))
+    posts, lex, stats = asked_tables(docs_of(spark, d), one_query(spark))
     counts = explain.term_counts(local_rows(spark, [(0, QUERY)], "qid int, query string"))
     scored = bm25.top_k(bm25.scores(posts, lex, one_query(spark), stats), K, digits=DIGITS)
     return scored, explain.explain(posts, lex, counts, scored, stats)
@@ -476,22 +505,22 @@ ALIVE = "toxic IS NULL OR toxic <> 1"
 
 def _tombstoned(spark, d):
     marked = labelled(spark, d)
-    dead = marked.where("toxic = 1").select("row")
-    posts = cut_lineage(postings.postings(marked))
-    return posts, postings.live(posts, dead), postings.corpus_stats(postings.doc_lengths(marked), dead)
+    return marked, marked.where("toxic = 1").select("row")
 
 
 @query(f"WITH {index_sql(MARKED, ALIVE)}, v AS (SELECT DISTINCT unnest({tokens_sql('text')}) AS term FROM documents) SELECT term, coalesce(df, 0) AS df, round(ln((n - coalesce(df, 0)::DOUBLE + 0.5::DOUBLE) / (coalesce(df, 0)::DOUBLE + 0.5::DOUBLE) + 1::DOUBLE), 6) AS idf FROM v LEFT JOIN lex USING (term), st")
 def tombstone_stats(spark, d):
-    posts, alive, stats = _tombstoned(spark, d)
-    lex = posts.select("term").distinct().join(postings.lexicon(alive), "term", "left").na.fill(0, ["df"])
-    return lex.select("term", "df", rounded(postings.idf("df", stats)).alias("idf"))
+    """The lexicon of all documents less that of the dead, as the index keeps it."""
+    marked, _ = _tombstoned(spark, d)
+    gone = postings.document_frequencies(marked.where("toxic = 1")).select("term", (-F.col("df")).alias("df"))
+    lex = postings.document_frequencies(marked).unionByName(gone).groupBy("term").agg(F.sum("df").alias("df"))
+    return lex.select("term", "df", rounded(postings.idf("df", postings.row_count(marked.where("toxic is null or toxic <> 1")))).alias("idf"))
 
 
 @query(f"WITH {index_sql(MARKED, ALIVE)}, {scored_sql()} {best_sql()}")
 def tombstone_topk(spark, d):
-    _, alive, stats = _tombstoned(spark, d)
-    return ranked(bm25.scores(alive, postings.lexicon(alive), one_query(spark), stats))
+    marked, dead = _tombstoned(spark, d)
+    return ranked(scored_of(marked, one_query(spark), dead))
 
 
 _BASE_DOCS = f"SELECT * FROM documents WHERE {PART} = 0"
@@ -502,7 +531,7 @@ SELECT doc AS doc_id, l.dl, count(term) AS kept, coalesce(sum(tf), 0)::BIGINT AS
 def append_closed_vocab(spark, d):
     docs = docs_of(spark, d)
     new = docs.where(~is_base())
-    known = postings.postings(docs.where(is_base())).select("term").distinct()
+    known = postings.document_frequencies(docs.where(is_base()))
     kept = postings.closed(postings.postings(new), known).groupBy("row").agg(F.count("*").alias("kept"), F.sum("tf").alias("kept_tokens"))
     return postings.doc_lengths(new).join(kept, "row", "left").na.fill(0).select(F.col("row").alias("doc_id"), "dl", "kept", "kept_tokens")
 
