@@ -5,6 +5,9 @@ A labelled URL is a transaction of its tokens (scheme, host labels, path segment
 Rules are indexed by their rarest token; a URL meets the rules of its tokens there and is blocked if it holds all tokens of one.
 All of it is DataFrame and ML operators in the JVM.
 
+What is mined stays small whatever the URLs share: tokens that too few bad URLs hold can be in no rule and go first; tokens that the same labelled URLs hold are one item (a rule with one of them
+is as good as with another, and one with two of them has a shorter one that covers it); and a URL brings its `most` items of highest confidence, so combinations are sought among these.
+
 Matching is done on distinct URLs, so a URL that holds a third of all rows is matched once; the verdict returns to the rows by a join on the URL.
 
 Defined cases: a null URL or one without `://` has an empty host and path, fits no rule, holds no token and is allowed. Of repeated labels the worst counts. Without labels, or
@@ -13,6 +16,8 @@ without bad ones, nothing is mined and all URLs outside the fixed rules are allo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +28,8 @@ from .common import durable
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: A rule's least share and least number of the labelled URLs, and its least confidence.
 SUPPORT, LEAST, CONFIDENCE = 0.002, 20, 0.6
+#: Items of a labelled URL that combinations are sought among.
+MOST = 10
 BAD = "=bad"
 
 
@@ -59,34 +66,50 @@ def tokens(url):
     return F.array_distinct(F.concat(named("s:", scheme), named("h:", F.split(host, "[.-]")), named("p:", F.split(F.lower(path), "/")), named("q:", F.split(query, "&")), named("f:", F.array(fragment))))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
-    """(antecedent, confidence) rules from rows (url, bad); of fewer than `least` labelled URLs none can be mined."""
+def items_of(rows: DataFrame, floor: int) -> DataFrame:
+    """(token, item, share): tokens that `floor` bad URLs hold at least, the item of each (the first of the tokens that just the same URLs hold), and the item's share of bad URLs. `rows`: url, tokens, bad."""
+    held = rows.select("url", "bad", F.explode("tokens").alias("token"))
+    same = [F.bit_xor(F.xxhash64("url", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    counted = held.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("b"), *same).where(F.col("b") >= floor)
+    firsts = counted.groupBy("n", "b", "x0", "x1").agg(F.min("token").alias("item"))
+    return counted.join(firsts, ["n", "b", "x0", "x1"]).select("token", "item", (F.col("b") / F.col("n")).alias("share"))
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(antecedent, confidence) rules of items from rows (url, bad), and (token, item); of fewer than `least` labelled URLs none can be mined."""
     rows = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    rows = rows.select(tokens(F.col("url")).alias("tokens"), "bad").where(F.size("tokens") > 0)
-    items = durable(rows.select(F.when(F.col("bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / max(1, items.count()))), minConfidence=confidence).fit(items)
+    rows = durable(rows.select("url", tokens(F.col("url")).alias("tokens"), "bad").where(F.size("tokens") > 0))
+    floor = max(1, math.ceil(max(support * rows.count(), least) - 1e-9))
+    items = durable(items_of(rows, floor))
+    # of each URL its items, those of the highest shares first
+    own = rows.select("url", "bad", F.explode("tokens").alias("token")).join(items, "token").groupBy("url", "bad").agg(F.array_sort(F.collect_set(F.struct((-F.col("share")).alias("share"), "item"))).alias("own"))
+    held = F.transform(F.slice("own", 1, most), lambda x: x["item"])
+    baskets = durable(own.select(F.when(F.col("bad") == 1, F.concat(held, F.array(F.lit(BAD)))).otherwise(held).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (floor - 0.5) / max(1, baskets.count())), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select("antecedent", "confidence", "support")
     rules = durable(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
-    # a rule goes if another holds a part of its tokens with no less confidence; parts share the rule's tokens one by one
-    parts = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("antecedent", 1).alias("token"))
-    whole = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
-    covered = whole.join(parts, "token").where((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("part_confidence") >= F.col("confidence")))
-    return rules.join(covered.select("antecedent").distinct(), "antecedent", "left_anti").select("antecedent", "confidence")
+    # a rule goes if another holds a part of its items with no less confidence; parts share the rule's items one by one
+    parts = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("antecedent", 1).alias("item"))
+    whole = rules.select("antecedent", "confidence", F.explode("antecedent").alias("item"))
+    covered = whole.join(parts, "item").where((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("part_confidence") >= F.col("confidence")))
+    return rules.join(covered.select("antecedent").distinct(), "antecedent", "left_anti").select("antecedent", "confidence"), items.select("token", "item")
 
 
 def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """(token, antecedent, confidence): each rule under the token of it that fewest `urls` (column tokens) hold."""
-    wanted = rules.select(F.explode("antecedent").alias("token")).distinct()
-    counts = urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").count()
-    by = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token", "left")
-    return by.groupBy("antecedent", "confidence").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), F.col("token"))).alias("least")).select(F.col("least.token").alias("token"), "antecedent", "confidence")
+    """(item, antecedent, confidence): each rule under the item of it that fewest `urls` (column items) hold."""
+    wanted = rules.select(F.explode("antecedent").alias("item")).distinct()
+    counts = urls.select(F.explode("items").alias("item")).join(wanted, "item", "left_semi").groupBy("item").count()
+    by = rules.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(counts, "item", "left")
+    return by.groupBy("antecedent", "confidence").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), F.col("item"))).alias("least")).select(F.col("least.item").alias("item"), "antecedent", "confidence")
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence) of the distinct `urls` (column url) that hold all tokens of a rule: the best rule's."""
-    held = urls.select("url").where("url is not null").distinct().select("url", tokens(F.col("url")).alias("tokens"))
-    found = held.select("url", "tokens", F.explode("tokens").alias("token")).join(index(rules, held), "token")
-    return found.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+def matched(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """(url, confidence) of the distinct `urls` (column url) that hold a token of each item of a rule: the best rule's."""
+    wanted = items.join(rules.select(F.explode("antecedent").alias("item")).distinct(), "item", "left_semi")
+    tokened = urls.select("url").where("url is not null").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    held = tokened.join(wanted, "token").groupBy("url").agg(F.collect_set("item").alias("items"))
+    found = held.select("url", "items", F.explode("items").alias("item")).join(index(rules, held), "item")
+    return found.where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
@@ -95,8 +118,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = S
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, fixed = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "url", "host", "path", rule.alias("rule"), fixed.alias("fixed"))
-    mined = durable(mine(labelled, support, confidence, least))
-    hits = matched(rows.where("rule is null").select("url"), mined)
+    mined, items = mine(labelled, support, confidence, least)
+    hits = matched(rows.where("rule is null").select("url"), durable(mined), items)
     joined = rows.join(hits, "url", "left").withColumn("confidence", F.when(F.col("rule").isNull(), F.col("confidence")))
     verdict = F.coalesce("fixed", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "confidence")
