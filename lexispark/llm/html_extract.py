@@ -1,15 +1,20 @@
 """Main text of pages by wrapper induction.
 
-Each page is read into a tree (labels: tag and classes). Of each host one page (the smallest hash) is the reference; every page of the host is aligned with it by simple tree
-matching, and over all of the host's pages it is counted how often each reference node is met, with the same text, and with how much text. Nodes that are met with one text in
-nearly all pages are template; the slot that holds most of the varying text, outside of parts whose tag or class says that they are menus, adverts and the like, is the content
-slot. A page's text is that of the node which stands in the content slot, without template nodes and such parts.
+Each page is read into a tree (labels: tag and classes). Pages of one host and one layout (the labels of the upper levels) are a group; one page of it (the smallest hash) is its reference. Every page
+of the group is aligned with it by simple tree matching, and over all of them it is counted how often each reference node is met, with the same text, with how much text and how much of that is links.
 
-Only counts of nodes are gathered for a host, summed before the shuffle; no host's pages meet in one task. Wrappers are broadcast if all of them together take at most
-WRAPPER_BYTES (measured first), else joined by host.
+Of these counts the wrapper is made. Slots of one text in nearly all pages are template, and so are slots that hold links above all. From the top, the content slot is the node into which
+nearly all of the text goes that varies and is no link: menus, adverts, notices and footers vary too, but have little text of their own or stand outside of it. A page's text is that of the node which stands in the
+content slot, without template slots.
 
-Defined cases: null or empty html gives an empty text, as does a page without text in its content. A null url, or one without a host, belongs to the host with the empty name. Hosts with fewer than
-LEAST_PAGES different pages have no template nodes; their content slot is found from what there is. Unclosed, wrongly nested and cut-off markup is read as far as it goes.
+What tags, classes and roles say (HINTS) comes second: they break a tie where the counts lead into a part that is named a comment, menu or the like, take such parts out of the content slot, and stand in
+for the wrapper where a group has fewer than LEAST_PAGES different pages. `hints=False` does without them.
+
+Only counts of nodes are gathered for a group, summed before the shuffle; no group's pages meet in one task. Wrappers are broadcast if all of them together take at most
+WRAPPER_BYTES (measured first), else joined by group.
+
+Defined cases: null or empty html gives an empty text, as does a page without text in its content. A null url, or one without a host, belongs to the host with the empty name. Groups with fewer than
+LEAST_PAGES different pages have no wrapper. Unclosed, wrongly nested and cut-off markup is read as far as it goes.
 Repeated pages are extracted each and count once for the wrapper. Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -29,6 +34,8 @@ from .common import durable, over_batches
 from .url_filter import host_and_path
 
 LEAST_PAGES, CONSTANT, WRAPPER_BYTES = 8, 0.9, 16 << 20
+#: Share of a node's varying text that a child must hold to be gone into; share of links in a slot's text that makes it template; levels of the tree that tell a layout.
+HOLDS, LINKED, LEVELS = 0.7, 0.5, 3
 #: Alignments that a Python worker keeps.
 CACHE_BYTES = 16 << 20
 
@@ -39,21 +46,27 @@ VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embe
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "td", "th"}
 #: Elements without text of the page that stand in a line and so end no block, whatever they hold.
 SILENT = {"script", "style", "noscript", "template", "textarea", "iframe", "noembed", "noframes", "xmp", "button", "select", "option", "input", "svg", "canvas", "object", "audio", "video", "map", "embed", "source", "track", "param"}
-JUNK = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "svg", "canvas", "object", "audio", "video", "map", "dialog", "menu", "frameset", *RAW}
+#: Elements whose text is never a page's own.
+MARKUP = {"head", "form", "button", "select", "option", "input", "svg", "canvas", "object", "audio", "video", "map", "frameset", *RAW}
+#: HINTS: tags, words of classes and ids, and roles of parts beside the content.
+JUNK = {"nav", "footer", "aside", "dialog", "menu"}
 JUNK_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search searchform form pagination pager toolbar widget widgets skip hidden".split())
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Elements that an opening tag ends when they are open (up to the barrier elements).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 BARRIER = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body", "select", "aside", "nav", "blockquote"}
 ROOTS = {"article", "main"}
+#: Elements that can hold a page's content.
+HOLDERS = ("html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "center")
 
 
 class Page:
-    """Nodes in page order: label, depth, parent, junk; and the text events (node, text, break)."""
+    """Nodes in page order: label, depth, parent, whether they are markup or named as junk themselves; and the text events (node, text or None for the border of a block, in a link)."""
 
-    def __init__(self, html: str | None):
-        self.labels, self.depth, self.parent, self.junk, self.tags = ["#"], [0], [-1], [False], ["#"]
-        self.events: list[tuple[int, str | None]] = []  # text of a node, or None for the border of a block
+    def __init__(self, html: str | None, hints: bool = True):
+        self.hints = hints
+        self.labels, self.depth, self.parent, self.junk, self.markup, self.tags = ["#"], [0], [-1], [False], [False], ["#"]
+        self.events: list[tuple[int, str | None, bool]] = []
         stack: list[tuple[str, int]] = [("#", 0)]  # open elements and the node that each belongs to
         html = html or ""
         at, n = 0, len(html)
@@ -65,7 +78,7 @@ class Page:
                 if m is None and (cut := re.search(r"<[a-zA-Z/!][^>]*$", text)):  # a tag that the page's end cuts off
                     text = text[: cut.start()]
                 if text:
-                    self.events.append((stack[-1][1], text))
+                    self.events.append((stack[-1][1], text, any(t == "a" for t, _ in stack)))
             if m is None:
                 break
             at = m.end()
@@ -81,9 +94,9 @@ class Page:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
                 if any(t not in INLINE and t not in SILENT for t, _ in stack[i:]) and not any(t in SILENT for t, _ in stack[:i]):
-                    self.events.append((stack[i][1], None))
+                    self.events.append((stack[i][1], None, False))
                 elif tag in ("td", "th"):
-                    self.events.append((stack[i][1], " "))
+                    self.events.append((stack[i][1], " ", False))
                 del stack[i:]
                 return
             if tag in INLINE and stack[i][0] not in INLINE:  # a stray end of a phrase doesn't end blocks
@@ -112,21 +125,23 @@ class Page:
             words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
             roles = found.get("role", "").lower().split()
         hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        main = tag in ROOTS or "main" in roles or found.get("itemprop", "") == "articleBody"
-        junk = tag in JUNK or hidden or (not main and tag not in ("html", "body") and (not JUNK_WORDS.isdisjoint(words) or not JUNK_ROLES.isdisjoint(roles)))
-        if tag == "header" and not any(t in ROOTS for t, _ in stack):
+        main = self.hints and (tag in ROOTS or "main" in roles or found.get("itemprop", "") == "articleBody")
+        junk = self.hints and (tag in JUNK or (not main and tag not in ("html", "body") and (not JUNK_WORDS.isdisjoint(words) or not JUNK_ROLES.isdisjoint(roles))))
+        if self.hints and tag == "header" and not any(t in ROOTS for t, _ in stack):
             junk = True
-        if tag not in INLINE or junk:
+        markup = tag in MARKUP or hidden
+        if tag not in INLINE or tag in ("td", "th") or junk or markup:
             node = len(self.labels)
             self.labels.append(f"{tag}.{'.'.join(sorted(found.get('class', '').split()))}" if found.get("class") else tag)
             self.tags.append("main" if main else tag)
             self.depth.append(self.depth[parent] + 1)
             self.parent.append(parent)
-            self.junk.append(junk or self.junk[parent])
+            self.junk.append(junk)
+            self.markup.append(markup)
             if tag not in INLINE and tag not in SILENT and not any(t in SILENT for t, _ in stack):
-                self.events.append((node, None))
+                self.events.append((node, None, False))
         if tag in ("br", "td", "th"):
-            self.events.append((node, "\n"))
+            self.events.append((node, "\n", False))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             return end.end() if end else len(html)
@@ -137,21 +152,39 @@ class Page:
     def skeleton(self) -> str:
         return "\n".join(f"{d} {x}" for d, x in zip(self.depth, self.labels, strict=True))
 
-    def own_texts(self) -> list[str]:
-        """Text that stands directly in each node, white space made one blank."""
+    def layout(self) -> int:
+        """A hash of the labels of the upper levels; runs of one label count once."""
+        upper = [f"{d} {x}" for d, x in zip(self.depth, self.labels, strict=True) if d <= LEVELS]
+        return _hash("\n".join(x for i, x in enumerate(upper) if not i or x != upper[i - 1]))
+
+    def marks(self) -> list[str]:
+        """Of each node its tag, with a ! if it or a node above it is named as junk, and an = if one is markup."""
+        out: list[str] = []
+        for tag, parent, junk, markup in zip(self.tags, self.parent, self.junk, self.markup, strict=True):
+            above = out[parent] if parent >= 0 else ""
+            out.append(tag + "!" * (junk or "!" in above) + "=" * (markup or "=" in above))
+        return out
+
+    def own_texts(self) -> tuple[list[str], list[int]]:
+        """Text that stands directly in each node, white space made one blank; and the characters of it that are links."""
         parts: list[list[str]] = [[] for _ in self.labels]
-        for node, text in self.events:
+        links = [0] * len(self.labels)
+        for node, text, linked in self.events:
             if text is not None:
                 parts[node].append(text)
-        return [" ".join(unescape("".join(p)).split()) if p else "" for p in parts]
+                if linked:
+                    links[node] += len(text)
+        return [" ".join(unescape("".join(p)).split()) if p else "" for p in parts], links
 
     def text(self, root: int, template: set[int]) -> str:
-        """Blocks below `root` without junk and `template` nodes."""
+        """Blocks below `root` without markup, junk and `template` nodes."""
         ok = [False] * len(self.labels)
         for i in range(len(ok)):
-            ok[i] = i == root or (self.parent[i] >= 0 and ok[self.parent[i]] and not self.junk[i] and i not in template)
+            ok[i] = i == root or (self.parent[i] >= 0 and ok[self.parent[i]] and not self.junk[i] and not self.markup[i] and i not in template)
+        if root < len(ok) and "=" in self.marks()[root]:
+            return ""
         blocks, part = [], []
-        for node, text in [*self.events, (0, None)]:
+        for node, text, _ in [*self.events, (0, None, False)]:
             if text is None:
                 block = " ".join(unescape("".join(part)).split()) if part else ""
                 if block:
@@ -303,143 +336,171 @@ def align(a: str, b: str) -> tuple[int, ...]:
     return found
 
 
-def content_slot(tags: list[str], parent: list[int], junk: list[bool], mass: list[float]) -> int:
-    """Node that holds most of the varying text: from the top, go into a child as long as it alone holds nearly all of it, and stop at an article."""
-    total = [0.0 if j else m for j, m in zip(junk, mass, strict=True)]
+def content_slot(marks: list[str], parent: list[int], mass: list[float], hints: bool) -> int:
+    """Node that holds nearly all of `mass`: from the top, go into a child as long as it alone holds HOLDS of what its parent has. Markup has none. With `hints` parts named as junk have none either,
+    and articles are looked at first.
+    """
+    tags = [m.rstrip("!=") for m in marks]
+    out = ["=" in m or (hints and "!" in m) for m in marks]
+    total = [0.0 if o else m for o, m in zip(out, mass, strict=True)]
     for i in range(len(tags) - 1, 0, -1):
         total[parent[i]] += total[i]
-    mains = [i for i in range(len(tags)) if tags[i] == "main" and not junk[i] and total[i] > 0]
+    mains = [i for i in range(len(tags)) if tags[i] == "main" and not out[i] and total[i] > 0] if hints else []
     if mains:
         best = max(mains, key=lambda i: (total[i], -i))
         # several articles beside each other: what holds them all
         if sum(total[i] for i in mains if parent[i] == parent[best]) <= 1.5 * total[best]:
-            inner = [i for i in mains if i > best and total[i] >= 0.7 * total[best]]
+            inner = [i for i in mains if i > best and total[i] >= HOLDS * total[best]]
             return inner[-1] if inner else best
         return parent[best]
+    children: list[list[int]] = [[] for _ in tags]
+    for i in range(1, len(tags)):
+        children[parent[i]].append(i)
     node = 0
     while True:
-        deeper = [i for i in range(node + 1, len(tags)) if parent[i] == node and total[i] >= 0.7 * total[node] > 0 and tags[i] in ("html", "body", "div", "section", "main", "table", "tbody", "tr", "td", "center")]
+        deeper = [i for i in children[node] if total[i] >= HOLDS * total[node] > 0 and tags[i] in HOLDERS]
         if not deeper:
             return node
         node = deeper[0]
 
 
+def induced(marks: list[str], parent: list[int], cells: list[dict], pages: int) -> tuple[int, list[int], list[int]]:
+    """Content slot, slots of one text and slots of links, from the counts of a group's nodes (node, met, same, size, links). Names only turn down a slot that the counts lead to."""
+    mass, fixed, loose = [0.0] * len(marks), [], []
+    for c in cells:
+        if "=" in marks[c["node"]] or not c["size"]:
+            continue
+        if c["same"] >= CONSTANT * pages:
+            fixed.append(c["node"])
+        elif c["links"] > LINKED * c["size"]:
+            loose.append(c["node"])
+        else:
+            mass[c["node"]] = float(c["size"] - c["links"])
+    slot = content_slot(marks, parent, mass, False)
+    if "!" in marks[slot]:
+        slot = content_slot(marks, parent, mass, True)
+    return slot, sorted(fixed), sorted(loose)
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def skeletons(pages: DataFrame) -> DataFrame:
-    """(host, key, skeleton, texts, sizes, tags, junk) of each page; key: a hash of the whole html."""
+SKELETON = "host string, layout long, key long, skeleton string, texts binary, sizes binary, links binary, marks string"
+
+
+def skeletons(pages: DataFrame, hints: bool = True) -> DataFrame:
+    """(host, layout, key, skeleton, texts, sizes, links, marks) of each page; key: a hash of the whole html; texts, sizes, links: of each node."""
 
     def work(batches):
+        names = [x.split()[0] for x in SKELETON.split(", ")]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
         for batch in batches:
             rows = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if html:
-                    p = Page(html)
-                    texts = p.own_texts()
-                    rows.append((host, _hash(html), p.skeleton(), np.array([_hash(t) if t else 0 for t in texts], np.int64).tobytes(), np.array([len(t) for t in texts], np.int32).tobytes(), " ".join(f"{t}{'!' if j else ''}" for t, j in zip(p.tags, p.junk, strict=True))))
-            types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], ["host", "key", "skeleton", "texts", "sizes", "tags"])
+                    p = Page(html, hints)
+                    texts, links = p.own_texts()
+                    sizes = np.array([len(t) for t in texts], np.int32)
+                    rows.append((host, p.layout(), _hash(html), p.skeleton(), np.array([_hash(t) if t else 0 for t in texts], np.int64).tobytes(), sizes.tobytes(), np.minimum(sizes, np.array(links, np.int32)).tobytes(), " ".join(p.marks())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
 
-    return over_batches(pages.select("host", "html"), work, "host string, key long, skeleton string, texts binary, sizes binary, tags string").dropDuplicates(["host", "key"])
+    return over_batches(pages.select("host", "html"), work, SKELETON).dropDuplicates(["host", "key"])
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, texts, constant, slot): the reference page of each host, its template nodes and its content slot. `pages`: host, html."""
-    trees = durable(skeletons(pages))
-    first = trees.groupBy("host").agg(F.min("key").alias("key"), F.count("*").alias("pages"))
-    reference = durable(trees.join(first, ["host", "key"]).select("host", F.col("skeleton").alias("ref_skeleton"), F.col("texts").alias("ref_texts"), F.col("tags").alias("ref_tags"), "pages"))
+def wrappers(pages: DataFrame, hints: bool = True) -> DataFrame:
+    """(host, layout, skeleton, texts, fixed, loose, slot): of each group of LEAST_PAGES pages or more the reference page, its template slots (of one text; of links) and its content slot. `pages`: host, html."""
+    trees = durable(skeletons(pages, hints))
+    group = ["host", "layout"]
+    first = trees.groupBy(*group).agg(F.min("key").alias("key"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    reference = durable(trees.join(first, [*group, "key"]).select(*group, F.col("skeleton").alias("ref_skeleton"), F.col("texts").alias("ref_texts"), F.col("marks").alias("ref_marks"), "pages"))
 
     def count(batches):
+        names = ["host", "layout", "node", "met", "same", "size", "links"]
         for batch in batches:
-            cells: dict[tuple[str, int], list[float]] = {}
-            columns = (batch.column(c).to_pylist() for c in ("host", "skeleton", "texts", "sizes", "ref_skeleton", "ref_texts"))
-            for host, skeleton, texts, sizes, ref, ref_texts in zip(*columns, strict=True):
-                texts, sizes, ref_texts = np.frombuffer(texts, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(ref_texts, np.int64)
+            cells: dict[tuple[str, int, int], list[int]] = {}
+            columns = (batch.column(c).to_pylist() for c in ("host", "layout", "skeleton", "texts", "sizes", "links", "ref_skeleton", "ref_texts"))
+            for host, layout, skeleton, texts, sizes, links, ref, ref_texts in zip(*columns, strict=True):
+                texts, sizes, links, ref_texts = np.frombuffer(texts, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(links, np.int32), np.frombuffer(ref_texts, np.int64)
                 for i, j in enumerate(align(skeleton, ref)):
                     if j >= 0:
-                        cell = cells.setdefault((host, j), [0, 0, 0])
+                        cell = cells.setdefault((host, layout, j), [0, 0, 0, 0])
                         cell[0] += 1
                         cell[1] += int(texts[i] == ref_texts[j])
                         cell[2] += int(sizes[i])
-            rows = [(h, j, *c) for (h, j), c in cells.items()]
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["host", "node", "met", "same", "size"])
+                        cell[3] += int(links[i])
+            rows = [(*k, *c) for k, c in cells.items()]
+            types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names)
 
-    cells = over_batches(trees.select("host", "skeleton", "texts", "sizes").join(reference.select("host", "ref_skeleton", "ref_texts"), "host"), count, "host string, node int, met long, same long, size long")
-    cells = cells.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"), F.sum("size").alias("size"))
-    cells = cells.groupBy("host").agg(F.collect_list(F.struct("node", "met", "same", "size")).alias("cells"))  # one for each node of the reference page
+    cells = over_batches(trees.select(*group, "skeleton", "texts", "sizes", "links").join(reference.select(*group, "ref_skeleton", "ref_texts"), group), count, "host string, layout long, node int, met long, same long, size long, links long")
+    sums = [F.sum(c).alias(c) for c in ("met", "same", "size", "links")]
+    cells = cells.groupBy(*group, "node").agg(*sums).groupBy(*group).agg(F.collect_list(F.struct("node", "met", "same", "size", "links")).alias("cells"))  # one for each node of the reference page
 
     def induce(batches):
         for batch in batches:
             rows = []
-            for host, skeleton, texts, tags, pages_, cells_ in zip(*(batch.column(c).to_pylist() for c in ("host", "ref_skeleton", "ref_texts", "ref_tags", "pages", "cells")), strict=True):
+            for host, layout, skeleton, texts, marks, pages_, cells_ in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "ref_skeleton", "ref_texts", "ref_marks", "pages", "cells")), strict=True):
                 _, children = _children(skeleton)
                 parent = [-1] * len(children)
                 for i, c in enumerate(children):
                     for j in c:
                         parent[j] = i
-                marks = tags.split(" ")
-                junk = [m.endswith("!") for m in marks]
-                mass, constant = [0.0] * len(marks), []
-                for c in cells_:
-                    fixed = pages_ >= LEAST_PAGES and c["same"] >= CONSTANT * pages_ and c["size"] > 0
-                    if fixed:
-                        constant.append(c["node"])
-                    else:
-                        mass[c["node"]] = float(c["size"])
-                rows.append((host, skeleton, texts, sorted(constant), content_slot([m.rstrip("!") for m in marks], parent, junk, mass)))
-            types = [pa.string(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["host", "skeleton", "texts", "constant", "slot"])
-
-    return over_batches(reference.join(cells, "host"), induce, "host string, skeleton string, texts binary, constant array<int>, slot int")
-
-
-def main_text(html: str | None, wrapper: tuple | None) -> str:
-    """Text of one page by its host's wrapper (skeleton, texts, constant nodes, slot); by the page alone where the wrapper's slot is not in it."""
-    if not html:
-        return ""
-    page = Page(html)
-    texts = page.own_texts()
-    own = content_slot(page.tags, page.parent, page.junk, [float(len(t)) for t in texts])
-    if wrapper is None:
-        return page.text(own, set())
-    skeleton, ref_texts, constant, slot = wrapper
-    partner = align(page.skeleton(), skeleton)
-    root = partner.index(slot) if slot in partner else own
-    fixed = set(constant)
-    ref_texts = np.frombuffer(ref_texts, np.int64)
-    template = {i for i, j in enumerate(partner) if j in fixed and texts[i] and _hash(texts[i]) == ref_texts[j]}
-    if page.tags[own] == "main" and page.tags[root] != "main":
-        root = own
-    return page.text(root, template) or page.text(own, template)
-
-
-def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
+                slot, fixed, loose = induced(marks.split(" "), parent, cells_, pages_)
+                rows.append((host, layout, skeleton, texts, fixed, loose, slot))
+            types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], ["host", "layout", "skeleton", "texts", "fixed", "loose", "slot"])
+
+    return over_batches(reference.join(cells, group), induce, "host string, layout long, skeleton string, texts binary, fixed array<int>, loose array<int>, slot int")
+
+
+def main_text(page: Page, wrapper: tuple | None) -> str:
+    """Text of one page by its group's wrapper (skeleton, texts, fixed, loose, slot); by the page alone without one, or where the wrapper's slot is not in the page or holds nothing."""
+    texts, _ = page.own_texts()
+    template: set[int] = set()
+    if wrapper is not None:
+        skeleton, ref_texts, fixed, loose, slot = wrapper
+        partner = align(page.skeleton(), skeleton)
+        fixed, loose = set(fixed), set(loose)
+        ref_texts = np.frombuffer(ref_texts, np.int64)
+        template = {i for i, j in enumerate(partner) if j in loose or (j in fixed and texts[i] and _hash(texts[i]) == ref_texts[j])}
+        if slot in partner and (found := page.text(partner.index(slot), template)):
+            return found
+    return page.text(content_slot(page.marks(), page.parent, [float(len(t)) for t in texts], page.hints), template)
+
+
+def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES, hints: bool = True) -> DataFrame:
     """One row a page: page_id, url, text, n_chars."""
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    known = durable(wrappers(rows))
-    size = known.agg(F.coalesce(F.sum(F.length("skeleton") + F.octet_length("texts") + 4 * F.size("constant") + 200), F.lit(0))).first()[0]
+    known = durable(wrappers(rows, hints))
+    size = known.agg(F.coalesce(F.sum(F.length("skeleton") + F.octet_length("texts") + 4 * F.size("fixed") + 4 * F.size("loose") + 200), F.lit(0))).first()[0]
     schema = "page_id long, url string, text string, n_chars long"
+    names = ("skeleton", "texts", "fixed", "loose", "slot")
 
     def out(batch, texts):
         return pa.RecordBatch.from_arrays([pa.compute.cast(batch.column("page_id"), pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     if size <= wrapper_bytes:
-        table = {r["host"]: (r["skeleton"], bytes(r["texts"]), r["constant"], r["slot"]) for r in known.collect()}
+        table = {(r["host"], r["layout"]): (r["skeleton"], bytes(r["texts"]), r["fixed"], r["loose"], r["slot"]) for r in known.collect()}
         shared = pages.sparkSession.sparkContext.broadcast(table)
 
         def work(batches):
             for batch in batches:
-                yield out(batch, [main_text(h, shared.value.get(k)) for h, k in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)])
+                read = ((Page(h, hints), k) for h, k in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True))
+                yield out(batch, [main_text(p, shared.value.get((k, p.layout()))) for p, k in read])
 
         return over_batches(rows, work, schema)
 
     def joined(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("html", "skeleton", "texts", "constant", "slot")]
-            yield out(batch, [main_text(h, (s, t, c, k) if s is not None else None) for h, s, t, c, k in zip(*columns, strict=True)])
-
-    return over_batches(rows.join(known, "host", "left"), joined, schema)
+            texts = []
+            for html, of in zip(batch.column("html").to_pylist(), batch.column("wrappers").to_pylist(), strict=True):
+                p = Page(html, hints)
+                layout = p.layout()
+                texts.append(main_text(p, next((tuple(w[c] for c in names) for w in of or [] if w["layout"] == layout), None)))
+            yield out(batch, texts)
+
+    # a page's layout is known once it is read; layouts of one host are few, as each has LEAST_PAGES pages and together they have a part of WRAPPER_BYTES a host
+    by_host = known.groupBy("host").agg(F.collect_list(F.struct("layout", *names)).alias("wrappers"))
+    return over_batches(rows.join(by_host, "host", "left"), joined, schema)

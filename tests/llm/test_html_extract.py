@@ -1,10 +1,13 @@
 """Main text of pages: the alignment against a search without shortcuts, written pages, odd markup."""
 
 import random
+import re
 from functools import cache
+from html import unescape
 
 import pytest
 from cases import sentence
+from pyspark.sql import functions as F
 
 from lexispark.llm import html_extract as he
 
@@ -98,6 +101,56 @@ def test_template_without_telling_names_goes(spark):
         assert "Welcome" not in r["text"] and "rights" not in r["text"] and len(r["text"].split()) == 70
 
 
+def test_varying_slots_without_telling_names_go(spark):
+    """Menus, adverts and footers that differ on each page, and no name that says so: what is left out follows from counts over the host alone."""
+    rng = random.Random(9)
+
+    def varied(i):
+        links = "".join(f'<li><a href="/{k}">{sentence(rng, 2)}</a></li>' for k in range(6))
+        return f"<body><div><ul>{links}</ul></div><div class='x1'>{sentence(rng, 6)}</div><div class='x2'><h1>{sentence(rng, 5)}</h1><p>{texts[i][0]}</p><p>{texts[i][1]}</p><div><a href='/r'>{sentence(rng, 4)}</a></div></div><div class='x3'>site {i} {sentence(rng, 5)}</div></body>"
+
+    texts = [(sentence(rng, 60), sentence(rng, 40)) for _ in range(24)]
+    rows = [(i, "http://c.org/p", varied(i)) for i in range(24)]
+    for hints in (True, False):
+        for r in he.extract(spark.createDataFrame(rows, PAGES), hints=hints).collect():
+            blocks = r["text"].split("\n\n")
+            assert len(blocks) == 3 and tuple(blocks[1:]) == texts[r["page_id"]]
+
+
+def test_two_layouts_of_one_host(spark):
+    rng = random.Random(10)
+    texts = [sentence(rng, 60) for _ in range(40)]
+    one = lambda i: f"<body><div>{sentence(rng, 5)}</div><div class='b'><p>{texts[i]}</p></div><div>Always the same words</div></body>"
+    two = lambda i: f"<body><table><tr><td class='m'>{sentence(rng, 5)}</td><td><p>{texts[i]}</p></td></tr></table><p>Other fixed words</p></body>"
+    rows = [(i, "http://d.org/p", (one if i % 5 < 3 else two)(i)) for i in range(40)]
+    out = {r["page_id"]: r["text"] for r in he.extract(spark.createDataFrame(rows, PAGES), hints=False).collect()}
+    assert [out[i] for i in range(40)] == texts
+
+
+def article_by_hand(html):
+    """The article of the test pages by their own markup: headings and paragraphs in order."""
+    inner = re.search(r"<article>(.*?)</article>", html, re.S)
+    parts = re.split(r"</?(?:p|h1|div|ul|li|table|tr|blockquote)[^>]*>", inner[1]) if inner else []
+    return "\n\n".join(t for t in (" ".join(unescape(re.sub(r"<br[^>]*>", " ", re.sub(r"<!--.*?-->|<(?!br)[^>]*>", "", x, flags=re.S))).split()) for x in parts) if t)
+
+
+def test_pages_of_the_table_by_counts_alone(spark, sf):
+    """On the real pages wrappers exist, have template slots, decide what is left out, and give the article without any name or tag that says what it is."""
+    table = spark.read.parquet(f"{sf}/../sf0.1/pages.parquet")
+    host, _ = he.host_and_path(F.col("url"))
+    known = he.wrappers(table.select("html", host.alias("host")), hints=False).collect()
+    assert len(known) > 50 and sum(len(w["loose"]) for w in known) > 100
+    html = {r["page_id"]: r["html"] for r in table.collect()}
+    groups = {w["host"] for w in known}
+    bare = {r["page_id"]: r["text"] for r in he.extract(table, hints=False).collect()}
+    alone = {i: he.main_text(he.Page(h, False), None) for i, h in html.items()}
+    wrapped = [r["page_id"] for r in table.select("page_id", host.alias("host")).collect() if r["host"] in groups]
+    right = sum(bare[i] == article_by_hand(html[i]) for i in wrapped)
+    assert right >= 0.98 * len(wrapped) and sum(bare[i] != alone[i] for i in wrapped) > 50
+    named = {r["page_id"]: r["text"] for r in he.extract(table).collect()}
+    assert sum(named[i] == article_by_hand(html[i]) for i in html) >= 0.99 * len(html)
+
+
 def test_joined_wrappers_give_the_same(spark, site):
     rows, texts = site
     out = {r["page_id"]: r["text"] for r in he.extract(spark.createDataFrame(rows, PAGES), wrapper_bytes=0).collect()}
