@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, crc_mod3, named_back, over_batches
+from .common import aside, crc_mod3, durable, named_back, over_batches
 from .words import LOWER, WORD, Words, chunked, layout, mix, ngrams, powers
 
 SAMPLE, THRESHOLD = 20_000, 0.7
@@ -266,6 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = known.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample)  # at most `sample` rows of two numbers
     fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("fold")), F.lit(FOLDS)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id").withColumn("fold", fold)
+    rows = durable(rows)  # at most `sample` documents (and rows of one doc_id); the passes below read these and not the whole table
 
     def thin(batches):
         for batch in batches:
