@@ -5,7 +5,7 @@ table of weights; transitions between the languages of neighbouring words are le
 code-switched text; a document's language is the one with the largest mean probability over its words.
 
 Fitting: on at most `sample` texts (SAMPLE), dealt equally to the languages by a hash of doc_id, of each at most WORDS words from places spread over the text; stretches of different languages are
-joined to sequences, from which the transitions are learned. Learned only from text and non-null lang of rows whose crc32(doc_id as text) mod 3 is not 1. lang,
+joined to sequences, from which the transitions are learned. Of more than LANGS language names those of the most texts are learned. Learned only from text and non-null lang of rows whose crc32(doc_id as text) mod 3 is not 1. lang,
 source and doc_id are never inputs of a prediction. Whole texts are predicted; a chain is cut every CHAIN words to bound the number of steps.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as are all texts when nothing could be learned; a text whose only letters stand outside
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod3, over_batches
 from .words import WORD, Words, chunked, layout
 
-SAMPLE, WORDS, TABLE, CHAIN = 4_000, 150, 16, 512
+SAMPLE, WORDS, TABLE, CHAIN, LANGS = 4_000, 150, 16, 512, 100
+#: Of a longer text so many pieces of so many characters come to the driver, spread over it: enough for WORDS words, and at most 20 MB in all.
+PIECES, PIECE = 8, 500
 SIZES = (2, 3, 4)
 EPOCHS, BATCH, STEP = 3, 128, 0.3
 
@@ -204,16 +206,17 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(crc_mod3(F.col("doc_id")) != 1)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).select("lang", "n")
+    counts = {r["lang"]: r["n"] for r in per_lang.collect()}
     if not counts:
         return Model([])
     share = sample / len(counts)
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("lang")), F.lit(1 << 30))
-    below = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, share / n)) + 1)) for lang, n in counts.items()))
-    # `sample` rows are expected and 1.2 times as many the most; of a long text 32 pieces of 500 characters, spread over it, are enough for WORDS words
-    at = [F.substring("text", (F.length("text") * (i / 32)).cast("int") + 1, F.lit(500)) for i in range(32)]
-    text = F.when(F.length("text") > 32_000, F.concat_ws("\n", *at)).otherwise(F.col("text"))
-    rows = known.where(part < below).select("doc_id", "lang", text.alias("text")).limit(int(1.2 * sample) + len(counts)).toPandas().sort_values(["doc_id", "lang", "text"])
+    below = known.sparkSession.createDataFrame([(k, int((1 << 30) * min(1.0, share / n)) + 1) for k, n in counts.items()], "lang string, below long")
+    # `sample` rows are expected and 1.2 times as many the most
+    at = [F.substring("text", (F.length("text") * (i / PIECES)).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)]
+    text = F.when(F.length("text") > PIECES * PIECE, F.concat_ws("\n", *at)).otherwise(F.col("text"))
+    rows = known.join(F.broadcast(below), "lang").where(part < F.col("below")).select("doc_id", "lang", text.alias("text")).limit(int(1.2 * sample) + len(counts)).toPandas().sort_values(["doc_id", "lang", "text"])
     model = Model(sorted(counts))
     model.fit(rows["text"].tolist(), rows["lang"].tolist())
     return model
