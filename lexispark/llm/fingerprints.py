@@ -4,8 +4,11 @@ Terms are shingles of one to three neighbouring words (the whole sequence where
 with the term's bytes as weight, once for each occurrence; a bit is 1 if its votes are above zero. A text without words votes with its whole bytes, an empty text has fingerprint 0.
 The likeness of two fingerprints is the cosine that their share of differing bits stands for, 0 at the least.
 
-Neighbours in the order of doc_id are met without a global sort: ids that stand in the data cut the order into ranges, so each range's first
-document is known beforehand and is sent to the range before it too. Each range is read once in order, a row at a time.
+Neighbours in the order of doc_id are met without a global sort: ids that stand in the data cut the order into ranges of about RANGE_BYTES of text, so each range's first
+document is known beforehand and is sent to the range before it too. Each range is a partition of its own and is read once in order, a row at a time.
+
+Searches: RADIUS + 1 permutations put another block of the fingerprint first, so two fingerprints within RADIUS bits agree in the first block of one of their tables. Equal fingerprints are one before any bucket is
+built, a block has 32 bits, and a pair comes out of the first table in which it agrees only. Documents whose doc_id is divisible by ASKED are the queries, against all documents.
 
 Defined cases: null text counts as empty. Rows of one doc_id are ordered by a hash of their text; null ids come last. One document alone is its own next. An empty table
 gives no rows. Extra columns are ignored.
@@ -21,10 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches
+from .common import durable, over_batches
 from .words import Words, chunked, layout, mix, ngrams
 
 BITS, SHINGLE = 256, 3
+#: Bytes of text in a range, and ranges at most; bits within which a search finds; of which ids it asks.
+RANGE_BYTES, RANGES, RADIUS, ASKED = 16 << 20, 10_000, 7, 20
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64) * 2 - 1
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) & (2**64 - 1)) for j in range(BITS // 64)]
 
@@ -71,13 +76,35 @@ def edited(text: str, following: str) -> str:
 
 
 def _ranges(docs: DataFrame) -> list[int]:
-    """Ids of `docs` that end the ranges, the largest id last; as many as twice the shuffle partitions at most."""
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Ids of `docs` that end the ranges, the largest id last: about as many as the texts' bytes ask for, RANGES at most."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = min(max(2, size // RANGE_BYTES), RANGES)
     shares = F.array(*(F.lit((i + 1) / n) for i in range(n)))
-    row = docs.agg(F.percentile_approx("doc_id", shares, F.lit(100 * n)).alias("at"), F.max("doc_id").alias("top")).first()
+    row = docs.agg(F.percentile_approx("doc_id", shares, F.lit(50 * n)).alias("at"), F.max("doc_id").alias("top")).first()
     return sorted({*(row["at"] or []), row["top"]} - {None}) or [0]
 
 
+def _keys(n: int) -> np.ndarray:
+    """Numbers that Spark's hash partitioning deals to n partitions one by one: the first number of each."""
+    out, first, size = np.full(n, -1, dtype=np.int64), 0, 16 * n
+    while (out < 0).any():
+        x = np.arange(first, first + size, dtype=np.uint32)
+        # Murmur3 of a 32-bit number with seed 42, as Spark has it
+        k = x * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        h ^= h >> np.uint32(16)
+        place, at = np.unique(h.view(np.int32).astype(np.int64) % n, return_index=True)
+        new = out[place] < 0
+        out[place[new]] = x[at[new]]
+        first += size
+    return out
+
+
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -85,6 +112,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ends = _ranges(docs)
+    keys = _keys(len(ends))
 
     def deal(batches):
         bounds, press = np.array(ends, dtype=np.int64), zstandard.ZstdCompressor(level=1)
@@ -97,7 +125,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             # the first documents of a range follow the last of the range before it
             ahead = np.flatnonzero((bounds[part] == known) & ids.is_valid().to_numpy(zero_copy_only=False))
             take = pa.array(np.append(np.arange(len(ids)), ahead))
-            where = np.append(part, (part[ahead] + 1) % len(bounds)).astype(np.int32)
+            where = keys[np.append(part, (part[ahead] + 1) % len(bounds))].astype(np.int32)
             late = pa.array(np.append(np.zeros(len(ids), bool), np.ones(len(ahead), bool)))
             yield pa.RecordBatch.from_arrays([pa.array(where), late, ids.take(take), pa.array(order, pa.int64()).take(take), pa.array(packed, pa.binary()).take(take)], ["part", "late", "doc_id", "tie", "packed"])
 
@@ -133,16 +161,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             )
 
     dealt = over_batches(docs, deal, "part int, late boolean, doc_id long, tie long, packed binary")
-    parts = max(1, len(ends) // 2)
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "late", F.col("doc_id").desc_nulls_last(), "tie")
+    ordered = dealt.repartition(len(ends), "part").sortWithinPartitions("part", "late", F.col("doc_id").desc_nulls_last(), "tie")
     return over_batches(ordered.drop("tie"), read, OUT)
 
 
-def block_tables(prints: DataFrame, radius: int) -> DataFrame:
-    """Rows (table, block, fp): each of radius + 1 permutations puts another block of the fingerprint first; close fingerprints agree in one of them."""
+def _blocks(fp: str, radius: int) -> list[F.Column]:
+    """The hex digits of each of radius + 1 blocks."""
     n, digits = radius + 1, BITS // 4
     cuts = [round(i * digits / n) for i in range(n + 1)]
-    blocks = F.array(*(F.struct(F.lit(i).alias("table"), F.substring("fp", cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("block")) for i in range(n)))
+    return [F.substring(fp, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def block_tables(prints: DataFrame, radius: int) -> DataFrame:
+    """Rows (table, block, fp): each of radius + 1 permutations puts another block of the fingerprint first; close fingerprints agree in one of them."""
+    blocks = F.array(*(F.struct(F.lit(i).alias("table"), b.alias("block")) for i, b in enumerate(_blocks("fp", radius))))
     return prints.select("fp", F.explode(blocks).alias("b")).select("b.table", "b.block", "fp")
 
 
@@ -152,14 +184,30 @@ def differing_bits(a, b) -> F.Column:
     return sum(words[1:], words[0])
 
 
-def search(fingerprinted: DataFrame, queries: DataFrame, radius: int = 24) -> DataFrame:
+def search(fingerprinted: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, near_fp, differing) for each distinct fingerprint of `queries` and each distinct one of `fingerprinted` within `radius` bits, itself included.
 
-    Documents of equal fingerprints are one row here; column `fingerprint` ties them to their documents.
+    Documents of equal fingerprints are one row here; column `fingerprint` ties them to their documents. A wide radius has short blocks, and so many pairs to look at.
     """
     pool = fingerprinted.select(F.col("fingerprint").alias("fp")).distinct()
     asked = queries.select(F.col("fingerprint").alias("fp")).distinct()
     left = block_tables(asked, radius)
-    right = block_tables(pool, radius).withColumnRenamed("fp", "near_fp")
-    pairs = left.join(right, ["table", "block"]).withColumn("differing", differing_bits("fp", "near_fp")).where(F.col("differing") <= radius)
-    return pairs.select("fp", "near_fp", "differing").distinct()
+    right = block_tables(pool, radius).select(F.col("table").alias("t"), F.col("block").alias("b"), F.col("fp").alias("near_fp"))
+    first = F.coalesce(*(F.when(x == y, F.lit(i)) for i, (x, y) in enumerate(zip(_blocks("fp", radius), _blocks("near_fp", radius), strict=True))))
+    differing = differing_bits("fp", "near_fp")
+    pairs = left.join(right, (F.col("table") == F.col("t")) & (F.col("block") == F.col("b")) & (first == F.col("table")) & (differing <= radius))
+    return pairs.select("fp", "near_fp", differing.alias("differing"))
+
+
+def with_neighbours(prints: DataFrame, radius: int = RADIUS, asked: int = ASKED) -> DataFrame:
+    """`prints` (doc_id, fingerprint and more; read more than once) with n_near: of documents whose doc_id is divisible by `asked`, how many documents have a fingerprint within `radius` bits, the document itself included; null for others."""
+    of = F.coalesce(F.col("doc_id") % asked == 0, F.lit(False))
+    counts = prints.groupBy(F.col("fingerprint").alias("near_fp")).agg(F.count("*").alias("n"))
+    near = search(prints, prints.where(of), radius).join(counts, "near_fp").groupBy("fp").agg(F.sum("n").alias("n_near"))
+    found = prints.where(of).join(near, F.col("fingerprint") == F.col("fp"), "left").select(*prints.columns, "n_near")
+    return found.unionByName(prints.where(~of).withColumn("n_near", F.lit(None).cast("long")))
+
+
+def fingerprints_and_neighbours(docs: DataFrame) -> DataFrame:
+    """As `fingerprint_documents`, with n_near of the queries' documents."""
+    return with_neighbours(durable(fingerprint_documents(docs)))

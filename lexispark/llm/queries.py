@@ -40,7 +40,7 @@ def op8_html_extraction(spark, sf_dir):
 
 
 def op9_fingerprints(spark, sf_dir):
-    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprints_and_neighbours(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark, sf_dir):

@@ -44,6 +44,10 @@ def test_query_on_the_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     out = QUERIES["op9_fingerprints"](spark, sf).collect()
     check(rows, out)
+    prints = {r["doc_id"]: np.frombuffer(bytes.fromhex(r["fingerprint"]), np.uint8) for r in out}
+    every = np.stack(list(prints.values()))
+    for r in out:
+        assert r["n_near"] == (int((np.bitwise_count(every ^ prints[r["doc_id"]]).sum(axis=1) <= fingerprints.RADIUS).sum()) if r["doc_id"] % fingerprints.ASKED == 0 else None)
     edited, following = np.mean([r["near_edited"] for r in out]), np.mean([r["near_next"] for r in out])
     assert edited > 0.55 > 0.25 > following
 
@@ -79,3 +83,44 @@ def test_block_tables_find_all_within_the_radius(spark):
     distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
     wanted = {(prints[i].tobytes().hex(), prints[j].tobytes().hex()): int(distance[i, j]) for i, j in np.argwhere(distance <= 24)}
     assert got == wanted
+
+
+def test_a_pair_comes_out_once(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (20, 32), dtype=np.uint8)
+    near = np.repeat(base, 12, axis=0)
+    for i in range(len(near)):
+        for b in rng.choice(256, i % 12, replace=False):
+            near[i, b // 8] ^= np.uint8(1 << (b % 8))
+    df = spark.createDataFrame([(p.tobytes().hex(),) for p in np.concatenate([base, near])], "fingerprint string")
+    rows = fingerprints.search(df, df).collect()
+    every = np.unique(np.concatenate([base, near]), axis=0)
+    distance = np.bitwise_count(every[:, None] ^ every[None]).sum(axis=2)
+    assert len(rows) == len({(r["fp"], r["near_fp"]) for r in rows}) == int((distance <= fingerprints.RADIUS).sum())
+
+
+def test_neighbours_of_odd_rows(spark):
+    docs = documents(spark, [*odd_rows(random.Random(5)), (20, "one text"), (21, "one text"), (40, None)])
+    out = fingerprints.fingerprints_and_neighbours(docs).collect()
+    assert len(out) == len(odd_rows(random.Random(5))) + 3
+    near = {r["doc_id"]: r["n_near"] for r in out}
+    assert near[20] == 2 and near[21] is None and near[None] is None and near[40] >= 2
+    assert fingerprints.fingerprints_and_neighbours(documents(spark, [])).collect() == []
+
+
+def test_ranges_by_bytes(spark, monkeypatch):
+    """Many ranges, each in a partition of its own."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 2_000)
+    rng = random.Random(6)
+    rows = [(7 * i - 300, sentence(rng, rng.randrange(0, 60))) for i in range(200)]
+    assert len(fingerprints._ranges(documents(spark, rows))) > 20
+    check(rows, fingerprints.fingerprint_documents(documents(spark, rows)).collect())
+
+
+def test_keys_fall_into_partitions_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 7, 200):
+        keys = fingerprints._keys(n)
+        df = spark.createDataFrame([(int(k),) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+        assert [r["p"] for r in df.collect()] == list(range(n))
