@@ -3,13 +3,15 @@
 Fingerprints of 64 bits within two bits only tell texts that are all but equal (see the README for figures), so the stage looks at shingles too.
 
 1. Of each document the first share of its shingle hashes that two similar sets can't both keep apart: two sets with similarity s share one of their n - ceil(s n) + 1 first.
-   Any order of the hashes will do. The smallest come first, but those of over COMMON documents last, so common passages bring nobody together who shares little else.
+   Any order of the hashes will do. Of the lower half of all hashes those of few documents come first, by steps of STEP from COMMON documents on, so common passages bring nobody together who shares
+   little else; the upper half, which isn't counted, comes last.
 2. A place in that order bounds what two sets can share from there on, so a hash's holder can only be similar to holders of a certain size, its `most`. Holders too large for every
    other group's `most` leave the hash before anything is paired.
 3. Stars: while all pairs of holders would be many, each hash joins its holders with two of them (the one that can take the largest partner, and one drawn by a hash of doc_id),
    and what proves similar is one group from then on. These rounds only save work.
-4. All pairs of holders of a hash that are not in one group yet, as far as both sizes fit both places. At the first hash that two similar sets share they do, so every similar pair is met or
-   its ends are in one group. The rest is compared exactly, by whole sets.
+4. All pairs of holders of a hash that are not in one group yet, as far as both sizes fit both places, and both sketches each other: a sketch has the parity of how many shingles fall on each of its bits,
+   so two sets differ in as many shingles at least as their sketches do in bits. At the first hash that two similar sets share all this holds, so every similar pair is met or
+   its ends are in one group. It is tested inside the join. The rest is compared exactly, by whole sets.
 5. Components of the links; the smallest doc_id of each stays.
 
 Only documents that a candidate names are shuffled for the comparison.
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import durable, over_batches
 from .simhash_dedup import components
-from .substring_dedup import in_table, sieve
+from .substring_dedup import bits_of, in_table, sieve
 from .words import Words, chunked, layout, mix, ngrams
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Holders above which a hash comes last; pairs of holders a sign above which another round of stars is worth it, and rounds at most.
-COMMON, MANY, ROUNDS = 32, 4, 3
+#: Documents above which a hash comes later, and times as many for each further step; pairs of holders a sign above which a round of stars is worth it, rounds at most, and the share of the links of the round before that a round must find for another one to follow.
+COMMON, STEP, MANY, ROUNDS, WORTH = 32, 8, 4, 3, 0.25
+#: Words of 64 bits of a sketch.
+SKETCH = 8
+PLACE, SKETCHED = ("doc_id", "n", "at", "c"), tuple(f"s{i}" for i in range(SKETCH))
 
 
 def shingle_sets(column, shingle: int = SHINGLE):
@@ -59,21 +64,31 @@ def prefix(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def common(docs: DataFrame, table) -> np.ndarray:
-    """Bit table of the hashes, of the lower half of all, that over COMMON of the documents in the bit table hold."""
+def lower(s: np.ndarray) -> int:
+    """How many of the sorted hashes are in the lower half of all."""
+    return int(np.searchsorted(s, np.uint64(1 << 63)))
+
+
+def common(docs: DataFrame, table) -> list[np.ndarray]:
+    """Bit tables of the hashes, of the lower half of all, that over COMMON of the documents in the bit table hold, over COMMON * STEP, and so on."""
 
     def work(batches):
         for batch in batches:
             batch = batch.filter(in_table(batch.column("doc_id"), table))
-            parts = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in shingle_sets(batch.column("text"))]
+            parts = [s[: lower(s)] for s in shingle_sets(batch.column("text"))]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["hash"])
 
-    return sieve(over_batches(docs, work, "hash long").groupBy("hash").count().where(F.col("count") > COMMON), "hash")
+    counted = durable(over_batches(docs, work, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > COMMON))
+    most, least, out = counted.agg(F.max("n")).first()[0] or 0, COMMON, []
+    while most > least:
+        out.append(sieve(counted.where(F.col("n") > least), "hash"))
+        least *= STEP
+    return out
 
 
-def signs(docs: DataFrame, table, last, similarity: float) -> DataFrame:
-    """(hash, doc_id, n, at): the first hashes of each document in the bit table with their places, those in the bit table `last` after all others; and how many shingles it has."""
+def signs(docs: DataFrame, table, later, similarity: float) -> DataFrame:
+    """(hash, doc_id, n, at): the first hashes of each document in the bit table with their places, those in more of the bit tables `later` after those in fewer; and how many shingles it has."""
 
     def work(batches):
         for batch in batches:
@@ -81,8 +96,10 @@ def signs(docs: DataFrame, table, last, similarity: float) -> DataFrame:
             ids = batch.column("doc_id").to_numpy()
             parts, many, sizes = [], [], []
             for s in shingle_sets(batch.column("text")):
-                late = in_table(pa.array(s.view(np.int64)), last).to_numpy(zero_copy_only=False)
-                parts.append(np.concatenate([s[~late], s[late]])[: prefix(len(s), similarity)])
+                k = lower(s)
+                step = np.full(len(s), 127, dtype=np.int8)
+                step[:k] = sum((bits_of(s[:k], t).astype(np.int8) for t in later.value), np.zeros(k, np.int8))
+                parts.append(s[np.argsort(step, kind="stable")[: prefix(len(s), similarity)]])
                 many.append(len(parts[-1]))
                 sizes.append(len(s))
             if parts:
@@ -94,23 +111,43 @@ def signs(docs: DataFrame, table, last, similarity: float) -> DataFrame:
     return over_batches(docs, work, "hash long, doc_id long, n int, at int")
 
 
+def sketches(docs: DataFrame, table) -> DataFrame:
+    """(doc_id, s0, s1, ...): parities of the numbers of shingles that fall on each bit, for the documents in the bit table."""
+
+    def work(batches):
+        for batch in batches:
+            batch = batch.filter(in_table(batch.column("doc_id"), table))
+            bits = [np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1 for s in shingle_sets(batch.column("text"))]
+            if bits:
+                words = np.packbits(np.array(bits, dtype=np.uint8), axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["doc_id", *SKETCHED])
+
+    return over_batches(docs, work, "doc_id long, " + ", ".join(f"{c} long" for c in SKETCHED))
+
+
 def most(similarity: float, n="n", at="at") -> F.Column:
     """Shingles that a similar set can have at most, if it shares nothing before this place: both sizes together times s / (1 + s) must be met by what is left."""
     return F.floor((F.col(n) - F.col(at)) * ((1 + similarity) / similarity) - F.col(n) + 1e-6)
 
 
+def shared_signs(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """`found` (hash, doc_id, n, at) as far as several documents hold the hash, with the group c (the document itself) and the sketch of each."""
+    dealt = found.repartition("hash")  # once, for both the count of holders and their rows
+    held = durable(dealt.join(dealt.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash"), "hash", "left_semi"))
+    table = rows.sparkSession.sparkContext.broadcast(sieve(held.select("doc_id").distinct(), "doc_id"))
+    return held.join(sketches(rows, table), "doc_id").withColumn("c", F.col("doc_id")).select("hash", *PLACE, *SKETCHED)
+
+
 def grouped(found: DataFrame, edges: DataFrame | None, similarity: float) -> DataFrame:
     """`found` with the group of each document in column c, as far as a holder of another group may be similar."""
-    if edges is None:
-        found = found.withColumn("c", F.col("doc_id"))
-    else:
+    if edges is not None:
         known = components(edges).select(F.col("node").alias("doc_id"), "root")
-        found = found.join(known, "doc_id", "left").select("hash", "doc_id", "n", "at", F.coalesce("root", "doc_id").alias("c"))
+        found = found.drop("c").join(known, "doc_id", "left").withColumn("c", F.coalesce("root", "doc_id"))
     # of each hash the two groups with the largest `most`
     by_group = found.groupBy("hash", "c").agg(F.max(most(similarity)).alias("m"))
     best = by_group.withColumn("k", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("m"), "c"))).where("k <= 2")
     best = best.groupBy("hash").agg(F.max(F.when(F.col("k") == 1, F.col("c"))).alias("own"), F.max(F.when(F.col("k") == 1, F.col("m"))).alias("first"), F.max(F.when(F.col("k") == 2, F.col("m"))).alias("second")).where("second is not null")
-    return durable(found.join(best, "hash").where(F.when(F.col("c") == F.col("own"), F.col("second")).otherwise(F.col("first")) >= F.col("n")).select("hash", "doc_id", "n", "at", "c"))
+    return durable(found.join(best, "hash").where(F.when(F.col("c") == F.col("own"), F.col("second")).otherwise(F.col("first")) >= F.col("n")).select("hash", *PLACE, *SKETCHED))
 
 
 def load(found: DataFrame) -> tuple[int, int]:
@@ -121,50 +158,80 @@ def load(found: DataFrame) -> tuple[int, int]:
 
 
 def fits(similarity: float, a: str, b: str) -> F.Column:
-    """Whether two holders of a hash in two groups can be similar, by their sizes and places. `a`, `b`: prefixes of the columns."""
-    return (F.col(f"{a}c") != F.col(f"{b}c")) & (F.col(f"{a}n") <= most(similarity, f"{b}n", f"{b}at")) & (F.col(f"{b}n") <= most(similarity, f"{a}n", f"{a}at"))
+    """Whether two holders of a hash in two groups can be similar, by their sizes, places and sketches. `a`, `b`: prefixes of the columns."""
+    differ = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCHED[1:]), F.bit_count(F.col(f"{a}{SKETCHED[0]}").bitwiseXOR(F.col(f"{b}{SKETCHED[0]}"))))
+    may = (F.col(f"{a}n") + F.col(f"{b}n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (F.col(f"{a}c") != F.col(f"{b}c")) & (F.col(f"{a}n") <= most(similarity, f"{b}n", f"{b}at")) & (F.col(f"{b}n") <= most(similarity, f"{a}n", f"{a}at")) & (differ <= may)
 
 
 def stars(found: DataFrame, salt: int, similarity: float) -> DataFrame:
     """(a, b), a < b: documents that may be similar, of each hash its holders with two of them."""
-    values = F.struct("doc_id", "n", "at", "c")
-    ends = found.groupBy("hash").agg(F.max(F.struct(most(similarity), values.alias("e"))).alias("widest"), F.min(F.struct(F.xxhash64("doc_id", F.lit(salt)), values.alias("e"))).alias("drawn"))
-    ends = ends.select("hash", F.explode(F.array_distinct(F.array("widest.e", "drawn.e"))).alias("e")).select("hash", *(F.col(f"e.{c}").alias(f"e_{c}") for c in ("doc_id", "n", "at", "c")))
-    return found.join(ends, "hash").where(fits(similarity, "", "e_")).select(F.least("doc_id", "e_doc_id").alias("a"), F.greatest("doc_id", "e_doc_id").alias("b")).distinct()
+    drawn = F.struct(F.xxhash64("doc_id", F.lit(salt)), F.struct(*PLACE, *SKETCHED).alias("e"))
+    ends = found.groupBy("hash").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"))
+    ends = ends.select("hash", F.explode(F.array_distinct(F.array("first.e", "last.e"))).alias("e")).select("hash", *(F.col(f"e.{c}").alias(f"e_{c}") for c in (*PLACE, *SKETCHED)))
+    joined = found.withColumnRenamed("hash", "h").join(ends, (F.col("h") == F.col("hash")) & fits(similarity, "", "e_"))
+    return joined.select(F.least("doc_id", "e_doc_id").alias("a"), F.greatest("doc_id", "e_doc_id").alias("b")).distinct()
 
 
 def all_pairs(found: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: all documents of two groups that can be similar. Most pairs of holders are turned down inside the join and never come out of it."""
-    a, b = (found.select("hash", *(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "at", "c"))) for x in "ab")
+    a, b = (found.select("hash", *(F.col(c).alias(f"{x}_{c}") for c in (*PLACE, *SKETCHED))) for x in "ab")
     joined = a.withColumnRenamed("hash", "h").join(b, (F.col("h") == F.col("hash")) & (F.col("a_doc_id") < F.col("b_doc_id")) & fits(similarity, "a_", "b_"))
     return joined.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
 
 
-def similar(rows: DataFrame, ids: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b) of `ids` whose texts are similar."""
-    spark = rows.sparkSession
-    # the bit table lets a few others through
-    pairs = durable(pairs.join(ids.select(F.col("doc_id").alias("a")), "a", "left_semi").join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi"))
-    table = spark.sparkContext.broadcast(sieve(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"))
+def fine_sketch(s: np.ndarray) -> bytes:
+    """As a sketch, of a number of bits that grows with the set: the power of 2 that two bits a shingle or more come to, 512 at least."""
+    m = 1 << max(9, (2 * len(s) - 1).bit_length() if len(s) else 0)
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_differ(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two fine sketches (bytes) differ; the longer one is folded to the other's length."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
 
-    def sets(batches):
+def _kept_pairs(rows: DataFrame, pairs: DataFrame, of, keeps) -> DataFrame:
+    """Those of `pairs` (a, b; read more than once) that `keeps` keeps, by the number of shingles of both and what `of` makes of each shingle set (bytes)."""
+    table = rows.sparkSession.sparkContext.broadcast(sieve(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"))
+
+    def made(batches):
         for batch in batches:
             batch = batch.filter(in_table(batch.column("doc_id"), table))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], ["id", "own"])
+            sets = list(shingle_sets(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([of(s) for s in sets], pa.binary())], ["id", "n", "own"])
 
-    held = over_batches(rows, sets, "id long, own binary")
-    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(held.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
+    held = over_batches(rows, made, "id long, n int, own binary")
+    a, b = (held.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
 
     def work(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "own_a", "own_b")), strict=True):
+                keep.append(keeps(n_a, n_b, np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return over_batches(joined.select("a", "b", "own_a", "own_b"), work, "a long, b long")
+    return over_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "own_a", "own_b"), work, "a long, b long")
+
+
+def similar(rows: DataFrame, ids: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) of `ids` whose texts are similar. Fine sketches, a small part of the sets, rule out most others; whole sets decide."""
+    # the bit table lets a few others through
+    pairs = durable(pairs.join(ids.select(F.col("doc_id").alias("a")), "a", "left_semi").join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi"))
+
+    def may(n_a, n_b, x, y) -> bool:
+        return sketches_differ(x, y) <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-6
+
+    def are(n_a, n_b, x, y) -> bool:
+        same = len(np.intersect1d(x.view(np.uint64), y.view(np.uint64), assume_unique=True))
+        return same >= similarity * (n_a + n_b - same) - 1e-9
+
+    left = durable(_kept_pairs(rows, pairs, fine_sketch, may))
+    return _kept_pairs(rows, left, lambda s: s.tobytes(), are)
 
 
 def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -172,14 +239,16 @@ def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> Da
     broadcast = docs.sparkSession.sparkContext.broadcast
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = broadcast(sieve(ids, "doc_id"))
-    found, edges = grouped(signs(rows, table, broadcast(common(rows, table)), similarity), None, similarity), None
+    found, edges = grouped(shared_signs(signs(rows, table, broadcast(common(rows, table)), similarity), rows), None, similarity), None
+    before, gain = 0, 1
     for salt in range(ROUNDS):
         held, pairs = load(found)
-        if pairs <= MANY * held:
+        if pairs <= MANY * held or gain < WORTH * before:
             break
         more = durable(similar(rows, ids, stars(found, salt, similarity), similarity))
+        before, gain = gain if salt else 0, more.count()
         edges = more if edges is None else edges.unionByName(more)
-        found = grouped(found.drop("c"), edges, similarity)
+        found = grouped(found, edges, similarity)
     last = similar(rows, ids, all_pairs(found, similarity), similarity)
     return last if edges is None else edges.unionByName(last)
 

@@ -264,10 +264,15 @@ def sieve(ids: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def bits_of(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each id is in the bit table."""
+    bit = _bit(ids, (64 * len(table) - 1).bit_length())
+    return ((table[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def in_table(ids, table) -> pa.Array:
-    """Whether each id is in the bit table; null ids are not."""
-    bit = _bit(pa.compute.cast(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), (64 * len(table.value) - 1).bit_length())
-    hit = ((table.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    """Whether each id is in the bit table (a broadcast); null ids are not."""
+    hit = bits_of(pa.compute.cast(ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), table.value)
     return pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False))
 
 

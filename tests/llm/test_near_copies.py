@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from cases import clashing, documents, odd_rows, sentence
@@ -90,6 +91,15 @@ def test_similar_sets_meet_in_their_prefixes():
             assert set(sorted(a)[: near_copies.prefix(len(a), 0.8)]) & set(sorted(b)[: near_copies.prefix(len(b), 0.8)])
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_do():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        both, one, other = (rng.integers(0, 2**63, int(rng.integers(0, k)), dtype=np.uint64) for k in (900, 300, 300))
+        a, b = np.unique(np.concatenate([both, one])), np.unique(np.concatenate([both, other]))
+        x, y = (np.frombuffer(near_copies.fine_sketch(s), np.uint8) for s in (a, b))
+        assert near_copies.sketches_differ(x, y) <= len(np.setxor1d(a, b)) and near_copies.sketches_differ(x, x) == 0
+
+
 def test_sets_of_short_texts():
     sets = [s.tolist() for s in near_copies.shingle_sets(pa.array(["", None, "one two", "One, two!", "two one", "a b c d e", "a b c d e f"]))]
     assert sets[0] == sets[1] == [] and sets[2] == sets[3] != sets[4] and len(sets[5]) == 1 and len(sets[6]) == 2
