@@ -18,6 +18,7 @@ from ..sources.cut import cut_lineage
 from ..index.index import Index
 from ..operators import bm25, chunks, explain, postings, views
 from ..sources import files
+from ..sources.hadoop import Files
 from ..sources.local import local_rows
 from .routing import route_update
 
@@ -170,7 +171,7 @@ ONE = "q AS (SELECT DISTINCT 0 AS qid, unnest(" + tokens_sql(f"'{QUERY}'") + ")
 
 
 def scored_sql(queries: str = ONE, k1: float = postings.K1, b: float = postings.B) -> str:
-    return f"{queries}, sc AS (SELECT qid, doc, sum({weight_sql(k1, b)}) AS score FROM q JOIN post USING (term) JOIN lex USING (term), st GROUP BY qid, doc)"
+    return f"{queries}, sc AS (SELECT qid, doc, sum(round({weight_sql(k1, b)} * {bm25.SCALE}::DOUBLE)::HUGEINT)::DOUBLE / {bm25.SCALE}::DOUBLE AS score FROM q JOIN post USING (term) JOIN lex USING (term), st GROUP BY qid, doc)"
 
 
 def best_sql(qid: str = "", tie: str = "doc", more: str = "") -> str:
@@ -707,3 +708,217 @@ def view_join_unmatched(spark, d):
     saved = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("docid"), F.col("embedding").alias("vec"))
     rows, unmatched = views.by_docid(saved, docs_of(spark, d).select(F.col("doc_id").cast("string").alias("docid"), "row"))
     return rows.agg(F.count("*").alias("matched")).crossJoin(unmatched.agg(F.count("*").alias("unmatched")))
+
+
+# indexes of directories
+
+
+def written(spark, docs: DataFrame, folder: str) -> None:
+    """Texts as files of 50 documents each, with a blank line between two."""
+    docs.select(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("value")).write.option("maxRecordsPerFile", 50).text(folder)
+
+
+def chunk_scores(index: Index) -> DataFrame:
+    """(text, score) of every chunk with a word of the query."""
+    return index.scores([QUERY]).join(index.all_chunks(), "row").select("text", rounded("score").alias("score"))
+
+
+def _chunked(where: str = "TRUE") -> str:
+    """Prose chunks of documents, as a corpus."""
+    return f"SELECT doc_id * 100000 + seq AS doc_id, text FROM ({ORACLES['chunk_prose'].replace('FROM documents WHERE', f'FROM (SELECT * FROM documents WHERE {where}) WHERE')})"
+
+
+def _chunk_scores_sql(where: str = "TRUE") -> str:
+    return f"WITH {index_sql(_chunked(where))}, {scored_sql()} SELECT text, round(score, 6) AS score FROM sc JOIN corpus ON doc = doc_id"
+
+
+@query(_chunk_scores_sql())
+def directory_scores(spark, d):
+    """Files are listed and read through Hadoop, cut into paragraphs and indexed."""
+    place = Files(spark).qualified(folder(spark))
+    written(spark, docs_of(spark, d), f"{place}/root")
+    return chunk_scores(Index.build(spark, f"{place}/root", f"{place}/index"))
+
+
+@query(_chunk_scores_sql(f"{PART} <> 1"))
+def updated_directory_scores(spark, d):
+    """Two folders of files come, the first goes again: each update takes the route that the counts ask for, and the scores are those of a fresh index."""
+    place, docs = Files(spark).qualified(folder(spark)), docs_of(spark, d)
+    root = f"{place}/root"
+    written(spark, docs.where(is_base()), f"{root}/base")
+    index = Index.build(spark, root, f"{place}/index")
+    for lang in (FIRST, SECOND):
+        written(spark, docs.where(F.col("lang") == lang), f"{root}/{lang}")
+        index.update()
+    Files(spark).delete(f"{root}/{FIRST}")
+    index.update()
+    return chunk_scores(Index(spark, f"{place}/index"))
+
+
+# what an index keeps
+
+
+_FILE_ORDER = {"tie": "source NULLS FIRST, doc", "more": "JOIN (SELECT doc_id AS doc, source FROM documents) USING (doc)"}
+
+
+@query(f"WITH {index_sql(MARKED, ALIVE)}, {scored_sql()} {best_sql(**_FILE_ORDER)}")
+def saved_copy_topk(spark, d):
+    marked = labelled(spark, d)
+    index = index_of(spark, marked)
+    gone = as_texts(marked.where("toxic = 1")).select("docid")
+    index.delete(index.chunks().join(gone, "docid", "left_semi").select("row"))
+    copy = index.save(f"{index.store.path}-copy", w_cache=True)
+    return index_ranked(Index(spark, copy["path"]))
+
+
+@query(f"WITH {index_sql()}, {scored_sql()} {best_sql(**_FILE_ORDER)}")
+def stored_weights_topk(spark, d):
+    """Weights that one session stores and the next one finds."""
+    index = index_of(spark, docs_of(spark, d))
+    index.config(w_cache=True)
+    index.weights()
+    again = Index(spark, index.store.path)
+    again.config(materialised=True)
+    best = index_ranked(again)
+    if again._weights != index._weights:
+        raise RuntimeError("the stored weights were not found")
+    return best
+
+
+def _quarters(index: Index, docs: DataFrame, **settings) -> Index:
+    """The index with the documents of the first segment's language appended in four commits."""
+    index.config(**settings)
+    for i in range(4):
+        index.append(as_texts(docs.where((F.col("lang") == FIRST) & (F.col("doc_id") % 4 == i))))
+    return Index(spark=index.spark, path=index.store.path)
+
+
+_APPENDED = f"WITH {index_sql(f'SELECT * FROM documents WHERE {PART} < 2', vocabulary=_BASE_DOCS)}, {scored_sql()} {best_sql(tie='part, CASE part WHEN 1 THEN doc % 4 END, source NULLS FIRST, doc', more=ROWS_OF)}"
+
+
+@query(_APPENDED)
+def compaction_tiers_topk(spark, d):
+    """Four deltas, merged into one each time two are there; the base is never rewritten."""
+    docs = docs_of(spark, d)
+    index = index_of(spark, docs.where(is_base()))
+    base = index.state.parts[0]
+    again = _quarters(index, docs, compact_commits=2, compact_ratio=10.0)
+    if again.state.parts[0] != base or len(again.state.parts) != 2:
+        raise RuntimeError("the deltas were not merged beside the base")
+    return index_ranked(again)
+
+
+@query(_APPENDED)
+def snapshot_mode_topk(spark, d):
+    docs = docs_of(spark, d)
+    return index_ranked(_quarters(index_of(spark, docs.where(is_base())), docs, persist="snapshot"))
+
+
+@query(f"WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS row FROM documents) SELECT row, doc_id FROM o WHERE row BETWEEN {PAGE * PAGE_ROWS} AND {(PAGE + 1) * PAGE_ROWS - 1}")
+def row_range(spark, d):
+    return index_of(spark, docs_of(spark, d)).rows(PAGE * PAGE_ROWS, PAGE_ROWS).select("row", F.col("docid").cast("long").alias("doc_id"))
+
+
+@query(f"WITH {index_sql()}, {scored_sql()} {best_sql(**_FILE_ORDER)}")
+def hits_without_text(spark, d):
+    hits = index_of(spark, docs_of(spark, d)).search(QUERY, K, with_text=False)
+    return local_rows(spark, [(int(h["docid"]), h["rank"], round(h["score"], DIGITS)) for h in hits], "doc_id long, rank long, score double")
+
+
+@query(f"""WITH {index_sql()}, {scored_sql(_ASKED)}, best AS (SELECT doc AS doc_id FROM sc JOIN documents ON doc = doc_id WHERE contains(source, '{BROWSED}') AND score > 0 ORDER BY score DESC, source, doc LIMIT 1)
+SELECT q.term AS term, q_count, CASE WHEN df IS NULL THEN 'oov' WHEN tf IS NULL THEN 'no_tf' ELSE 'ok' END AS status, coalesce(tf, 0) AS tf, coalesce(df, 0) AS df, round(coalesce({weight_sql()}, 0), 6) AS contribution
+FROM best CROSS JOIN q LEFT JOIN lex USING (term) LEFT JOIN post ON post.doc = doc_id AND post.term = q.term, st""")
+def explain_by_file(spark, d):
+    rows = index_of(spark, docs_of(spark, d)).explain(QUERY, docid=BROWSED, top=100)
+    return local_rows(spark, [(r["term"], r["q_count"], r["status"], r["tf"], r["df"], round(r["contribution"], DIGITS)) for r in rows], "term string, q_count long, status string, tf long, df long, contribution double")
+
+
+@query(f"SELECT 'before' AS reader, count(*) FILTER ({PART} = 0) AS n_live FROM documents UNION ALL SELECT 'after', count(*) FROM documents WHERE {PART} < 2")
+def snapshot_isolation(spark, d):
+    """A reader sees the commit that it has opened, whatever is written meanwhile."""
+    docs = docs_of(spark, d)
+    index = index_of(spark, docs.where(is_base()))
+    before = Index(spark, index.store.path)
+    index.append(as_texts(docs.where(F.col("lang") == FIRST)))
+    return local_rows(spark, [(n, x.chunks().count()) for n, x in (("before", before), ("after", Index(spark, index.store.path)))], "reader string, n_live long")
+
+
+@query(f"""SELECT tag, status, generation FROM (VALUES ('{FIRST}', 'folded', NULL::BIGINT), ('{SECOND}', 'mounted', 7)) v(tag, status, generation)""")
+def remount_report(spark, d):
+    """Segments after a reopening: folded ones and mounted ones, with the caller's generation."""
+    docs = docs_of(spark, d)
+    index = index_of(spark, docs.where(is_base()))
+    index.fold(index.publish(as_texts(docs.where(F.col("lang") == FIRST)), tag=FIRST)["tag"])
+    index.publish(as_texts(docs.where(F.col("lang") == SECOND)), tag=SECOND, generation=7)
+    again = Index(spark, index.store.path)
+    known = {s["tag"]: s["generation"] for s in again.segments()}
+    return local_rows(spark, [(r["tag"], r["status"], known.get(r["tag"])) for r in again.remount()], "tag string, status string, generation long")
+
+
+@query("SELECT unnest(['append', 'repeated tag', 'save', 'stale reader', 'unknown tag', 'weights']) AS what, TRUE AS refused")
+def publish_guards(spark, d):
+    """What is refused while a segment is mounted, and to a writer that the log has left behind."""
+    docs = docs_of(spark, d)
+    index = index_of(spark, docs.where(is_base()))
+    late = Index(spark, index.store.path)
+    some = as_texts(docs.where(F.col("lang") == FIRST))
+    index.publish(some, tag=FIRST)
+    tries = {"append": lambda: index.append(some), "repeated tag": lambda: index.publish(some, tag=FIRST), "save": index.save, "stale reader": lambda: late.publish(some), "unknown tag": lambda: index.unmount(SECOND), "weights": index.weights}
+
+    def refused(act) -> bool:
+        try:
+            act()
+        except (RuntimeError, ValueError, KeyError):
+            return True
+        return False
+
+    return local_rows(spark, [(n, refused(act)) for n, act in sorted(tries.items())], "what string, refused boolean")
+
+
+@query("SELECT doc_id, doc_id IN (SELECT vec_id FROM embeddings) AS covered FROM documents")
+def saved_view_mask(spark, d):
+    """Which chunks a view covers, after it was saved by docid and attached in another session."""
+    docs = docs_of(spark, d)
+    index = index_of(spark, docs)
+    vectors = table(spark, d, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 18, "0").alias("docid"), F.col("embedding").alias("vec"))
+    index.attach_view("v", views.by_docid(vectors, index.chunks())[0])
+    index.save_view("v")
+    index.detach_view("v")
+    again = Index(spark, index.store.path)
+    again.load_views()
+    return cut_lineage(again.covered("v").join(again.all_chunks().select("row", "docid"), "row").select(F.col("docid").cast("long").alias("doc_id"), "covered"))
+
+
+@query("WITH v AS (SELECT doc_id, [length(text), length(text) - length(replace(text, 'e', ''))]::DOUBLE[] AS v FROM documents) SELECT doc_id, round(list_dot_product(v, [1, 1]::DOUBLE[]) / (greatest(sqrt(list_dot_product(v, v)), 1e-12) * sqrt(2)), 6) AS cos FROM v")
+def encoded_view_cosine(spark, d):
+    """A view from an encoder of texts."""
+    index = index_of(spark, docs_of(spark, d))
+    index.encode_view("v", lambda texts: [[len(t), t.count("e")] for t in texts])
+    found = views.cosine(index._views["v"]["view"], [1.0, 1.0]).join(index.all_chunks().select("row", "docid"), "row")
+    return cut_lineage(found.select(F.col("docid").cast("long").alias("doc_id"), rounded("cos").alias("cos")))
+
+
+# doors for Python, routing of chunks
+
+
+@query("SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY term")
+def custom_tokenizer_df(spark, d):
+    import re
+
+    words = texts.custom_tokens(lambda t: re.findall("[a-z]+", t.lower()))
+    return postings.lexicon(postings.postings(docs_of(spark, d), tokenize=words))
+
+
+@query(f"SELECT * FROM ({ORACLES['chunk_code']}) WHERE doc_id % 2 = 1 UNION ALL SELECT * FROM ({ORACLES['chunk_prose']}) WHERE doc_id % 2 = 0")
+def routed_chunks(spark, d):
+    named = docs_of(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 1, ".py").otherwise(".md")).alias("file"), "text")
+    return chunks.chunk_files(named).select(F.substring_index("file", ".", 1).cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), F.col("line").cast("long").alias("line"), "text")
+
+
+@query("SELECT 1::BIGINT AS calls, 1::BIGINT AS ways, TRUE AS counted")
+def selection_paths(spark, d):
+    """The counters of one approximate selection: one call, one way."""
+    bm25.topk_stats(reset=True)
+    bm25.approximate_top_k(cut_lineage(one_scored(spark, d).select("row", "score")), K)
+    got = bm25.topk_stats(reset=True)
+    return local_rows(spark, [(got["calls"], got["approx"] + got["exact"] + got["fallback"], got["exact"] == 1 or got["cand"] > 0)], "calls long, ways long, counted boolean")

@@ -21,6 +21,10 @@ class Files:
     def fs(self, path: str):
         return self.Path(path).getFileSystem(self.conf)
 
+    def qualified(self, path: str) -> str:
+        """The path with its file system's scheme."""
+        return self.fs(path).makeQualified(self.Path(path)).toString()
+
     def exists(self, path: str) -> bool:
         return self.fs(path).exists(self.Path(path))
 

@@ -14,6 +14,9 @@ def run(spark, capsys, *argv):
 def test_verbs(spark, tmp_path, capsys, monkeypatch):
     import io
 
+    (tmp_path / "tests_encoder.py").write_text("def lengths(texts):\n    return [[len(t), 1.0] for t in texts]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "tests_encoder.py"))
     root, out = tmp_path / "root", str(tmp_path / "ix")
     root.mkdir()
     (root / "a.txt").write_text("the quick brown fox jumps over the lazy dog\n")
@@ -41,4 +44,11 @@ def test_verbs(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr("sys.stdin", io.StringIO("fox\n\nturtle\n"))
     assert "b.txt:1" in run(spark, capsys, "repl", *at)[1]
     assert run(spark, capsys, "query", "fox", "--out", str(tmp_path / "none"))[0] == 1
+    second = ("--out", str(tmp_path / "dense"))
+    log = tmp_path / "log.txt"
+    code, text, shown = run(spark, capsys, "--log", str(log), "index", str(root), *second, "--dense", "--model", "tests_encoder:lengths", "--w-cache", "--workers", "2", "--stream", "ids")
+    assert code == 0 and "rows at" in shown and "rows at" in log.read_text()
+    assert "a.txt" in run(spark, capsys, "query", "fox", *second, "--dense", "--model", "tests_encoder:lengths")[1]
+    assert run(spark, capsys, "query", "fox", *second, "--dense")[0] == 1
+    assert (tmp_path / "dense" / "views" / "dense").is_dir() and '"weights"' in "".join(p.read_text() for p in (tmp_path / "dense" / "_log").glob("*.json"))
     assert run(spark, capsys, "segment", "unmount", "--tag", "none", *at)[0] == 1

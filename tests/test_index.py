@@ -229,6 +229,100 @@ def test_compaction_after_many_commits(spark, tmp_path):
     assert found(open_index(spark, str(tmp_path))) == plain(TEXTS + ["cat dog"] * 3)
 
 
+def kinds(path):
+    return [(c["kind"], c.get("tier")) for c in (json.loads(p.read_text()) for p in sorted((path / "_log").glob("*.json")))]
+
+
+def test_tiers_of_compaction(spark, tmp_path):
+    """Deltas are merged beside the base; once they hold a share of its postings, all is rewritten."""
+    index = create(spark, tmp_path / "a")
+    index.config(compact_commits=2, compact_ratio=100.0)
+    base = index.state.parts[0]
+    for i in range(4):
+        index.append(rows(spark, ["cat dog"], 8 + i), local_rows(spark, [(i,)], "row long"))
+    assert kinds(tmp_path / "a").count(("compact", 1)) >= 2 and index.state.parts[0] == base and len(index.state.parts) <= 3 and len(index.state.dead) <= 2
+    again = open_index(spark, str(tmp_path / "a"))
+    assert found(again) == plain(TEXTS + ["cat dog"] * 4, dead={0, 1, 2, 3}, vocabulary={t for x in TEXTS for t in x.split()}) and again.reconcile().count() == 0
+    index = create(spark, tmp_path / "b")
+    index.config(compact_ratio=0.3)
+    for i in range(2):
+        index.append(rows(spark, ["the cat sat on the mat and the dog chased birds in the morning"], 8 + i))
+    assert ("compact", 2) in kinds(tmp_path / "b") and ("compact", 1) not in kinds(tmp_path / "b") and index.reconcile().count() == 0
+
+
+def test_compact_without_a_rewrite(spark, tmp_path):
+    index = create(spark, tmp_path, TEXTS[:4])
+    index.publish(rows(spark, TEXTS[4:], 4), tag="one", generation=3)
+    assert index.segments()[0]["generation"] == 3
+    log = index.history()
+    assert index.compact(persist=False)["folded"] == ["one"] and index.history() == log and index.segments() == [] and found(index) == plain(TEXTS)
+    again = open_index(spark, str(tmp_path))
+    assert [s["tag"] for s in again.segments()] == ["one"]
+    parts = again.state.parts[:]
+    assert again.compact(persist="delta")["folded"] == ["one"] and again.state.parts[: len(parts)] == parts and len(again.state.parts) == 2
+    with pytest.raises(ValueError):
+        again.compact(persist="x")
+
+
+def test_appends_and_searches_read_no_old_postings(spark, tmp_path):
+    """Everything but the postings of the query's terms comes from lexicons and commits: with the postings' folder gone an append and a publish still work."""
+    index = create(spark, tmp_path)
+    base = index.state.parts[0].removeprefix("file:")
+    shutil.move(f"{base}/postings", f"{base}/away")
+    index.append(rows(spark, ["cat unheard"], 8), local_rows(spark, [(0,)], "row long"))
+    assert index.publish(rows(spark, ["more unheard words"], 9), tag="s")["new_terms"] == 3
+    assert index.numbers().n_live == 9 and {r["term"]: r["df"] for r in index.lexicon(["cat", "mat", "unheard"]).collect()} == {"cat": 3, "mat": 0, "unheard": 1}
+    shutil.move(f"{base}/away", f"{base}/postings")
+    assert index.reconcile().count() == 0
+    lexicon = index.lexicon(["cat"])
+    assert all("/lexicon" in f for f in lexicon.inputFiles()) and "EqualTo(term,cat)" in lexicon._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tombstones_of_a_word_that_was_unknown(spark, tmp_path):
+    """A word without a posting when its row came, known later: deleting the row takes nothing from the word's df."""
+    index = create(spark, tmp_path, TEXTS[:4])
+    index.append(rows(spark, ["cat zebra"], 4))
+    index.fold(index.publish(rows(spark, ["zebra zebra"], 5))["tag"])
+    assert {r["term"]: r["df"] for r in index.lexicon(["zebra"]).collect()} == {"zebra": 1}
+    index.delete(local_rows(spark, [(4,)], "row long"))
+    assert {r["term"]: r["df"] for r in index.lexicon(["zebra"]).collect()} == {"zebra": 1} and index.reconcile().count() == 0
+
+
+def test_unmount_takes_its_tombstones_along(spark, tmp_path):
+    index = create(spark, tmp_path, TEXTS[:4])
+    before = exact(index)
+    index.publish(rows(spark, TEXTS[4:6], 4), tag="a")
+    index.delete(local_rows(spark, [(4,)], "row long"))
+    index.unmount("a")
+    assert exact(index) == before
+    index.publish(rows(spark, TEXTS[4:], 4), tag="b")
+    assert found(index) == plain(TEXTS) and index.reconcile().count() == 0
+
+
+def test_stored_weights_and_upsert_rows(spark, tmp_path):
+    index = create(spark, tmp_path)
+    assert index.save(w_cache=True)["w_cache"]
+    again = open_index(spark, str(tmp_path))
+    folders = set(os.listdir(tmp_path / "data"))
+    again.config(materialised=True)
+    assert exact(again) == exact(index) and set(os.listdir(tmp_path / "data")) == folders
+    assert again.upsert(local_rows(spark, [(0,)], "row long"), rows(spark, ["cat", "dog"], 8)) == range(8, 10)
+    assert found(again) == plain(TEXTS + ["cat", "dog"], dead={0}) and set(os.listdir(tmp_path / "data")) > folders
+    assert [r["row"] for r in again.rows(0, 3).orderBy("row").collect()] == [1, 2]
+    copy = again.save(str(tmp_path / "copy"), w_cache=True)
+    assert copy["scope"] == "copy" and open_index(spark, copy["path"]).state.weights is not None
+
+
+def test_a_chunk_without_postings_is_unavailable(spark, tmp_path):
+    index = create(spark, tmp_path, TEXTS[:4])
+    folder = index.publish(local_rows(spark, [("d9", "lost.txt", 1, "the cat ran")], CHUNK), tag="gone")["dir"].removeprefix("file:")
+    shutil.rmtree(f"{folder}/postings")
+    again = open_index(spark, str(tmp_path))
+    assert {r["term"]: (r["status"], r["tf"]) for r in again.explain("cat zzz", docid="lost")} == {"cat": ("unavailable", None), "zzz": ("oov", 0)}
+    with pytest.raises(KeyError):
+        again.explain("cat", docid="none")
+
+
 def test_weights(spark, tmp_path):
     index = create(spark, tmp_path)
     before = exact(index)
@@ -363,6 +457,30 @@ def test_directory_updates(spark, corpus, tmp_path):
     assert again.rebuild()["kind"] == "rebuild" and same_as_rebuilt(spark, again, corpus, tmp_path)
 
 
+def test_directories_by_a_path_of_hadoop(spark, corpus, tmp_path):
+    (corpus / "_under").mkdir()
+    (corpus / "_under" / "x.txt").write_text("elder fig apple grape " * 3)
+    (corpus / ".dot.txt").write_text("honey fig apple grape " * 3)
+    (corpus / "__init__.py").write_text("banana = 'cherry banana apple'\n" * 3)
+    (corpus / "node_modules").mkdir()
+    (corpus / "node_modules" / "y.txt").write_text("never read at all, never " * 3)
+    (corpus / "sub" / "bad.txt").write_bytes(b"caf\xff apple fig banana cherry date")
+    index = Index.build(spark, corpus.as_uri(), str(tmp_path / "ix"))
+    assert index.files() == [".dot.txt", "__init__.py", "_under/x.txt", "one.txt", "sub/bad.txt", "sub/three.md", "two.txt"] and same_as_rebuilt(spark, index, corpus, tmp_path)
+    assert index.update()["kind"] == "noop"
+    (corpus / "two.txt").write_text("apple cherry newterm " * 3)
+    assert index.update(verify="full")["kind"] == "staged" and same_as_rebuilt(spark, index, corpus, tmp_path)
+    with pytest.raises(FileNotFoundError):
+        Index.build(spark, (corpus / "none").as_uri(), str(tmp_path / "iy"))
+
+
+def test_large_batches_are_rebuilt_if_asked(spark, corpus, tmp_path):
+    index = Index.build(spark, str(corpus), str(tmp_path / "ix"))
+    (corpus / "four.txt").write_text("many words that nobody knew before now " * 3)
+    index.config(rebuild_batch_nnz=3)
+    assert index.update()["code"] == "rebuild_batch_too_big" and same_as_rebuilt(spark, index, corpus, tmp_path)
+
+
 def test_files_too_short_to_index(spark, corpus, tmp_path):
     (corpus / "short.txt").write_text("too short")
     index = Index.build(spark, str(corpus), str(tmp_path / "ix"))

@@ -133,3 +133,21 @@ def test_scan(spark, tree):
         files.list_files(tree + "/none")
     with pytest.raises(ValueError):
         files.scan(spark, tree, verify="some")
+
+
+def test_spans_and_snippets_strip_all_white_space(spark):
+    df = spark.createDataFrame([("xx foo bar. foo", "\tfoo bar\n"), ("\t\u3000 line\r\nend\x0b ", "\u00a0end\u2003")], "t string, q string")
+    out = df.select(tx.hit_span("t", "q").alias("s"), tx.snippet("t").alias("n")).collect()
+    assert [(r["s"]["start"], r["s"]["end"]) for r in out] == [(3, 10), (9, 12)] and out[1]["n"] == "line  end"
+
+
+def test_sql_of_spans_counts_overlapping_words():
+    """The SQL that the driver compares with, on a word that overlaps itself."""
+    import duckdb
+
+    from lexispark.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'ntou thathati é heron'), (2, 'none')) v(doc_id, text)")
+    assert sorted(con.execute(catalogue.ORACLES["hit_ranges"]).fetchall()) == [(1, 5, 9, "that"), (1, 8, 12, "that"), (1, 16, 21, "heron")]
+    assert sorted(con.execute(catalogue.ORACLES["hit_span"]).fetchall()) == [(1, 5, 21), (2, None, None)]
