@@ -30,6 +30,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers that a task should have at least.
+ROWS_A_TASK = 25_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """`df` of about so many short rows in no more tasks than that is worth: many tiny tasks and files cost more than their rows, also where the session does not merge them. Large tables stay as they are."""
+    tasks = max(1, rows // ROWS_A_TASK)
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 #: What this Python worker keeps for later tasks of one operator: a name and an object.
 _kept: dict[str, object] = {}
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, over_batches
+from .common import durable, few, over_batches
 from .simhash_dedup import components
 from .substring_dedup import bits_of, in_table, sieve
 from .words import Words, chunked, layout, mix, ngrams
@@ -134,20 +134,22 @@ def shared_signs(found: DataFrame, rows: DataFrame) -> DataFrame:
     """`found` (hash, doc_id, n, at) as far as several documents hold the hash, with the group c (the document itself) and the sketch of each."""
     dealt = found.repartition("hash")  # once, for both the count of holders and their rows
     held = durable(dealt.join(dealt.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash"), "hash", "left_semi"))
-    table = rows.sparkSession.sparkContext.broadcast(sieve(held.select("doc_id").distinct(), "doc_id"))
-    return held.join(sketches(rows, table), "doc_id").withColumn("c", F.col("doc_id")).select("hash", *PLACE, *SKETCHED)
+    table = rows.sparkSession.sparkContext.broadcast(sieve(held, "doc_id"))
+    return few(held, held.count()).join(sketches(rows, table), "doc_id").withColumn("c", F.col("doc_id")).select("hash", *PLACE, *SKETCHED)
 
 
-def grouped(found: DataFrame, edges: DataFrame | None, similarity: float) -> DataFrame:
-    """`found` with the group of each document in column c, as far as a holder of another group may be similar."""
+def grouped(found: DataFrame, edges: DataFrame | None, similarity: float, rows: int) -> DataFrame:
+    """`found` (of about `rows` rows) with the group of each document in column c, as far as a holder of another group may be similar."""
     if edges is not None:
         known = components(edges).select(F.col("node").alias("doc_id"), "root")
         found = found.drop("c").join(known, "doc_id", "left").withColumn("c", F.coalesce("root", "doc_id"))
+    found = few(found, rows)
     # of each hash the two groups with the largest `most`
-    by_group = found.groupBy("hash", "c").agg(F.max(most(similarity)).alias("m"))
+    by_group = few(found.groupBy("hash", "c").agg(F.max(most(similarity)).alias("m")), rows)
     best = by_group.withColumn("k", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("m"), "c"))).where("k <= 2")
     best = best.groupBy("hash").agg(F.max(F.when(F.col("k") == 1, F.col("c"))).alias("own"), F.max(F.when(F.col("k") == 1, F.col("m"))).alias("first"), F.max(F.when(F.col("k") == 2, F.col("m"))).alias("second")).where("second is not null")
-    return durable(found.join(best, "hash").where(F.when(F.col("c") == F.col("own"), F.col("second")).otherwise(F.col("first")) >= F.col("n")).select("hash", *PLACE, *SKETCHED))
+    best = few(best, rows)
+    return durable(few(found.join(best, "hash").where(F.when(F.col("c") == F.col("own"), F.col("second")).otherwise(F.col("first")) >= F.col("n")).select("hash", *PLACE, *SKETCHED), rows))
 
 
 def load(found: DataFrame) -> tuple[int, int]:
@@ -164,20 +166,21 @@ def fits(similarity: float, a: str, b: str) -> F.Column:
     return (F.col(f"{a}c") != F.col(f"{b}c")) & (F.col(f"{a}n") <= most(similarity, f"{b}n", f"{b}at")) & (F.col(f"{b}n") <= most(similarity, f"{a}n", f"{a}at")) & (differ <= may)
 
 
-def stars(found: DataFrame, salt: int, similarity: float) -> DataFrame:
-    """(a, b), a < b: documents that may be similar, of each hash its holders with two of them."""
+def stars(found: DataFrame, salt: int, similarity: float, rows: int) -> DataFrame:
+    """(a, b), a < b: documents that may be similar, of each hash its holders with two of them. `rows`: how many `found` has."""
     drawn = F.struct(F.xxhash64("doc_id", F.lit(salt)), F.struct(*PLACE, *SKETCHED).alias("e"))
+    found = few(found, rows)
     ends = found.groupBy("hash").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"))
     ends = ends.select("hash", F.explode(F.array_distinct(F.array("first.e", "last.e"))).alias("e")).select("hash", *(F.col(f"e.{c}").alias(f"e_{c}") for c in (*PLACE, *SKETCHED)))
     joined = found.withColumnRenamed("hash", "h").join(ends, (F.col("h") == F.col("hash")) & fits(similarity, "", "e_"))
-    return joined.select(F.least("doc_id", "e_doc_id").alias("a"), F.greatest("doc_id", "e_doc_id").alias("b")).distinct()
+    return few(joined.select(F.least("doc_id", "e_doc_id").alias("a"), F.greatest("doc_id", "e_doc_id").alias("b")), rows).distinct()
 
 
-def all_pairs(found: DataFrame, similarity: float) -> DataFrame:
+def all_pairs(found: DataFrame, similarity: float, rows: int) -> DataFrame:
     """(a, b), a < b: all documents of two groups that can be similar. Most pairs of holders are turned down inside the join and never come out of it."""
-    a, b = (found.select("hash", *(F.col(c).alias(f"{x}_{c}") for c in (*PLACE, *SKETCHED))) for x in "ab")
+    a, b = (few(found, rows).select("hash", *(F.col(c).alias(f"{x}_{c}") for c in (*PLACE, *SKETCHED))) for x in "ab")
     joined = a.withColumnRenamed("hash", "h").join(b, (F.col("h") == F.col("hash")) & (F.col("a_doc_id") < F.col("b_doc_id")) & fits(similarity, "a_", "b_"))
-    return joined.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
+    return few(joined.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")), rows).distinct()
 
 
 def fine_sketch(s: np.ndarray) -> bytes:
@@ -218,10 +221,12 @@ def _kept_pairs(rows: DataFrame, pairs: DataFrame, of, keeps) -> DataFrame:
     return over_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "own_a", "own_b"), work, "a long, b long")
 
 
-def similar(rows: DataFrame, ids: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b) of `ids` whose texts are similar. Fine sketches, a small part of the sets, rule out most others; whole sets decide."""
+def similar(rows: DataFrame, ids: DataFrame, pairs: DataFrame, similarity: float, count: int) -> DataFrame:
+    """Those of `pairs` (a, b; about `count`) of `ids` whose texts are similar. Fine sketches, a small part of the sets, rule out most others; whole sets decide."""
+    pairs = durable(few(pairs, count))
     # the bit table lets a few others through
-    pairs = durable(pairs.join(ids.select(F.col("doc_id").alias("a")), "a", "left_semi").join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi"))
+    asked = few(pairs.join(ids.select(F.col("doc_id").alias("a")), "a", "left_semi"), count)
+    pairs = durable(few(asked.join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi"), count))
 
     def may(n_a, n_b, x, y) -> bool:
         return sketches_differ(x, y) <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-6
@@ -230,8 +235,8 @@ def similar(rows: DataFrame, ids: DataFrame, pairs: DataFrame, similarity: float
         same = len(np.intersect1d(x.view(np.uint64), y.view(np.uint64), assume_unique=True))
         return same >= similarity * (n_a + n_b - same) - 1e-9
 
-    left = durable(_kept_pairs(rows, pairs, fine_sketch, may))
-    return _kept_pairs(rows, left, lambda s: s.tobytes(), are)
+    left = durable(few(_kept_pairs(rows, pairs, fine_sketch, may), count))
+    return few(_kept_pairs(rows, left, lambda s: s.tobytes(), are), count)
 
 
 def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -239,17 +244,18 @@ def links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> Da
     broadcast = docs.sparkSession.sparkContext.broadcast
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = broadcast(sieve(ids, "doc_id"))
-    found, edges = grouped(shared_signs(signs(rows, table, broadcast(common(rows, table)), similarity), rows), None, similarity), None
+    placed = durable(shared_signs(signs(rows, table, broadcast(common(rows, table)), similarity), rows))
+    found, edges = grouped(placed, None, similarity, placed.count()), None
     before, gain = 0, 1
-    for salt in range(ROUNDS):
+    for salt in range(ROUNDS + 1):
         held, pairs = load(found)
-        if pairs <= MANY * held or gain < WORTH * before:
+        if salt == ROUNDS or pairs <= MANY * held or gain < WORTH * before:
             break
-        more = durable(similar(rows, ids, stars(found, salt, similarity), similarity))
+        more = durable(similar(rows, ids, stars(found, salt, similarity, held), similarity, held))
         before, gain = gain if salt else 0, more.count()
         edges = more if edges is None else edges.unionByName(more)
-        found = grouped(found, edges, similarity)
-    last = similar(rows, ids, all_pairs(found, similarity), similarity)
+        found = grouped(found, edges, similarity, held)
+    last = similar(rows, ids, all_pairs(found, similarity, held), similarity, held)
     return last if edges is None else edges.unionByName(last)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, durable, named_back, over_batches
+from .common import aside, durable, few, named_back, over_batches
 
 SHINGLE, RADIUS, BITS = 3, 2, 64
 #: A fingerprint is met by broadcast if more rows have it than HOT_ROWS and than one of HOT_KEYS equal parts of all rows.
@@ -141,20 +141,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps until no edge changes; a node's neighbours are never gathered, only their minimum.
     """
     edges = durable(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    rows = edges.count()
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
+        both = few(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * rows)
+        least = few(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m")), rows)
         # large-star: each larger neighbour of n meets the smallest of n's neighbourhood
-        large = both.join(least, F.col("a") == F.col("n")).where("b > n").select(F.col("b").alias("n"), "m").where("n <> m").distinct()
+        large = few(few(both.join(least, F.col("a") == F.col("n")).where("b > n").select(F.col("b").alias("n"), "m").where("n <> m"), rows).distinct(), rows)
         # small-star: n and its smaller neighbours meet the smallest of them
-        low = large.groupBy("n").agg(F.min("m").alias("low"))
-        small = large.join(low, "n").select(F.when(F.col("m") == F.col("low"), F.col("n")).otherwise(F.col("m")).alias("b"), F.col("low").alias("a")).where("a <> b").distinct()
-        edges = durable(small)
+        low = few(large.groupBy("n").agg(F.min("m").alias("low")), rows)
+        small = few(large.join(low, "n").select(F.when(F.col("m") == F.col("low"), F.col("n")).otherwise(F.col("m")).alias("b"), F.col("low").alias("a")).where("a <> b"), rows).distinct()
+        edges = durable(few(small, rows))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 

@@ -249,8 +249,8 @@ def _bit(ids: np.ndarray, power: int) -> np.ndarray:
 
 
 def sieve(ids: DataFrame, column: str) -> np.ndarray:
-    """Bit table of the ids, of about 16 places an id, from 2**16 to 2**SIEVE of them: at most 2**SIEVE / 64 rows come to the driver. Beyond that it fills and lets more others through."""
-    ids = durable(ids.select(column))
+    """Bit table of the ids (read twice), of about 16 places an id, from 2**16 to 2**SIEVE of them: at most 2**SIEVE / 64 rows come to the driver. Beyond that it fills and lets more others through."""
+    ids = ids.select(column)
     power = min(SIEVE, max(16, (16 * ids.count()).bit_length()))
 
     def work(batches):
