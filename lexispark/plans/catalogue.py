@@ -105,13 +105,15 @@ def rounded(c) -> F.Column:
 
 
 def folder(spark) -> str:
-    """A place for an index in the folder that all executors share."""
+    """A place for an index in the folder that all executors share; it goes when the driver ends, as results are read from it until then."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
         cut_lineage(spark.range(1))  # sets the context's own folder where none is named
         base = context._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    place = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    Files(spark).until_exit(place)
+    return place
 
 
 def as_texts(docs: DataFrame, text="text") -> DataFrame:

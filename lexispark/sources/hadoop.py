@@ -21,6 +21,12 @@ class Files:
     def fs(self, path: str):
         return self.Path(path).getFileSystem(self.conf)
 
+    def until_exit(self, path: str) -> None:
+        """Make a folder that goes, with all it holds, when the driver's JVM ends."""
+        fs = self.fs(path)
+        fs.mkdirs(self.Path(path))
+        fs.deleteOnExit(self.Path(path))
+
     def qualified(self, path: str) -> str:
         """The path with its file system's scheme."""
         return self.fs(path).makeQualified(self.Path(path)).toString()
