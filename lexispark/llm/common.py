@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 
 import pyarrow as pa
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` through the shared checkpoint folder, so that later steps neither repeat it nor hang on one executor.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of the driver's own is set only where that is unset (tests).
+    The folder is the one the cluster names in spark.checkpoint.dir. Where that is unset, a session in one process gets a folder of its own (tests), and any other is refused.
     """
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lexispark-checkpoint-"))
     return df.checkpoint()
 

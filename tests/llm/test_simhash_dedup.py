@@ -129,3 +129,16 @@ def test_deduplicate_keeps_one_of_each_component(spark):
 def test_empty_table(spark):
     assert simhash_dedup.near_duplicates(documents(spark, [])).collect() == []
     assert simhash_dedup.deduplicate(documents(spark, [])).collect() == []
+
+
+def test_frequent_fingerprints_by_broadcast(spark, monkeypatch):
+    """The same components whether a fingerprint's rows meet it by broadcast or by a join."""
+    rng = random.Random(11)
+    text = sentence(rng, 40)
+    rows = [(i, text) for i in range(60)] + [(100 + i, sentence(rng, 30)) for i in range(20)] + [(200, None), (201, "")]
+    docs = documents(spark, rows)
+    plain = sorted(map(tuple, simhash_dedup.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(simhash_dedup, "HOT_KEYS", 20)
+    assert sorted(map(tuple, simhash_dedup.near_duplicates(docs).collect())) == plain and len(plain) == len(rows)
+    assert {r[2] for r in plain if r[0] < 60} == {0}
