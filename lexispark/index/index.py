@@ -33,7 +33,7 @@ TABLES = ("chunks", "postings", "lexicon")
 #: Query terms up to this number are pushed to the postings' scan as literals, where row groups are skipped by term.
 PUSHED = 512
 #: Rows up to this number are written to one file a table, without a sample for ranges.
-SMALL = 10_000
+SMALL = 1_000
 #: Deltas that are merged into one; share of the base's postings in deltas at which all is rewritten.
 COMPACT_COMMITS, COMPACT_RATIO = 16, 0.3
 CONFIG = {"approx_topk": False, "materialised": False, "persist": "delta", "compact_commits": COMPACT_COMMITS, "compact_ratio": COMPACT_RATIO, "compact_blocks": COMPACT_BLOCKS, "rebuild_batch_nnz": None, "w_cache": False}
