@@ -120,3 +120,14 @@ def test_bits_and_wavelet_rank():
     assert (tree.get(np.arange(1000)) == seq).all()
     for c in (0, 5, 36):
         assert (tree.rank(np.full(1001, c), at) == np.append(0, np.cumsum(seq == c))).all()
+
+
+@pytest.mark.parametrize("part_bytes", [16 << 20, 200])
+def test_items_without_an_id(spark, planted, part_bytes):
+    """A null item_id is the empty name; all such items are one."""
+    rows, items = planted
+    rng = random.Random(9)
+    nameless = [sentence(rng, 14) for _ in range(2)]
+    rows = rows + [(500 + i, f"{sentence(rng, 20)} {t} {sentence(rng, 20)}") for i, t in enumerate(nameless)] + [(510, " ".join(nameless))]
+    bench = spark.createDataFrame(items + [(None, t) for t in nameless] + [(None, None)], "item_id long, text string")
+    assert found(documents(spark, rows), bench, part_bytes=part_bytes) == brute(rows, items + [("", t) for t in nameless])
