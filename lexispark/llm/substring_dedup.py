@@ -2,7 +2,8 @@
 
 1. Seeds: winnowed five-word shingles; every run of WINDOW + 4 words that two documents share gives both a common seed.
 2. A seed is joined with its first place (smallest doc_id, then position), never with all its other places, so a passage shared by n documents gives n - 1 matches.
-   Firsts are found by an aggregate with partial sums before the shuffle. A passage made of pieces that several earlier documents hold is matched with those; where
+   Seeds are dealt by hash once, for both. Those that a thousandth of a sample of the documents holds or more are not dealt at all: there are few of them, so their firsts, summed before the shuffle, are
+   sent to their rows. The sample decides on the way only, not on what is found. A passage made of pieces that several earlier documents hold is matched with those; where
    matches go over from one to another, the seeds to either side are one more seed with a first place of its own, which finds a holder of the whole.
 3. The matches of a document with one earlier document are merged into diagonal fragments; a Fenwick tree over the earlier document's positions
    finds each fragment's best predecessor under gap costs; the best chains are taken one by one.
@@ -35,11 +36,13 @@ K, WINDOW, MIN_WORDS, SIMILARITY = 5, 5, 45, 0.8
 REACH, SKIP, GAP = 64, WINDOW, 0.125
 #: Bits of the largest bit table, as a power of 2 (16 MB).
 SIEVE = 27
+#: Share of the documents that is looked at for frequent seeds; occurrences there that make a seed frequent: so many, and one for so many documents.
+LOOKED_AT, OFTEN, ONE_OF = 64, 50, 1_000
 _POS = 28
 
 
-def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(hash, doc_id, pos): winnowed shingles of k words."""
+def seeds(docs: DataFrame, k: int = K, window: int = WINDOW, often=None, inside: bool = False) -> DataFrame:
+    """(hash, doc_id, pos): winnowed shingles of k words; with `often` (a broadcast of sorted hashes) only those that are not among them, or with `inside` only those that are."""
 
     def work(batches):
         for batch in batches:
@@ -58,20 +61,41 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                     np.copyto(best, g[j : n + j], where=less)
                     at[less] = np.flatnonzero(less) + j
                 at = np.unique(at[row[:n] == row[k + window - 2 :]])
+                if often is not None:
+                    h = g[at].view(np.int64)
+                    place = np.minimum(np.searchsorted(often.value, h), len(often.value) - 1)
+                    at = at[(often.value[place] == h) == inside]
                 yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[lo + row[at]]), pa.array((at - w.first[row[at]]).astype(np.int32))], ["hash", "doc_id", "pos"])
 
     return over_batches(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "hash long, doc_id long, pos int")
 
 
-def first_places(found: DataFrame, packed: bool, *more: str) -> DataFrame:
-    """(d, x, r, y, hash, more): each row of `found` (hash, doc_id, pos, more) of document d with the first place of its hash, if an earlier document r holds that."""
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the seeds that a sample of the documents holds often: ONE_OF times as many as a document has seeds, at most."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOKED_AT)) == 0)
+    limit = max(OFTEN, some.count() // ONE_OF)
+    return np.sort(seeds(some).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("hash").toArrow().column("hash").to_numpy())
+
+
+def direct_places(docs: DataFrame, packed: bool) -> DataFrame:
+    """`first_places` of all seeds."""
+    hashes = frequent(docs)
+    if not len(hashes):
+        return first_places(seeds(docs).repartition("hash"), packed, "hash")
+    often = docs.sparkSession.sparkContext.broadcast(hashes)
+    return first_places(seeds(docs, often=often).repartition("hash"), packed, "hash").unionByName(first_places(durable(seeds(docs, often=often, inside=True)), packed, "hash", few=True))
+
+
+def first_places(found: DataFrame, packed: bool, *more: str, few: bool = False) -> DataFrame:
+    """(d, x, r, y, more): each row of `found` (hash, doc_id, pos, more) of document d with the first place of its hash, if an earlier document r holds that. `few`: of few hashes."""
     if packed:
         place = F.shiftleft("doc_id", _POS).bitwiseOR(F.col("pos").cast("long"))
         r, y = F.shiftright("first", _POS), F.col("first").bitwiseAND(F.lit((1 << _POS) - 1)).cast("int")
     else:
         place, r, y = F.struct("doc_id", "pos"), F.col("first.doc_id"), F.col("first.pos")
     firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).select("hash", "last", r.alias("r"), y.alias("y")).where("last > r")
-    return found.join(firsts.drop("last"), "hash").where("doc_id > r").select(F.col("doc_id").alias("d"), F.col("pos").alias("x"), "r", "y", "hash", *more)
+    firsts = firsts.drop("last")
+    return found.join(F.broadcast(firsts) if few else firsts, "hash").where("doc_id > r").select(F.col("doc_id").alias("d"), F.col("pos").alias("x"), "r", "y", *more)
 
 
 def by_document(found: DataFrame, names: list[str], of, schema: str) -> DataFrame:
@@ -133,9 +157,9 @@ def seams(found: DataFrame, min_words: int, k: int = K) -> DataFrame:
     return by_document(found, ["d", "x", "r", "y", "hash"], of, "hash long, doc_id long, pos int, step int")
 
 
-def matches(found: DataFrame, packed: bool, min_words: int = MIN_WORDS) -> DataFrame:
+def matches(docs: DataFrame, packed: bool, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, x, r, y): each seed of document d with its first place in an earlier document r, and the seeds about each seam with the first place of their context."""
-    direct = first_places(found, packed)
+    direct = direct_places(docs, packed)
     context = first_places(seams(direct, min_words), packed, "step")
     both = F.explode(F.array(*(F.struct("d", (F.col("x") + s).alias("x"), "r", (F.col("y") + s).alias("y")) for s in (F.lit(0), F.col("step")))))
     return direct.select("d", "x", "r", "y").unionByName(context.select(both.alias("m")).select("m.*"))
@@ -410,7 +434,7 @@ def _with_hits(docs: DataFrame, min_words: int):
     spark = docs.sparkSession
     ids = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     packed = ids[0] is None or 0 <= ids[0] <= ids[1] < 1 << (62 - _POS)
-    found = durable(chains(matches(seeds(docs), packed, min_words), min_words))
+    found = durable(chains(matches(docs, packed, min_words), min_words))
     late, early = (spark.sparkContext.broadcast(sieve(found, c)) for c in ("d", "r"))
     base = F.greatest(F.lit(0), F.col("y_lo") - REACH)
     words = word_hashes(docs, early)

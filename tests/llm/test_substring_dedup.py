@@ -216,3 +216,15 @@ def test_most_fuzzy_passages_are_found(spark):
         want[10 * t + 1] = 10 * t
     found = {r["doc_id"]: r["source_doc_id"] for r in sd.repeated_passages(documents(spark, rows)).collect() if min(r["end"], 100) - max(r["start"], 40) >= 40}
     assert found.items() <= want.items() and len(found) >= 190
+
+
+@pytest.mark.parametrize("often", [1, 8])
+def test_frequent_seeds_give_the_same(spark, monkeypatch, often):
+    """The same passages whether a seed's rows are dealt by its hash or get its first place by a broadcast."""
+    rows, _ = passage_rows(random.Random(13))
+    docs = documents(spark, rows)
+    plain = sorted(map(tuple, sd.repeated_passages(docs).collect()))
+    monkeypatch.setattr(sd, "LOOKED_AT", 1)
+    monkeypatch.setattr(sd, "OFTEN", often)
+    assert len(sd.frequent(docs.select("doc_id", "text"))) > 5
+    assert sorted(map(tuple, sd.repeated_passages(docs).collect())) == plain and plain
