@@ -67,7 +67,9 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW, often=None, inside:
                     at = at[(often.value[place] == h) == inside]
                 yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[lo + row[at]]), pa.array((at - w.first[row[at]]).astype(np.int32))], ["hash", "doc_id", "pos"])
 
-    return over_batches(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "hash long, doc_id long, pos int")
+    # no column is nullable: else the planner puts other filters before the two uses of one exchange, which then becomes two
+    schema = T.StructType([T.StructField("hash", T.LongType(), False), T.StructField("doc_id", T.LongType(), False), T.StructField("pos", T.IntegerType(), False)])
+    return over_batches(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema)
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
