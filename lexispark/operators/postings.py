@@ -39,12 +39,14 @@ def doc_lengths(docs: DataFrame, row: str = "row", text: str = "text") -> DataFr
     return docs.select(F.col(row).alias("row"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
 
 
-def postings(docs: DataFrame, row: str = "row", text: str = "text", tokenize=tokens) -> DataFrame:
-    """(row, dl, term, tf). A document lies in one task, so the partial count is the full one and the shuffle moves postings, not tokens.
+def postings(docs: DataFrame, row: str = "row", text: str = "text", tokenize=tokens, terms: list[str] | None = None) -> DataFrame:
+    """(row, dl, term, tf); with `terms` only of these, which are picked before anything is counted or dealt. A document lies in one task, so the partial count is the full one and the shuffle moves postings, not tokens.
 
     The outer explode keeps Catalyst from testing the tokens' size in a filter of its own, which would tokenise twice.
     """
     exploded = tokenized(docs, row, text, tokenize).select("row", "dl", F.explode_outer("toks").alias("term")).where("term is not null")
+    if terms is not None:
+        exploded = exploded.where(F.col("term").isin(terms))
     return exploded.groupBy("row", "dl", "term").agg(F.count("*").alias("tf"))
 
 

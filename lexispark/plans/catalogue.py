@@ -27,8 +27,8 @@ WORDS = ["that", "therble", "heron"]
 K, DIGITS, OTHER_K1, OTHER_B = 10, 6, 0.6, 0.4
 PAGE, PAGE_ROWS, BROWSED = 3, 20, "src3"
 FIRST, SECOND = "de", "es"
-#: Terms of queries up to this number are tested inside the pass over the texts.
-PUSHED = 10_000
+#: Terms of queries up to these numbers are counted within each document's row, and picked from the texts' tokens as literals.
+FEW, PUSHED = 64, 10_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,8 +72,10 @@ def tables_of(docs: DataFrame, k1: float = postings.K1, b: float = postings.B):
 def asked_tables(docs: DataFrame, terms: DataFrame, dead: DataFrame | None = None, k1: float = postings.K1, b: float = postings.B):
     """Postings of the query's terms only, their lexicon, numbers of the corpus: all from one pass over the texts, which leaves a row a document. `terms`: (qid, term)."""
     words = [r["term"] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
-    if len(words) > PUSHED:  # too many for literals
-        posts = cut_lineage(postings.closed(postings.postings(docs), terms.select("term").distinct()))
+    if len(words) > FEW:
+        posts = postings.postings(docs, terms=words) if len(words) <= PUSHED else postings.closed(postings.postings(docs), terms.select("term").distinct())
+        # spread by document: what follows has many rows for each of these, and the planner would put so few into a task or two
+        posts = cut_lineage(posts).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
         alive = posts if dead is None else postings.live(posts, dead)
         return alive, postings.lexicon(alive), postings.corpus_stats(postings.doc_lengths(docs), dead, k1, b)
     held = cut_lineage(postings.asked(docs, words))
