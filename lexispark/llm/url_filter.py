@@ -1,12 +1,15 @@
-"""URL verdicts: fixed host and path rules first, then association rules mined from labelled URLs by Spark's FP-growth.
+"""URL verdicts: fixed host and path rules first, then association rules mined from labelled URLs by Spark's FP-growth, or by levels where a URL holds many items.
 
 A labelled URL is a transaction of its tokens (scheme, host labels, path segments, names and values of the query, fragment) and, if it is bad, of the item `=bad`. Rules
 `tokens => =bad` are kept at `confidence` or more over `support` of the labelled URLs or more, and `least` of them; a rule that a shorter one covers with no less confidence goes.
 Rules are indexed by their rarest token; a URL meets the rules of its tokens there and is blocked if it holds all tokens of one.
 All of it is DataFrame and ML operators in the JVM.
 
-What is mined stays small whatever the URLs share: tokens that too few bad URLs hold can be in no rule and go first; tokens that the same labelled URLs hold are one item (a rule with one of them
-is as good as with another, and one with two of them has a shorter one that covers it); and a URL brings its `most` items of highest confidence, so combinations are sought among these.
+What is mined stays small, and nothing is left out: tokens that too few bad URLs hold can be in no rule and go first; tokens that the same labelled URLs hold are one item (a rule with one of them
+is as good as with another, and one with two of them has a shorter one that covers it); an item of bad URLs alone is a rule, covers all with it in them, and needs no search. FP-growth lists all combinations
+of a URL's other items, so it is asked while no URL holds over `most` of them. Else combinations grow by levels, an item at a time, as far as each holds fewer good URLs than all its parts: one that holds as
+many as a part has no more confidence than that part, and the same is true with any further items. Both ways give the same rules. Nested paths end at once; `k` tokens that come and go by themselves in bad and
+good URLs alike have up to 2**k combinations, and these are all counted, however long it takes.
 
 Matching is done on distinct URLs, so a URL that holds a third of all rows is matched once; the verdict returns to the rows by a join on the URL.
 
@@ -17,6 +20,7 @@ without bad ones, nothing is mined and all URLs outside the fixed rules are allo
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
@@ -28,7 +32,7 @@ from .common import durable
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: A rule's least share and least number of the labelled URLs, and its least confidence.
 SUPPORT, LEAST, CONFIDENCE = 0.002, 20, 0.6
-#: Items of a labelled URL that combinations are sought among.
+#: Items of a labelled URL up to which FP-growth lists all their combinations; where one holds more, the search goes by levels.
 MOST = 10
 BAD = "=bad"
 
@@ -75,19 +79,46 @@ def items_of(rows: DataFrame, floor: int) -> DataFrame:
     return counted.join(firsts, ["n", "b", "x0", "x1"]).select("token", "item", (F.col("b") / F.col("n")).alias("share"))
 
 
+def frequent(urls: DataFrame, floor: int, confidence: float) -> DataFrame:
+    """(antecedent, confidence): the sets of items that `floor` bad URLs hold at least and that have the confidence, by FP-growth. `urls`: items (sorted), bad."""
+    baskets = durable(urls.select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (floor - 0.5) / max(1, baskets.count())), minConfidence=confidence).fit(baskets)
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
+    return rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence")
+
+
+def grown(urls: DataFrame, floor: int, confidence: float) -> DataFrame:
+    """As `frequent`, by levels, and without sets that hold as many good URLs as a part of theirs, which that part covers."""
+    baskets = durable(urls.groupBy("items").agg(F.count("*").alias("n"), F.sum("bad").alias("b")))
+    held = baskets.select("items", "n", "b", F.explode("items").alias("item")).select("items", "n", "b", F.array("item").alias("own"))
+    parts, found = None, []
+    while True:
+        counted = held.groupBy("own").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= floor).select("own", "b", (F.col("n") - F.col("b")).alias("g"))
+        if parts is not None:
+            each = counted.select("own", "b", "g", F.explode(F.transform("own", lambda x: F.array_remove("own", x))).alias("part")).join(parts, "part")
+            counted = each.where("part_g > g").groupBy("own", "b", "g").agg(F.count("*").alias("k")).where(F.col("k") == F.size("own"))
+        counted = durable(counted.select("own", "b", "g"))
+        found.append(counted.select(F.col("own").alias("antecedent"), (F.col("b") / (F.col("b") + F.col("g"))).alias("confidence")).where(F.col("confidence") >= confidence))
+        parts = counted.where("g > 0").select(F.col("own").alias("part"), F.col("g").alias("part_g"))
+        if parts.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        kept = held.join(parts.select(F.col("part").alias("own")), "own", "left_semi")
+        further = F.filter("items", lambda x: x > F.element_at("own", -1))
+        held = durable(kept.select("items", "n", "b", "own", F.explode(further).alias("item")).select("items", "n", "b", F.concat("own", F.array("item")).alias("own")))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(antecedent, confidence) rules of items from rows (url, bad), and (token, item); of fewer than `least` labelled URLs none can be mined."""
+    """(antecedent, confidence) rules of items from rows (url, bad), and (token, item); of fewer than `least` labelled URLs none can be mined. `most` chooses the way of the search, not its result."""
     rows = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     rows = durable(rows.select("url", tokens(F.col("url")).alias("tokens"), "bad").where(F.size("tokens") > 0))
     floor = max(1, math.ceil(max(support * rows.count(), least) - 1e-9))
     items = durable(items_of(rows, floor))
-    # of each URL its items, those of the highest shares first
-    own = rows.select("url", "bad", F.explode("tokens").alias("token")).join(items, "token").groupBy("url", "bad").agg(F.array_sort(F.collect_set(F.struct((-F.col("share")).alias("share"), "item"))).alias("own"))
-    held = F.transform(F.slice("own", 1, most), lambda x: x["item"])
-    baskets = durable(own.select(F.when(F.col("bad") == 1, F.concat(held, F.array(F.lit(BAD)))).otherwise(held).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (floor - 0.5) / max(1, baskets.count())), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select("antecedent", "confidence", "support")
-    rules = durable(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
+    sure = items.where("share = 1").select(F.array("item").alias("antecedent"), F.col("share").alias("confidence")).distinct()
+    held = rows.select("url", "bad", F.explode("tokens").alias("token")).join(items.where("share < 1"), "token")
+    urls = durable(held.groupBy("url", "bad").agg(F.array_sort(F.collect_set("item")).alias("items")).select("items", "bad"))
+    widest = urls.agg(F.max(F.size("items"))).first()[0] or 0
+    search = grown if widest > most else frequent
+    rules = durable(search(urls, floor, confidence).unionByName(sure))
     # a rule goes if another holds a part of its items with no less confidence; parts share the rule's items one by one
     parts = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("antecedent", 1).alias("item"))
     whole = rules.select("antecedent", "confidence", F.explode("antecedent").alias("item"))
