@@ -132,8 +132,9 @@ def most(similarity: float, n="n", at="at") -> F.Column:
 
 def shared_signs(found: DataFrame, rows: DataFrame) -> DataFrame:
     """`found` (hash, doc_id, n, at) as far as several documents hold the hash, with the group c (the document itself) and the sketch of each."""
-    dealt = found.repartition("hash")  # once, for both the count of holders and their rows
-    held = durable(dealt.join(dealt.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash"), "hash", "left_semi"))
+    # a window deals the rows once; for a join with counts of holders Spark makes all signs twice, as the two uses need different columns
+    own = Window.partitionBy("hash")
+    held = durable(found.select("*", F.min("doc_id").over(own).alias("lo"), F.max("doc_id").over(own).alias("hi")).where("lo < hi").select(*found.columns))
     table = rows.sparkSession.sparkContext.broadcast(sieve(held, "doc_id"))
     return few(held, held.count()).join(sketches(rows, table), "doc_id").withColumn("c", F.col("doc_id")).select("hash", *PLACE, *SKETCHED)
 

@@ -136,3 +136,23 @@ def test_many_holders_of_one_passage(spark):
     docs = documents(spark, rows)
     gone = {r["doc_id"] for r in near_copies.copies_among(docs, docs.select("doc_id")).collect()}
     assert sorted({d for d, _ in rows} - gone) == kept_by_hand(rows)
+
+
+def test_signs_are_made_once(spark, tmp_path):
+    """Both the count of a hash's holders and their rows come of one pass; hashes of one document go."""
+    folder = str(tmp_path)
+
+    def work(batches):
+        import uuid
+
+        for batch in batches:
+            with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+                f.write("x" * batch.num_rows)
+            yield batch
+
+    docs = documents(spark, [(i, "one two three four five six") for i in range(4)])
+    held = [(1, 0, 2, 0), (1, 1, 2, 0), (2, 1, 2, 1), (3, 2, 2, 0), (3, 3, 2, 0), (3, 0, 2, 1), (4, 2, 2, 1)]
+    found = spark.createDataFrame(held, "hash long, doc_id long, n int, at int")
+    out = near_copies.shared_signs(found.mapInArrow(work, found.schema), docs.select("doc_id", "text")).select("hash", "doc_id", "n", "at", "c").collect()
+    assert sorted(map(tuple, out)) == [(*h, h[1]) for h in sorted(held) if h[0] in (1, 3)]
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) == len(held)
