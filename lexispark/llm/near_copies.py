@@ -6,12 +6,12 @@ Fingerprints of 64 bits within two bits only tell texts that are all but equal (
    Any order of the hashes will do. Of the lower half of all hashes those of few documents come first, by steps of STEP from COMMON documents on, so common passages bring nobody together who shares
    little else; the upper half, which isn't counted, comes last.
 2. A place in that order bounds what two sets can share from there on, so a hash's holder can only be similar to holders of a certain size, its `most`. Holders too large for every
-   other group's `most` leave the hash before anything is paired.
+   other group's `most` leave the hash before anything is paired. Hashes of the same holders, as those of a passage, are one.
 3. Stars: while all pairs of holders would be many, each hash joins its holders with two of them (the one that can take the largest partner, and one drawn by a hash of doc_id),
    and what proves similar is one group from then on. These rounds only save work.
 4. All pairs of holders of a hash that are not in one group yet, as far as both sizes fit both places, and both sketches each other: a sketch has the parity of how many shingles fall on each of its bits,
    so two sets differ in as many shingles at least as their sketches do in bits. At the first hash that two similar sets share all this holds, so every similar pair is met or
-   its ends are in one group. It is tested inside the join. The rest is compared exactly, by whole sets.
+   its ends are in one group. It is tested inside the join, which also turns down pairs that met at an earlier hash. The rest is compared exactly, by whole sets.
 5. Components of the links; the smallest doc_id of each stays.
 
 Only documents that a candidate names are shuffled for the comparison.
@@ -34,8 +34,8 @@ from .words import Words, chunked, layout, mix, ngrams
 SHINGLE, SIMILARITY = 5, 0.8
 #: Documents above which a hash comes later, and times as many for each further step; pairs of holders a sign above which a round of stars is worth it, rounds at most, and the share of the links of the round before that a round must find for another one to follow.
 COMMON, STEP, MANY, ROUNDS, WORTH = 32, 8, 4, 3, 0.25
-#: Words of 64 bits of a sketch.
-SKETCH = 8
+#: Words of 64 bits of a sketch; hashes before a place that tell pairs that have met from new ones.
+SKETCH, RECENT = 8, 16
 PLACE, SKETCHED = ("doc_id", "n", "at", "c"), tuple(f"s{i}" for i in range(SKETCH))
 
 
@@ -131,10 +131,13 @@ def most(similarity: float, n="n", at="at") -> F.Column:
 
 
 def shared_signs(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """`found` (hash, doc_id, n, at) as far as several documents hold the hash, with the group c (the document itself) and the sketch of each."""
+    """`found` (hash, doc_id, n, at) as far as several documents hold the hash, with the group c (the document itself) and the sketch of each. Hashes that the same documents hold are one: the smallest, at the first place of any."""
     # a window deals the rows once; for a join with counts of holders Spark makes all signs twice, as the two uses need different columns
     own = Window.partitionBy("hash")
-    held = durable(found.select("*", F.min("doc_id").over(own).alias("lo"), F.max("doc_id").over(own).alias("hi")).where("lo < hi").select(*found.columns))
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).over(own).alias(f"h{i}") for i in range(2)]
+    held = found.select("*", F.min("doc_id").over(own).alias("lo"), F.max("doc_id").over(own).alias("hi"), *marks).where("lo < hi")
+    # the order of hashes is the same in all documents, so the first place is that of the same hash in each, and no bound gets weaker
+    held = durable(held.groupBy("h0", "h1", "doc_id", "n").agg(F.min("hash").alias("hash"), F.min("at").alias("at")).select("hash", "doc_id", "n", "at"))
     table = rows.sparkSession.sparkContext.broadcast(sieve(held, "doc_id"))
     return few(held, held.count()).join(sketches(rows, table), "doc_id").withColumn("c", F.col("doc_id")).select("hash", *PLACE, *SKETCHED)
 
@@ -178,9 +181,15 @@ def stars(found: DataFrame, salt: int, similarity: float, rows: int) -> DataFram
 
 
 def all_pairs(found: DataFrame, similarity: float, rows: int) -> DataFrame:
-    """(a, b), a < b: all documents of two groups that can be similar. Most pairs of holders are turned down inside the join and never come out of it."""
-    a, b = (few(found, rows).select("hash", *(F.col(c).alias(f"{x}_{c}") for c in (*PLACE, *SKETCHED))) for x in "ab")
-    joined = a.withColumnRenamed("hash", "h").join(b, (F.col("h") == F.col("hash")) & (F.col("a_doc_id") < F.col("b_doc_id")) & fits(similarity, "a_", "b_"))
+    """(a, b), a < b: all documents of two groups that can be similar. Most pairs of holders are turned down inside the join and never come out of it.
+
+    So are pairs that both have met before, as far as the RECENT hashes before show it: at an earlier place of both every bound is wider, and a pair's first hash has none before it.
+    """
+    earlier = F.collect_list("hash").over(Window.partitionBy("doc_id", "n").orderBy("at").rowsBetween(-RECENT, -1))
+    found = durable(few(few(found, rows).withColumn("before", earlier), rows))
+    a, b = (found.select("hash", *(F.col(c).alias(f"{x}_{c}") for c in (*PLACE, *SKETCHED, "before"))) for x in "ab")
+    new = ~F.arrays_overlap("a_before", "b_before")
+    joined = a.withColumnRenamed("hash", "h").join(b, (F.col("h") == F.col("hash")) & (F.col("a_doc_id") < F.col("b_doc_id")) & fits(similarity, "a_", "b_") & new)
     return few(joined.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")), rows).distinct()
 
 

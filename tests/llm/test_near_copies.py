@@ -156,3 +156,40 @@ def test_signs_are_made_once(spark, tmp_path):
     out = near_copies.shared_signs(found.mapInArrow(work, found.schema), docs.select("doc_id", "text")).select("hash", "doc_id", "n", "at", "c").collect()
     assert sorted(map(tuple, out)) == [(*h, h[1]) for h in sorted(held) if h[0] in (1, 3)]
     assert sum(f.stat().st_size for f in tmp_path.iterdir()) == len(held)
+
+
+def test_hashes_of_the_same_holders_are_one(spark):
+    docs = documents(spark, [(i, "one two three four five six") for i in range(4)])
+    passage = [(h, d, 40, d + at) for at, h in enumerate([5, 6, 9]) for d in range(3)]
+    found = spark.createDataFrame([*passage, (7, 0, 40, 8), (7, 1, 40, 8), (8, 3, 40, 0)], "hash long, doc_id long, n int, at int")
+    out = near_copies.shared_signs(found, docs.select("doc_id", "text")).select("hash", "doc_id", "n", "at", "c").collect()
+    assert sorted(map(tuple, out)) == [(5, 0, 40, 0, 0), (5, 1, 40, 1, 1), (5, 2, 40, 2, 2), (7, 0, 40, 8, 0), (7, 1, 40, 8, 1)]
+
+
+def join_rows(df):
+    """Rows that came out of the joins of a DataFrame that has run."""
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        children = node.children()
+        own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_pair_comes_out_of_the_join_at_its_first_hash(spark):
+    """Documents of one passage share many hashes, but are one candidate; a pair whose only common hash comes late is one too."""
+    held = [(h, d, 1000, h) for d in range(20) for h in range(30)] + [(1000 + d // 2, d, 1000, 30 + d % 2) for d in range(20)]
+    held += [(2000 + 100 * d + k, d, 1000, k) for d in (50, 60) for k in range(40)] + [(9000, d, 1000, 40) for d in (50, 60)]
+    zero = ", ".join(f"{c} long" for c in near_copies.SKETCHED)
+    found = spark.createDataFrame([(*x, x[1], *[0] * near_copies.SKETCH) for x in held], f"hash long, doc_id long, n int, at int, c long, {zero}")
+    pairs = near_copies.all_pairs(found, 0.8, len(held))
+    got = sorted(map(tuple, pairs.collect()))
+    assert got == [*((a, b) for a in range(20) for b in range(a + 1, 20)), (50, 60)]
+    # 30 hashes of 190 pairs; a hash that two share right after the passage adds nothing
+    assert len(got) <= join_rows(pairs) < 2 * len(got)
