@@ -8,7 +8,7 @@ Neighbours in the order of doc_id are met without a global sort: ids that stand
 document is known beforehand and is sent to the range before it too. Each range is a partition of its own and is read once in order, a row at a time.
 
 Searches: RADIUS + 1 permutations put another block of the fingerprint first, so two fingerprints within RADIUS bits agree in the first block of one of their tables. Equal fingerprints are one before any bucket is
-built, a block has 32 bits, and a pair comes out of the first table in which it agrees only. Documents whose doc_id is divisible by ASKED are the queries, against all documents.
+built, a block has 32 bits, only fingerprints that a bit table of the queries' blocks lets through are dealt, and a pair comes out of the first table in which it agrees only. Documents whose doc_id is divisible by ASKED are the queries, against all documents.
 
 Defined cases: null text counts as empty. Rows of one doc_id are ordered by a hash of their text; null ids come last. One document alone is its own next. An empty table
 gives no rows. Extra columns are ignored.
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, over_batches
+from .substring_dedup import bits_of, sieve
 from .words import Words, chunked, layout, mix, ngrams
 
 BITS, SHINGLE = 256, 3
@@ -184,6 +185,30 @@ def differing_bits(a, b) -> F.Column:
     return sum(words[1:], words[0])
 
 
+def meeting(fingerprinted: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """Column `fingerprint` of the rows that may agree in a block with one of `queries`, found by a bit table of their blocks: all that do, and few others."""
+
+    def numbers(column) -> list[np.ndarray]:
+        prints = pa.array(column, pa.string()).to_pylist()
+        n, digits = radius + 1, BITS // 4
+        cuts = [round(i * digits / n) for i in range(n + 1)]
+        # the table's number is part of what is hashed
+        return [mix(np.array([int(p[a:b], 16) & (2**64 - 1) for p in prints], dtype=np.uint64) ^ np.uint64(i + 1 << 56)).view(np.int64) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    def blocks(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(numbers(batch.column(0))))], ["block"])
+
+    table = fingerprinted.sparkSession.sparkContext.broadcast(sieve(over_batches(queries.select("fingerprint"), blocks, "block long"), "block"))
+
+    def met(batches):
+        for batch in batches:
+            hit = [bits_of(x, table.value) for x in numbers(batch.column(0))]
+            yield batch.filter(pa.array(np.logical_or.reduce(hit)))
+
+    return over_batches(fingerprinted.select("fingerprint"), met, "fingerprint string")
+
+
 def search(fingerprinted: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, near_fp, differing) for each distinct fingerprint of `queries` and each distinct one of `fingerprinted` within `radius` bits, itself included.
 
@@ -202,8 +227,9 @@ def search(fingerprinted: DataFrame, queries: DataFrame, radius: int = RADIUS) -
 def with_neighbours(prints: DataFrame, radius: int = RADIUS, asked: int = ASKED) -> DataFrame:
     """`prints` (doc_id, fingerprint and more; read more than once) with n_near: of documents whose doc_id is divisible by `asked`, how many documents have a fingerprint within `radius` bits, the document itself included; null for others."""
     of = F.coalesce(F.col("doc_id") % asked == 0, F.lit(False))
-    counts = prints.groupBy(F.col("fingerprint").alias("near_fp")).agg(F.count("*").alias("n"))
-    near = search(prints, prints.where(of), radius).join(counts, "near_fp").groupBy("fp").agg(F.sum("n").alias("n_near"))
+    pool = durable(meeting(prints, prints.where(of), radius))
+    counts = pool.groupBy(F.col("fingerprint").alias("near_fp")).agg(F.count("*").alias("n"))
+    near = search(pool, prints.where(of), radius).join(counts, "near_fp").groupBy("fp").agg(F.sum("n").alias("n_near"))
     found = prints.where(of).join(near, F.col("fingerprint") == F.col("fp"), "left").select(*prints.columns, "n_near")
     return found.unionByName(prints.where(~of).withColumn("n_near", F.lit(None).cast("long")))
 

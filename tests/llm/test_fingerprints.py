@@ -124,3 +124,19 @@ def test_keys_fall_into_partitions_one_by_one(spark):
         keys = fingerprints._keys(n)
         df = spark.createDataFrame([(int(k),) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(n)).alias("p"))
         assert [r["p"] for r in df.collect()] == list(range(n))
+
+
+def test_only_fingerprints_that_may_meet_a_query_are_dealt(spark, monkeypatch):
+    """All within the radius of a query, and few others."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (2000, 32), dtype=np.uint8)
+    near = base[:100].copy()
+    for i in range(100):
+        for b in rng.choice(256, i % 8, replace=False):
+            near[i, b // 8] ^= np.uint8(1 << (b % 8))
+    rows = [(20 * i, p.tobytes().hex()) for i, p in enumerate(base[:100])] + [(20 * i + 1, p.tobytes().hex()) for i, p in enumerate(base[100:])] + [(20 * i + 2, p.tobytes().hex()) for i, p in enumerate(near)]
+    dealt, search = [], fingerprints.search
+    monkeypatch.setattr(fingerprints, "search", lambda pool, *a: dealt.append(pool.count()) or search(pool, *a))
+    out = fingerprints.with_neighbours(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert len(out) == len(rows) and {r["doc_id"]: r["n_near"] for r in out} == {d: 2 if d % 20 == 0 else None for d, _ in rows}
+    assert 200 <= dealt[0] < 600
