@@ -370,7 +370,7 @@ _ITEMS = f"q AS (SELECT DISTINCT item_id AS qid, unnest({tokens_sql('text')}) AS
 @query(f"WITH {index_sql()}, {scored_sql(_ITEMS)} {best_sql('qid, ')}")
 def bm25_topk_batch(spark, d):
     terms = bm25.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    return bm25.top_k(scored_of(docs_of(spark, d), terms), K, digits=DIGITS).select("qid", F.col("row").alias("doc_id"), "rank", "score")
+    return bm25.top_k(batch.best(batch.asked(docs_of(spark, d), terms), K), K, digits=DIGITS).select("qid", F.col("row").alias("doc_id"), "rank", "score")
 
 
 _TURNS = f"q AS (SELECT DISTINCT conv_id || '-' || turn AS qid, unnest({tokens_sql('text')}) AS term FROM conversations WHERE role = 'user')"
