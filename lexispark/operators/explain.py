@@ -46,10 +46,9 @@ def diagnose_terms(lex: DataFrame, counts: DataFrame, stats: Stats) -> DataFrame
     )
 
 
-def diagnose_status(queries: DataFrame, terms: DataFrame, scored: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, n_tokens, n_oov, n_positive, max_score, status); status in the order no_tokens, all_oov, no_positive, partial_oov, ok."""
+def diagnose_status(queries: DataFrame, terms: DataFrame, by_score: DataFrame, qid: str = "qid") -> DataFrame:
+    """(qid, n_tokens, n_oov, n_positive, max_score, status); status in the order no_tokens, all_oov, no_positive, partial_oov, ok. `by_score`: (qid, n_positive, max_score), as `batch.positive` gives."""
     by_term = terms.groupBy("qid").agg(F.sum("q_count").alias("n_tokens"), F.count("*").alias("n_terms"), F.count_if(~F.col("in_vocab")).alias("n_oov"))
-    by_score = scored.where("score > 0").groupBy("qid").agg(F.count("*").alias("n_positive"), F.max("score").alias("max_score"))
     out = queries.select(F.col(qid).alias("qid")).join(by_term, "qid", "left").join(by_score, "qid", "left").na.fill(0, ["n_tokens", "n_terms", "n_oov", "n_positive"])
     status = (
         F.when(F.col("n_tokens") == 0, "no_tokens").when(F.col("n_oov") == F.col("n_terms"), "all_oov").when(F.col("n_positive") == 0, "no_positive").when(F.col("n_oov") > 0, "partial_oov").otherwise("ok")

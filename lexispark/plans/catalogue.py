@@ -454,8 +454,8 @@ _COUNTED = f"q AS (SELECT qid, term, count(*) AS q_count FROM (SELECT item_id AS
 
 def _diagnosed(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    posts, lex, stats = asked_tables(docs_of(spark, d), bm25.query_terms(items, "qid", "text"))
-    return items, posts, lex, stats, explain.diagnose_terms(lex, explain.term_counts(items, "qid", "text"), stats)
+    _, lex, stats = asked_tables(docs_of(spark, d), bm25.query_terms(items, "qid", "text"))
+    return explain.diagnose_terms(lex, explain.term_counts(items, "qid", "text"), stats)
 
 
 _TERMS = f"SELECT qid, term, q_count, df IS NOT NULL AS in_vocab, coalesce(df, 0) AS df, round(coalesce(df, 0)::DOUBLE / n, 6) AS df_ratio, round({IDF}, 6) AS idf FROM q LEFT JOIN lex USING (term), st"
@@ -463,7 +463,7 @@ _TERMS = f"SELECT qid, term, q_count, df IS NOT NULL AS in_vocab, coalesce(df, 0
 
 @query(f"WITH {index_sql()}, {_COUNTED} {_TERMS}")
 def diagnose_terms(spark, d):
-    return _diagnosed(spark, d)[-1]
+    return _diagnosed(spark, d)
 
 
 @query(f"""WITH {index_sql()}, {scored_sql(_COUNTED)}, terms AS ({_TERMS}),
@@ -473,9 +473,10 @@ SELECT item_id AS qid, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_oov, 0) AS
 CASE WHEN coalesce(n_tokens, 0) = 0 THEN 'no_tokens' WHEN n_oov = n_terms THEN 'all_oov' WHEN coalesce(n_positive, 0) = 0 THEN 'no_positive' WHEN n_oov > 0 THEN 'partial_oov' ELSE 'ok' END AS status
 FROM benchmark LEFT JOIN t ON item_id = t.qid LEFT JOIN s ON item_id = s.qid""")
 def diagnose_status(spark, d):
-    items, posts, lex, stats, terms = _diagnosed(spark, d)
-    scored = bm25.scores(posts, lex, bm25.query_terms(items, "qid", "text"), stats)
-    return explain.diagnose_status(items, terms, scored).withColumn("max_score", rounded("max_score"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    asked = batch.asked(docs_of(spark, d), bm25.query_terms(items, "qid", "text"))
+    terms = explain.diagnose_terms(asked.lexicon, explain.term_counts(items, "qid", "text"), asked.stats)
+    return explain.diagnose_status(items, terms, batch.positive(asked)).withColumn("max_score", rounded("max_score"))
 
 
 def _explained(spark, d):
