@@ -18,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions.text import as_column, series_udf, tokenizer_status, tokens
 from ..log import log, warn
 from ..operators import bm25, chunks as chunking, explain as explaining, views as viewing
-from ..operators.postings import Stats, lexicon, postings, weights
+from ..operators.postings import Stats, counted, lexicon, weights
 from ..plans.routing import COMPACT_BLOCKS, Route, route_update
 from ..sources import files as sources
 from ..sources.local import local_rows
@@ -309,7 +309,7 @@ class Index:
         rows.write.parquet(f"{folder}/dead")
         words = F.array_except(self.tokenize(F.col("text")), F.coalesce("unknown", F.array().cast("array<string>")))
         exploded = chunks.select(F.explode_outer(words).alias("term")).where("term is not null")
-        exploded.groupBy("term").agg((-F.count("*")).alias("df")).coalesce(1).write.parquet(f"{folder}/lexicon")
+        exploded.groupBy("term").agg((-F.count("*")).alias("df")).write.parquet(f"{folder}/lexicon")
         got = chunks.agg(F.count("*").alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
         return got.asDict()
 
@@ -359,8 +359,9 @@ class Index:
         folder = self.store.folder("part")
         size = {x: self.state.total(x, parts) for x in ("rows", "dl", "nnz")}
         chunks, posts, lex = self._read(parts, "chunks", CHUNKS), self._read(parts, "postings", POSTINGS), self._read(parts, "lexicon", LEXICON)
-        (chunks.repartitionByRange("row") if size["rows"] > SMALL else chunks.coalesce(1)).write.parquet(f"{folder}/chunks")
-        _by_term(posts, size["rows"]).write.parquet(f"{folder}/postings")
+        # rows stay in the files' order: parts hold ranges of rows, and each of their postings' files has all terms
+        (chunks if size["rows"] > SMALL else chunks.coalesce(1)).write.parquet(f"{folder}/chunks")
+        (posts if size["rows"] > SMALL else posts.coalesce(1)).sortWithinPartitions("term", "row").write.parquet(f"{folder}/postings")
         _by_term(lex.groupBy("term").agg(F.sum("df").alias("df")), size["rows"], "term").write.parquet(f"{folder}/lexicon")
         return folder, size
 
@@ -369,8 +370,8 @@ class Index:
         if not self.state.dead:
             return []
         folder = self.store.folder("dead")
-        self.dead().coalesce(1).write.parquet(f"{folder}/dead")
-        self._read(self.state.dead, "lexicon", LEXICON).groupBy("term").agg(F.sum("df").alias("df")).coalesce(1).write.parquet(f"{folder}/lexicon")
+        self.dead().write.parquet(f"{folder}/dead")
+        self._read(self.state.dead, "lexicon", LEXICON).groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/lexicon")
         return [folder]
 
     def merge_deltas(self) -> dict:
@@ -560,8 +561,7 @@ class Index:
     def reconcile(self) -> DataFrame:
         """(what, key, stored, recomputed): lengths, document and term frequencies of live rows that differ from what their texts give, also in the lexicon; empty if all is well."""
         rows = self.chunks()
-        posted = rows.select("row", F.filter(self.tokenize(F.col("text")), lambda t: ~F.array_contains(F.coalesce("unknown", F.array().cast("array<string>")), t)).alias("toks"))
-        fresh = posted.select("row", F.explode_outer("toks").alias("term")).where("term is not null").groupBy("row", "term").agg(F.count("*").alias("tf"))
+        fresh = self._known(counted(rows, tokenize=self.tokenize), rows)
         stored = self.postings()
         a, b = (x.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).select("term", F.concat_ws("/", "df", "tf").alias(n)) for x, n in ((stored, "stored"), (fresh, "recomputed")))
         terms = a.join(b, "term", "full_outer").where(~F.col("stored").eqNullSafe(F.col("recomputed"))).select(F.lit("df/tf").alias("what"), F.col("term").alias("key"), "stored", "recomputed")
@@ -571,6 +571,12 @@ class Index:
         lex = self.lexicon().where("df <> 0").select("term", F.col("df").cast("string").alias("stored")).join(own, "term", "full_outer").where(~F.col("stored").eqNullSafe(F.col("recomputed")))
         return terms.unionByName(lengths).unionByName(lex.select(F.lit("lexicon").alias("what"), F.col("term").alias("key"), "stored", "recomputed"))
 
+    @staticmethod
+    def _known(posts: DataFrame, rows: DataFrame) -> DataFrame:
+        """Postings without those of terms that were unknown when their chunk came."""
+        unknown = rows.where("unknown is not null").select("row", F.explode("unknown").alias("term"))
+        return posts.join(unknown, ["row", "term"], "left_anti") if not unknown.isEmpty() else posts
+
     # dense views
 
     def attach_view(self, name: str, vectors: DataFrame, meta: dict | None = None, replace: bool = False) -> dict:
@@ -748,11 +754,12 @@ def _write_part(store: Store, texts: DataFrame, base: int, tokenize, vocabulary:
         measured = measured.join(new, "row", "left")
     (measured if n > SMALL else measured.coalesce(1)).write.parquet(f"{folder}/chunks")
     written = spark.read.schema(CHUNKS).parquet(f"{folder}/chunks")
-    posts = postings(written, tokenize=tokenize)
+    posts = counted(written, tokenize=tokenize)  # a task's documents are few enough; each file has all terms, by term, and a scan for a few skips the rest by its pages
     if vocabulary is not None:
         known = written.where("unknown is not null").select("row", F.explode("unknown").alias("term"))
         posts = posts.join(known, ["row", "term"], "left_anti")
-    _by_term(posts, n).select("row", "dl", "term", "tf").write.parquet(f"{folder}/postings")
+    posts = posts.select("row", "dl", "term", "tf")
+    (posts if n > SMALL else posts.coalesce(1).sortWithinPartitions("term", "row")).write.parquet(f"{folder}/postings")
     stored = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
     _by_term(lexicon(stored), n, "term").write.parquet(f"{folder}/lexicon")
     nnz = stored.count()  # from the files' footers
