@@ -85,9 +85,10 @@ class Index:
     def build(cls, spark: SparkSession, root: str, path: str, skip_dirs: Iterable[str] = (), tokenize=tokens) -> Index:
         """An index of the files under `root`."""
         scanned = sources.scan(spark, root, skip_dirs).persist(StorageLevel.MEMORY_AND_DISK)
-        texts = _chunk(scanned)
+        texts = _chunk(scanned).persist(StorageLevel.MEMORY_AND_DISK)  # numbering reads it twice, the ledger once
         ledger = scanned.join(texts.select(F.col("file").alias("rel")).distinct(), "rel", "left_semi").select("rel", "md5", "size", "mtime_ns")
         out = cls.create(spark, path, texts, tokenize=tokenize, ledger=ledger, root=root)
+        texts.unpersist()
         scanned.unpersist()
         return out
 
@@ -728,9 +729,9 @@ class Stage:
 
 def _chunk(scanned: DataFrame) -> DataFrame:
     """(docid, file, line, text) of scanned files; a docid is the beginning of the file's hash and the chunk's number."""
-    made = chunking.chunk_files(scanned.where("text is not null").select(F.col("rel").alias("file"), "text"))
-    named = made.join(scanned.select(F.col("rel").alias("file"), "md5"), "file")
-    return named.select(F.concat_ws(":", F.substring("md5", 1, 8), "seq").alias("docid"), "file", "line", "text")
+    # the hash goes along as part of the key: a join by file would move all texts once they are many
+    made = chunking.chunk_files(scanned.where("text is not null").select(F.struct("rel", "md5").alias("file"), "text"), name="file.rel")
+    return made.select(F.concat_ws(":", F.substring("file.md5", 1, 8), "seq").alias("docid"), F.col("file.rel").alias("file"), "line", "text")
 
 
 def _by_term(table: DataFrame, rows: int, *order: str) -> DataFrame:

@@ -64,6 +64,7 @@ def is_code(name) -> F.Column:
     return F.lower(F.regexp_extract(name, r"[^./\\][^/\\]*?(\.[^./\\]+)$", 1)).isin(*CODE_EXTENSIONS)
 
 
-def chunk_files(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
-    """Code files in windows of lines, all others in paragraphs."""
-    return code_chunks(files.where(is_code(F.col(key))), key, text).unionByName(prose_chunks(files.where(~is_code(F.col(key))), key, text))
+def chunk_files(files: DataFrame, key: str = "file", text: str = "text", name: str | None = None) -> DataFrame:
+    """Code files in windows of lines, all others in paragraphs. `name`: the column with the file's name where that isn't the key."""
+    code = is_code(F.col(name or key))
+    return code_chunks(files.where(code), key, text).unionByName(prose_chunks(files.where(~code), key, text))

@@ -67,8 +67,8 @@ def has_scheme(root: str) -> bool:
     return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", root) is not None
 
 
-def list_hadoop(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> list[tuple[str, str, int, int]]:
-    """As `list_files`, for any path that Spark can read. Times are in whole milliseconds there."""
+def list_hadoop(spark: SparkSession, root: str, skip_dirs: Iterable[str] = (), left_out: list[str] | None = None) -> list[tuple[str, str, int, int]]:
+    """As `list_files`, for any path that Spark can read. Times are in whole milliseconds there. `left_out` gets the names that are not indexed."""
     fs = Files(spark)
     if not fs.is_dir(root):
         raise FileNotFoundError(root)
@@ -81,15 +81,15 @@ def list_hadoop(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -
             if is_dir:
                 if name not in EXCLUDE_DIRS and rel.casefold() not in skip:
                     todo.append((path, f"{rel}/"))
+                elif left_out is not None:
+                    left_out.append(rel)
             elif name not in EXCLUDE_NAMES and os.path.splitext(name)[1].lower() not in EXCLUDE_EXTENSIONS and size <= MAX_BYTES:
                 out.append((rel, path, size, time * 1_000_000))
+            elif left_out is not None:
+                left_out.append(rel)
     return sorted(out)
 
 
-def listing(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> DataFrame:
-    return local_rows(spark, list_hadoop(spark, root, skip_dirs) if has_scheme(root) else list_files(root, skip_dirs), LISTED)
-
-
 READ = "rel string, size long, mtime_ns long, md5 string, text string"
 
 
@@ -117,8 +117,8 @@ def read_files(listed: DataFrame) -> DataFrame:
     return listed.mapInArrow(work, READ)
 
 
-def read_hadoop(spark: SparkSession, listed: DataFrame) -> DataFrame:
-    """As `read_files`, through Spark's readers."""
+def read_hadoop(spark: SparkSession, listed: DataFrame, root: str | None = None) -> DataFrame:
+    """As `read_files`, through Spark's readers. `root`: the folder whose files are all listed; Spark then finds them itself, as it takes milliseconds of the driver and a task for each path that it is given."""
     name = F.element_at(F.split("rel", "/"), -1)
     hidden = F.startswith(name, F.lit(".")) | F.startswith(name, F.lit("_")) | F.rlike("rel", F.lit("(^|/)[._]"))
     paths = [r["path"] for r in listed.where(~hidden).select("path").collect()]  # names are on the driver already, as in Spark's own file index
@@ -130,7 +130,8 @@ def read_hadoop(spark: SparkSession, listed: DataFrame) -> DataFrame:
 
     out = local_rows(spark, [], READ)
     if paths:
-        held = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(work, "path string, md5 string, text string")
+        source = spark.read.format("binaryFile")
+        held = (source.load(paths) if root is None else source.option("recursiveFileLookup", "true").load(root)).select("path", "content").mapInArrow(work, "path string, md5 string, text string")
         # a path in the listing and the same path from the reader may differ in the slashes behind the scheme
         plain = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]+:)/+", "$1/")
         out = listed.where(~hidden).withColumn("at", plain(F.col("path"))).drop("path").join(held.withColumn("at", plain(F.col("path"))), "at").select("rel", "size", "mtime_ns", "md5", "text")
@@ -150,10 +151,11 @@ def scan(spark: SparkSession, root: str, skip_dirs: Iterable[str] = (), ledger:
     """(rel, size, mtime_ns, md5, text); `text` is null where the ledger knows the file unchanged: by its hash, or with verify='stat' by size and time without reading it."""
     if verify not in VERIFY:
         raise ValueError(f"verify must be one of {VERIFY}")
-    listed = listing(spark, root, skip_dirs)
+    left_out: list[str] = []
+    listed = local_rows(spark, list_hadoop(spark, root, skip_dirs, left_out) if has_scheme(root) else list_files(root, skip_dirs), LISTED)
     read_all = (lambda x: read_hadoop(spark, x)) if has_scheme(root) else read_files
     if ledger is None:
-        return read_all(listed)
+        return read_hadoop(spark, listed, None if left_out else root) if has_scheme(root) else read_files(listed)
     known = ledger.select("rel", F.col("md5").alias("old_md5"), F.col("size").alias("old_size"), F.col("mtime_ns").alias("old_mtime"))
     both = listed.join(known, "rel", "left")
     same = (F.col("old_size") == F.col("size")) & (F.col("old_mtime") == F.col("mtime_ns"))
