@@ -62,11 +62,12 @@ def labelled(spark, d) -> DataFrame:
 
 
 def tables_of(docs: DataFrame, k1: float = postings.K1, b: float = postings.B):
-    """Postings of all terms (written once, as lexicon and scores both read them), lexicon, numbers. Lengths are added up from the postings, rows are counted without their texts."""
-    posts = cut_lineage(postings.postings(docs))
-    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    """Postings of all terms, lexicon, numbers. Texts are tokenised twice, which is less than to write all postings: for the lexicon, which also adds up the lengths, and by whoever reads the postings."""
+    posts = postings.counted(docs)
+    lex = cut_lineage(posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")))
+    total = lex.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     n = docs.count()
-    return posts, postings.lexicon(posts), postings.Stats(n, n, total, k1, b)
+    return posts, lex.select("term", "df"), postings.Stats(n, n, total, k1, b)
 
 
 def asked_tables(docs: DataFrame, terms: DataFrame, dead: DataFrame | None = None, k1: float = postings.K1, b: float = postings.B):
