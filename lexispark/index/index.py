@@ -210,7 +210,7 @@ class Index:
         kept = [w for w in (getattr(self, "_weights", None), self.state.weights) if w is not None and w["key"] == key]
         if not kept:
             folder = self.store.folder("weights")
-            weights(self.postings(), self.lexicon(), self.numbers()).sortWithinPartitions("term", "row").write.parquet(folder)  # where the join by term has put them
+            weights(self.postings(), self.lexicon(), self.numbers()).sortWithinPartitions("term").write.parquet(folder)  # where the join by term has put and sorted them: no other sort
             kept = [{"key": key, "dir": folder}]
         self._weights = kept[0]
         if self.settings["w_cache"] and self.state.weights != kept[0]:
